@@ -60,6 +60,24 @@ def _item_rows(batches):
         yield pd.DataFrame(rows, columns=["item_id", "question", "answer", "n", "terms"])
 
 
+class TermIds(dict):
+    """token -> id of its word in the vocabulary or -1, remembered up to a bound."""
+
+    def __init__(self, vocabulary: dict[str, int], limit: int = 400_000):
+        super().__init__()
+        self.vocabulary, self.limit = vocabulary, limit
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[token] = self.vocabulary.get(normal(token), -1)
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        tokens = text.split()
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
 @dataclass
 class Bm25Index:
     vocabulary: dict[str, int]
@@ -73,16 +91,6 @@ class Bm25Index:
     parts: list  # by item: (question ngrams, answer ngrams), each of (n, set)
     block_floor: np.ndarray  # by block: the least of threshold - rest
 
-    def ids(self, text: str, cache: dict) -> np.ndarray:
-        out = [cache.get(t) for t in (tokens := text.split())]
-        if None in out:
-            if len(cache) > 400_000:
-                cache.clear()
-            for k, v in enumerate(out):
-                if v is None:
-                    out[k] = cache[tokens[k]] = self.vocabulary.get(normal(tokens[k]), -1)
-        return np.array(out, np.int64)
-
     def retrieve(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, first word of the passage, score) of all passages and items that reach the item's threshold."""
         ptr, blocks, most = self.term_blocks
@@ -169,11 +177,11 @@ def build_index(rows: pd.DataFrame, df: dict[str, int], n_items: int, mean_lengt
 
 
 def _search(index: Bm25Index, overlap: float):
-    cache: dict = {}
+    cache = TermIds(index.vocabulary)
 
     @F.pandas_udf(_HIT)
     def hits(texts: pd.Series) -> pd.Series:
-        return pd.Series([index.verified(index.ids(t, cache), overlap) if t else [] for t in texts])
+        return pd.Series([index.verified(cache.of(t), overlap) if t else [] for t in texts])
 
     return hits
 
