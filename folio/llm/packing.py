@@ -24,19 +24,36 @@ UNIT = 8
 END_ID = 1
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+class WordIds(dict):
+    """word -> its ids as little-endian 32-bit bytes, remembered up to a bound.
 
+    The tokenizer lower-cases, drops white space, and no token or special string spans a space or line feed, so a text's
+    ids are those of its parts between them; each distinct part is encoded once. Words of letters are encoded many at
+    a time, told apart by the tokens that end a word; a comma or full stop after a word is a token of its own.
+    """
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, remembered up to a bound."""
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
-        self.path, self.limit = path, limit
+        self.limit, self.tok = limit, Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._one(m) for m in ",."}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str], ids: np.ndarray) -> None:
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            self.update((w, self._one(w)) for w in words)
+            return
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * cuts).tolist()):
+            self[w] = data[at:end]
+            at = end
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -45,18 +62,25 @@ class WordIds(dict):
         if len(self) + len(new) > self.limit:
             self.clear()
             new = list(words)
-        tok = _tokenizer(self.path)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
+        plain = {w for w in new if w.isalpha()} | {w[:-1] for w in marked if w[:-1] not in self}
+        plain = list(plain)
+        chunks = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
+        for words, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            self._letters(words, np.array(e.ids, "<u4"))
+        for w in marked:
+            self[w] = self[w[:-1]] + self.marks[w[-1]]
+        rest = [w for w in new if w not in self]
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The whole text's ids. The tokenizer drops white space and no token or special string spans a space or line
-        feed, so the parts between those can be encoded one by one; each distinct part is encoded once."""
-        words = text.replace("\n", " ").split(" ")
-        self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        # Special strings are matched as they are written, and a final sigma is lower-cased by its neighbours.
+        parts = [(t if "<|" in t or "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        self.learn({w for words in parts for w in words})
+        return [b"".join(map(self.__getitem__, words)) for words in parts]
 
 
 def _pieces(path: str, capacity: int):
@@ -65,8 +89,8 @@ def _pieces(path: str, capacity: int):
     @F.pandas_udf("array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint>>")
     def cut(texts: pd.Series) -> pd.Series:
         cache, end, out = _word_ids(path), np.array([END_ID], "<u4").tobytes(), []
-        for text in texts:
-            ids = cache.ids(text) + end
+        for ids in cache.all_ids(list(texts)):
+            ids += end
             n = len(ids) // 4
             rows = []
             for at in range(0, n, capacity):
