@@ -405,8 +405,8 @@ HALF_DAY_MS = 12 * 3600 * 1000
 
 
 @query(f"""
-WITH l AS (SELECT *, epoch_ms(ts) AS at, lag(epoch_ms(ts)) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
-SELECT event_id, coalesce(at - before > {HALF_DAY_MS}, true) AS captured, CAST(sum(CASE WHEN coalesce(at - before > {HALF_DAY_MS}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM l""")
+WITH l AS (SELECT *, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+SELECT event_id, coalesce(ms - before > {HALF_DAY_MS}, true) AS captured, CAST(sum(CASE WHEN coalesce(ms - before > {HALF_DAY_MS}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM l""")
 def capture_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
     return observe.capture_sessions(e, ["user_id", "event_type"], "at", HALF_DAY_MS, "event_id").select("event_id", "captured", "session")
@@ -437,11 +437,10 @@ def shelf_generation(spark, sf_dir):
 
 
 @query(f"""
-WITH h AS (SELECT vec_id, substr(h, 1, 8) || substr(h, 1, 8) AS h FROM {HASH_SQL})
+WITH h AS (SELECT vec_id, repeat(substr(h, 1, 4), 4) AS h FROM {HASH_SQL})
 SELECT a.vec_id AS "left", b.vec_id AS "right", {o.hamming('a.h', 'b.h')} AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE {o.hamming('a.h', 'b.h')} <= 6""")
 def hash_pairs(spark, sf_dir):
-    half = F.substring(images.visual_hash(F.col("grid")), 1, 8)
-    d = _grids(spark, sf_dir).select("vec_id", F.concat(half, half).alias("hash"))
+    d = _grids(spark, sf_dir).select("vec_id", F.repeat(F.substring(images.visual_hash(F.col("grid")), 1, 4), F.lit(4)).alias("hash"))
     return observe.hamming_join(d, "vec_id", "hash").select("left", "right", F.col("bits").cast("bigint").alias("bits"))
 
 

@@ -91,7 +91,7 @@ def vision_box(b: Column) -> Column:
 def vision_mentions(df: DataFrame, id_col: str, payload: str) -> DataFrame:
     """id_col, pos, title, authors, publisher, confidence, box: valid spines of a payload, pos from left to right."""
     d = df.select(id_col, F.posexplode(F.from_json(payload, VISION)["spines"]).alias("__p", "s")).withColumn("box", vision_box(F.col("s.box_2d")))
-    line = F.get(F.filter(F.transform(F.split("s.raw_visible_text", "\r?\n"), F.trim), lambda x: x != ""), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split("s.raw_visible_text", "\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
     title = F.coalesce(F.when(F.trim("s.title") != "", F.trim("s.title")), line)
     names = F.filter(F.transform(F.coalesce("s.authors", F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit("")))), lambda a: a != "")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("s.confidence", F.lit(0.0))))
