@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,26 +28,23 @@ NGRAM = 5
 _HIT = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
 
 
-def normal(token: str) -> str:
-    """Lower case, without marks at either end; a token of marks only stays as it is."""
-    word = token.lower()
-    lo, hi = 0, len(word)
-    while lo < hi and not word[lo].isalnum():
-        lo += 1
-    while hi > lo and not word[hi - 1].isalnum():
-        hi -= 1
-    return word[lo:hi] or word
+#: A-Z to a-z, other ASCII signs to spaces; bytes beyond ASCII stay.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text: runs of letters and digits, A-Z lower-cased."""
+    return text.translate(_PLAIN).split()
 
 
 def parts_of(text: str) -> tuple[list[str], list[str]]:
     """(question, answer) words: the answer is the last line, or else the last sentence; a lone sentence is both."""
-    text = text.strip()
+    words = lambda t: [w.decode("utf-8", "replace") for w in words_of(t.encode("utf-8", "replace"))]
     for mark in ("\n", ". ", "? ", "! "):
-        head, found, tail = text.rpartition(mark)
-        if found and head.split() and tail.split():
-            return [normal(t) for t in head.split()], [normal(t) for t in tail.split()]
-    words = [normal(t) for t in text.split()]
-    return words, words
+        head, found, tail = text.strip().rpartition(mark)
+        if found and words(head) and words(tail):
+            return words(head), words(tail)
+    return words(text), words(text)
 
 
 def _item_rows(batches):
@@ -60,22 +58,15 @@ def _item_rows(batches):
         yield pd.DataFrame(rows, columns=["item_id", "question", "answer", "n", "terms"])
 
 
-class TermIds(dict):
-    """token -> id of its word in the vocabulary or -1, remembered up to a bound."""
-
-    def __init__(self, vocabulary: dict[str, int], limit: int = 400_000):
-        super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
+class TermIds:
+    """The ids of a text's words in the vocabulary, -1 for other words."""
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[token] = self.vocabulary.get(normal(token), -1)
-        return found
+    def __init__(self, vocabulary: dict[str, int]):
+        self.find = {t.encode("utf-8"): k for t, k in vocabulary.items()}.get
 
-    def of(self, text: str) -> np.ndarray:
-        tokens = text.split()
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+    def of(self, text: bytes) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.find, words, repeat(-1)), np.int64, len(words))
 
 
 @dataclass
@@ -177,11 +168,11 @@ def build_index(rows: pd.DataFrame, df: dict[str, int], n_items: int, mean_lengt
 
 
 def _search(index: Bm25Index, overlap: float):
-    cache = TermIds(index.vocabulary)
+    terms = TermIds(index.vocabulary)
 
     @F.pandas_udf(_HIT)
     def hits(texts: pd.Series) -> pd.Series:
-        return pd.Series([index.verified(cache.of(t), overlap) if t else [] for t in texts])
+        return pd.Series([index.verified(terms.of(t), overlap) if t else [] for t in texts])
 
     return hits
 
@@ -204,7 +195,7 @@ def benchmark_hits(text: Column, items: DataFrame, item_id: str = "item_id", ite
         if len(own):
             terms = part.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()
             index = build_index(own, {r.term: r.df for r in terms}, stats.n, stats.mean, share)
-            found.append(_search(index, overlap)(text))
+            found.append(_search(index, overlap)(text.cast("binary")))
     return reduce(lambda x, y: F.concat(x, y), found) if found else none
 
 
