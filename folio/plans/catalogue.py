@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, similarity as sim, text
-from ..operators import images, mentions, observe, resolve, triage
+from ..operators import images, mentions, observe, resolve, segment, triage, views
 from ..operators.ranking import numbered
-from ..sources import export, records
+from ..sources import export, recognition, records
+from ..streaming.capture import capture_gate as gate
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,3 +582,104 @@ def tracker_fold(spark, sf_dir):
     return observe.track(table(spark, sf_dir, "conversations").filter("conv_id is not null"), "conv_id", "turn", "text")
 
 
+
+
+@query("""
+SELECT event_id, CASE WHEN user_id % 11 = 0 THEN 'idle' WHEN user_id % 7 = 0 THEN 'idle' WHEN event_id % 13 = 0 THEN 'idle' WHEN event_id % 5 = 0 THEN 'idle' WHEN event_type = 'click' THEN 'success' WHEN event_id % 3 = 0 THEN 'idle'
+  WHEN event_id % 4 = 1 THEN 'searching' WHEN event_id % 4 = 2 THEN 'searching' WHEN user_id % 2 = 1 AND event_type = 'view' THEN 'duplicate' ELSE 'searching' END AS kind,
+  CASE WHEN user_id % 11 = 0 THEN 'starting' WHEN user_id % 7 = 0 THEN 'preparing' WHEN event_id % 13 = 0 THEN 'behind' WHEN event_id % 5 = 0 THEN 'advice' WHEN event_type = 'click' THEN 'captured' WHEN event_id % 3 = 0 THEN 'moving'
+  WHEN event_id % 4 = 1 THEN 'reading' WHEN event_id % 4 = 2 THEN 'looking_up' WHEN user_id % 2 = 1 AND event_type = 'view' THEN 'shelf_done' WHEN user_id % 2 = 1 THEN 'next_shelf' ELSE 'shelf' END AS reason FROM events""")
+def scan_status(spark, sf_dir):
+    e, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    s = {
+        "ready": u % 11 != 0, "preparing": u % 7 == 0, "busy": e % 13 == 0, "advice": F.when(e % 5 == 0, "dark"), "outcome": F.when(t == "click", "queued").when(t == "view", "duplicate"), "moving": e % 3 == 0,
+        "reading": (e % 4 == 1).cast("int"), "looking_up": (e % 4 == 2).cast("int"), "captured": u % 2, "shelf_read": F.lit(False),
+    }
+    d = table(spark, sf_dir, "events").select("event_id", views.scan_status(s).alias("s"))
+    return d.select("event_id", "s.kind", "s.reason")
+
+
+@query("""
+SELECT event_id, user_id, CAST(row_number() OVER w AS INTEGER) AS rank, greatest(0, count(*) OVER (PARTITION BY user_id) - 6) AS rest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC) QUALIFY row_number() OVER w <= 6""")
+def recent_feed(spark, sf_dir):
+    return views.recent_feed(table(spark, sf_dir, "events"), "user_id", "event_id", 6).select("event_id", "user_id", "rank", "rest")
+
+
+@query("""
+WITH p AS (SELECT *, CAST(event_id % 3 AS INTEGER) AS pending, event_type = 'view' AS scanning FROM events), l AS (SELECT *, lag(pending) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM p)
+SELECT event_id, coalesce(b > 0 AND pending = 0 AND NOT scanning, false) AS finished FROM l""")
+def finished_edges(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("pending", (F.col("event_id") % 3).cast("int")).withColumn("scanning", F.col("event_type") == "view")
+    return views.finished_edges(e, "user_id", "event_id", "pending", "scanning").select("event_id", "finished")
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 403 WHEN page_id % 4 = 1 THEN 405 WHEN page_id % 3 = 0 THEN 400 WHEN url LIKE 'https://%' AND url LIKE 'https://www.%' AND regexp_extract(url, '://([^/?#]*)', 1) = 'www.ththea.example.com' THEN 200 ELSE 403 END AS status FROM pages""")
+def relay_requests(spark, sf_dir):
+    k = F.col("page_id")
+    v = recognition.relay_verdict(F.when(k % 4 == 0, "https://evil.example").otherwise("https://app.example"), F.when(k % 4 == 1, "POST").otherwise("GET"), F.when(k % 3 == 0, "").otherwise(F.col("url")), ["https://app.example"], "www.ththea.example.com")
+    return table(spark, sf_dir, "pages").select("page_id", v.alias("status"))
+
+
+@query("""
+SELECT o_custkey, max(o_orderpriority) AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY length(o_orderpriority) DESC, o_totalprice DESC) AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r = 1 GROUP BY o_custkey""")
+def better_read(spark, sf_dir):
+    return views.better_read(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus <> 'P'").select("o_custkey", F.col("o_orderpriority").alias("text"))
+
+
+@query(f"""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'scan' ELSE isbn13 END AS isbn13, CASE WHEN p_partkey % 4 = 0 THEN 'unverified' ELSE status END AS status, pinned AND p_partkey % 4 <> 0 AS pinned, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 3 END AS conflicts FROM {ENTRY_SQL}""")
+def bind_isbn(spark, sf_dir):
+    e = _entries(spark, sf_dir).withColumn("conflicts", F.lit(3))
+    scanned = e.filter("p_partkey % 4 = 0").select("p_partkey", F.lit("scan").alias("isbn13"))
+    return views.bind_isbn(e, scanned, "p_partkey").select("p_partkey", "isbn13", "status", "pinned", "conflicts")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN 20 * p_size * 3 * 30 * p_partkey * 3 <= 2400000 AND ceil(160.0 / (20 * p_size)) >= 3 THEN 3 WHEN 20 * p_size * 2 * 30 * p_partkey * 2 <= 2400000 AND ceil(160.0 / (20 * p_size)) >= 2 THEN 2 ELSE 1 END AS scale FROM part""")
+def strip_scale(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", segment.strip_scale(F.col("p_size") * 20, F.col("p_partkey") * 30).alias("scale"))
+
+
+@query(f"""
+SELECT o_custkey || '-' || CAST(i - 1 AS VARCHAR) AS id, codes[i] AS isbn13 FROM (SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS codes FROM orders GROUP BY ALL), unnest(range(1, len(codes) + 1)) AS u(i)""")
+def entries_from_isbns(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("session")).agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: k.cast("string")).alias("codes"))
+    return recognition.entries_from_isbns(d, "codes", "session").select("id", "isbn13")
+
+
+@query(f"""
+SELECT vec_id, CASE WHEN b < 0.15 THEN 'dark' WHEN b > 0.95 THEN 'bright' WHEN w > 0.45 THEN 'glare' WHEN label % 2 = 0 THEN 'blur' END AS advice FROM (SELECT vec_id, label, list_sum(list_transform(g, lambda v: CASE WHEN vec_id % 5 = 0 THEN v // 8 ELSE v END)) / 64.0 / 255 AS b,
+  len(list_filter(g, lambda v: CASE WHEN vec_id % 5 = 0 THEN v // 8 ELSE v END >= 254)) / 64.0 AS w FROM {GRID_SQL})""")
+def frame_advice(spark, sf_dir):
+    g = _grids(spark, sf_dir).withColumn("g", F.transform("grid", lambda v: F.when(F.col("vec_id") % 5 == 0, F.floor(v / 8).cast("int")).otherwise(v)))
+    sharp = F.when(F.col("label") % 2 == 0, 0.0).otherwise(1.0)
+    return g.select("vec_id", views.frame_advice(images.brightness(F.col("g")), images.blowout(F.col("g")), sharp).alias("advice"))
+
+
+@query("""
+SELECT o_orderkey, '{"steps":[' || CASE WHEN o_orderkey % 2 = 0 THEN 'skip' ELSE 'none' END || ']}' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS text FROM orders""")
+def output_text(spark, sf_dir):
+    even = F.col("o_orderkey") % 2 == 0
+    content = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    step = lambda kind, *c: F.struct(F.lit(kind).alias("type"), F.array(*c).alias("content"))
+    d = table(spark, sf_dir, "orders").withColumn("s", F.when(even, F.array(step("thought", content("text", F.lit("no"))), step("model_output", content("image", F.lit("x")), content("text", F.col("o_orderpriority"))))).otherwise(F.array(step("thought", content("text", F.lit("no"))))))
+    kind = F.concat(F.lit('{"steps":['), F.when(even, "skip").otherwise("none"), F.lit("]}"))
+    return d.select("o_orderkey", kind.alias("kind"), recognition.output_text(F.to_json(F.struct(F.col("s").alias("steps")))).alias("text"))
+
+
+@query()
+def segment_bands(spark, sf_dir):
+    """Bands of images made of eight embeddings' grids side by side."""
+    g = _grids(spark, sf_dir).withColumn("frame", F.floor(F.col("vec_id") / 8)).withColumn("x", F.col("vec_id") % 8)
+    rows = g.select("frame", "x", F.posexplode("grid").alias("i", "v")).select("frame", F.struct(F.floor(F.col("i") / 8), "x", F.col("i") % 8, "v").alias("p"))
+    image = rows.groupBy("frame").agg(F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n"))
+    data = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["v"].cast("bigint")), 2, "0")), ""))
+    d = image.select("frame", data.alias("data"), F.floor(F.col("n") / 8).cast("int").alias("width"))
+    return d.select("frame", F.posexplode(segment.segment(F.col("data"), F.col("width"))).alias("pos", "b")).select("frame", "pos", "b.start", "b.end")
+
+
+@query()
+def capture_gate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("session"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000).alias("hour"), (F.col("event_type") != "view").alias("usable"), (F.col("value") / 1000).alias("moved"), (F.col("value") % 1).alias("sharp"))
+    return gate(e.withColumn("at", F.col("hour") * 1000), "session", "at", "usable", "moved", "sharp")
