@@ -63,21 +63,26 @@ def volume_record(payload: Column) -> Column:
     )
 
 
-def _child(item: str, name: str) -> str:
-    return f'{item}/*[local-name()="{name}"]'
+#: One <item> without prefixes; repeated children are arrays.
+ITEM = "title array<string>, link array<string>, creator array<string>, publisher array<string>, issued array<string>, seriesTitle array<string>, identifier array<struct<_VALUE:string,_type:string>>"
 
 
 def xml_items(df: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """One record per <item>, whatever its prefixes; malformed XML raises. Absent fields are null."""
-    n = F.size(F.xpath(F.col(xml_col), F.lit('//*[local-name()="item"]/*[local-name()="title"][1]/text()')))
-    d = df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).filter(n > 0)
-    text = lambda name: F.expr(f"""xpath({xml_col}, concat('(//*[local-name()="item"])[', __i, ']/*[local-name()="{name}"]/text()'))""")
-    one = lambda name: blank_to_null(F.get(text(name), F.lit(0)))
-    typed = F.expr(f"""xpath({xml_col}, concat('(//*[local-name()="item"])[', __i, ']/*[local-name()="identifier"][contains(@*, "ISBN")]/text()'))""")
-    valid = lambda a: F.get(F.filter(F.transform(a, ids.extract_isbn13), lambda x: x.isNotNull()), F.lit(0))
+    x = F.col(xml_col)
+    checked = df.filter(F.size(F.xpath(x, F.lit("/*"))) > 0)  # raises on what isn't well-formed
+    items = F.regexp_extract_all(x, F.lit(r"(?s)<(?:[\w.-]+:)?item[\s>].*?</(?:[\w.-]+:)?item>"), 0)
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("item", r"(</?)[\w.-]+:", "$1"), r"\sxmlns(?::[\w.-]+)?=(?:\"[^\"]*\"|'[^']*')", ""), r"\s[\w.-]+:(\w+=)", " $1")
+    d = checked.select(id_col, F.posexplode(items).alias("ordinal", "item"))
+    d = d.select(id_col, "ordinal", F.from_xml(plain, ITEM, {"mode": "FAILFAST"}).alias("r"))
+    texts = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: tidy(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    one = lambda c: F.get(texts(F.col(f"r.{c}")), F.lit(0))
+    codes = F.coalesce("r.identifier", F.array().cast("array<struct<_VALUE:string,_type:string>>"))
+    valid = lambda a: F.get(F.filter(F.transform(a, lambda i: ids.extract_isbn13(i["_VALUE"])), lambda i: i.isNotNull()), F.lit(0))
+    typed = F.filter(codes, lambda i: F.coalesce(F.upper(i["_type"]).contains("ISBN"), F.lit(False)))
     return d.select(
-        id_col, (F.col("__i") - 1).alias("ordinal"), one("title").alias("title"), F.filter(F.transform(text("creator"), tidy), lambda a: a != "").alias("authors"), one("publisher").alias("publisher"),
-        one("issued").alias("published"), F.coalesce(valid(typed), valid(text("identifier"))).alias("isbn13"), one("seriesTitle").alias("series"), one("link").alias("sourceUrl"), F.lit("ndl").alias("source"),
+        id_col, "ordinal", one("title").alias("title"), texts(F.col("r.creator")).alias("authors"), one("publisher").alias("publisher"), one("issued").alias("published"),
+        F.coalesce(valid(typed), valid(codes)).alias("isbn13"), one("seriesTitle").alias("series"), one("link").alias("sourceUrl"), F.lit("ndl").alias("source"),
     )
 
 

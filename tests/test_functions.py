@@ -53,7 +53,7 @@ def test_clean_line(spark, raw, clean):
 
 
 def test_roles(spark):
-    d = spark.createDataFrame([("岩波書店", True, False), ("O'Reilly books", True, False), ("小林真理", False, True), ("Robert Martin", False, True), ("山田太郎 著", False, True), ("", False, False)], "c string, p boolean, a boolean")
+    d = spark.createDataFrame([("岩波書店", True, True), ("O'Reilly books", True, False), ("小林真理", False, True), ("Robert Martin", False, True), ("山田太郎 著", False, True), ("", False, False)], "c string, p boolean, a boolean")
     for r in d.select("*", text.looks_like_publisher(F.col("c")).alias("gp"), text.looks_like_author(F.col("c")).alias("ga")).collect():
         assert (r.gp, r.ga) == (r.p, r.a), r
 
