@@ -92,7 +92,8 @@ def test_every_pair_above_the_threshold_shares_a_signature():
             if len(y) and 5 * common >= 4 * (len(x) + len(y) - common):
                 f = [np.array([rng.choice([0.0, 0.0, 0.3]) for _ in s]) for s in (x, y)]
                 cost = dict(zip(x.tolist(), f[0])) | dict(zip(y.tolist(), f[1]))
-                shared = set(ngram_jaccard.signatures(x, np.array([cost[v] for v in x.tolist()])).tolist()) & set(ngram_jaccard.signatures(y, np.array([cost[v] for v in y.tolist()])).tolist())
+                sig, own = ngram_jaccard.signatures([x, y], [np.array([cost[v] for v in s.tolist()]) for s in (x, y)])
+                shared = set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
                 assert shared, (n, len(x), len(y), common)
 
 
