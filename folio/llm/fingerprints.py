@@ -2,8 +2,8 @@
 
 Each 5-word shingle is hashed once. The hash's leading bits choose one of 128 bins, and a bin keeps its smallest hash.
 An empty bin takes over a filled one that the bin's own random order puts first (optimal densification: the choice
-depends on the bin and on which bins are filled, not on the neighbours). The fingerprint holds the 4 low-order bits of
-every bin, one hex digit each; the likeness of two fingerprints is the share of equal digits, less what chance gives.
+depends on the bin and on which bins are filled, not on the neighbours). The fingerprint holds 4 low-order bits of
+every bin (hashed with its number), one hex digit each; the likeness of two fingerprints is the share of equal digits, less what chance gives.
 """
 
 from __future__ import annotations
@@ -49,10 +49,12 @@ def digits_of(text: Column) -> Column:
     def dense(filled):
         def digits(bins):
             def one(j):
-                # The first filled bin in j's random order, with its digit in the hash's place of the low bits.
-                borrowed = F.array_min(F.transform(filled, lambda x: F.xxhash64(_bin(x), j).bitwiseAND(F.lit(~low)).bitwiseOR(x.bitwiseAND(F.lit(low)))))
+                # An empty bin takes the filled one that comes first in j's own random order.
+                borrowed = F.array_min(F.transform(filled, lambda x: F.struct(F.xxhash64(_bin(x), j).alias("order"), x.alias("hash"))))["hash"]
                 at = F.array_position(bins, j).cast("int")
-                return F.when(at > 0, F.get(filled, at - 1)).otherwise(borrowed).bitwiseAND(F.lit(low)).cast("int")
+                value = F.when(at > 0, F.get(filled, at - 1)).otherwise(borrowed)
+                # Hashed with the bin's number, so that one value in many bins isn't equal by chance in all of them at once.
+                return F.xxhash64(value, j).bitwiseAND(F.lit(low)).cast("int")
 
             return F.transform(F.sequence(F.lit(-BINS // 2).cast("bigint"), F.lit(BINS // 2 - 1).cast("bigint")), one)
 

@@ -361,8 +361,12 @@ def test_patterns_cover_the_demand_exactly(seed):
     demand = rng.integers(1, 60, 20)
     plan = packing.cutting_patterns(sizes, demand, 64)
     assert (sum(p * n for p, n in plan) == demand).all() and all((p * sizes).sum() <= 64 for p, _ in plan)
-    least = -(-int((sizes * demand).sum()) // 64)
-    assert sum(n for _, n in plan) <= 1.1 * least + 3
+    bins: list[int] = []
+    for size in sorted(np.repeat(sizes, demand), reverse=True):
+        at = next((k for k, room in enumerate(bins) if room >= size), None)
+        bins.append(64) if at is None else None
+        bins[-1 if at is None else at] -= size
+    assert sum(n for _, n in plan) <= len(bins) + 1  # no worse than first fit, largest first
 
 
 # --- fingerprints
