@@ -3,8 +3,8 @@
 Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they choose the vocabulary (words and
 word beginnings, by chi-square against the label) and fill the index. Document frequencies are counted over all
 documents. Examples are laid out in blocks of 128; for each term and block the index keeps the largest weight, so a
-query visits blocks by falling upper bound and stops as soon as the bound can't reach its k-th best: the k nearest
-are exact. Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base
+query looks at the blocks of highest bound first and then only at those whose bound reaches the k-th best so far: the k
+nearest are exact. Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base
 rate, and calibrated by isotonic regression on leave-one-out votes of the examples.
 """
 
@@ -64,6 +64,18 @@ class Features(dict):
         return out
 
 
+_SHARED: dict[int, Features] = {}
+
+
+def shared_features(vocabulary: dict[str, int]) -> Features:
+    """The cache of the latest vocabulary in this worker's process; tasks that follow each other there share it."""
+    key = hash(tuple(vocabulary.items()))
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = Features(vocabulary)
+    return _SHARED[key]
+
+
 def _selection(batches):
     """(feature, toxic examples with it, clean examples with it), summed over the task."""
     cache, seen = Features(), {}
@@ -76,7 +88,7 @@ def _selection(batches):
 
 def _frequencies(vocabulary: dict[str, int]):
     def run(batches):
-        cache, total, n = Features(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        cache, total, n = shared_features(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
@@ -150,27 +162,33 @@ class ToxicityModel:
         self.block_max = np.zeros((n_terms, blocks))
         np.maximum.at(self.block_max.reshape(-1), cell, self.vals)
 
+    def _scores(self, terms: np.ndarray, w: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Cosines of all examples as far as they lie in the live blocks, 0 elsewhere; one pass over the postings."""
+        cells = (terms[:, None] * self.block_max.shape[1] + live[None, :]).reshape(-1)
+        start, n = self.ptr[cells], self.ptr[cells + 1] - self.ptr[cells]
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.ords[at], self.vals[at] * np.repeat(np.repeat(w, len(live)), n), len(self.ids))
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties by position; exact."""
-        best_s, best_o = np.empty(0), np.empty(0, np.int64)
+        """The k examples of largest positive cosine, ties by position; exact.
+
+        The blocks of highest bound give a k-th best so far; only blocks whose bound reaches it are looked at.
+        """
         if not len(terms):
-            return best_s, best_o
-        blocks = self.block_max.shape[1]
+            return np.empty(0), np.empty(0, np.int64)
         bound = w @ self.block_max[terms]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, q in zip(terms, w):
-                lo, hi = self.ptr[t * blocks + b], self.ptr[t * blocks + b + 1]
-                if lo < hi:
-                    acc[self.ords[lo:hi] - b * BLOCK] += q * self.vals[lo:hi]
-            at = np.flatnonzero(acc)
-            at = at[at + b * BLOCK != skip]
-            s, o = np.concatenate([best_s, acc[at].round(9)]), np.concatenate([best_o, at + b * BLOCK])
-            top = np.lexsort((o, -s))[: self.k]
-            best_s, best_o = s[top], o[top]
-        return best_s, best_o
+        best = self._scores(terms, w, np.argsort(-bound, kind="stable")[:2])
+        if skip >= 0:
+            best[skip] = 0
+        least = np.partition(best, -self.k)[-self.k] if len(best) > self.k else 0.0
+        s = self._scores(terms, w, np.flatnonzero((bound > 0) & (bound >= least - 1e-9))).round(9)
+        if skip >= 0:
+            s[skip] = 0
+        at = np.flatnonzero((s > 0) & (s >= least - 1e-8))
+        if len(at) > self.k:
+            at = at[s[at] >= np.partition(s[at], -self.k)[-self.k]]
+        at = at[np.lexsort((at, -s[at]))[: self.k]]
+        return s[at], at
 
     def vote(self, s: np.ndarray, o: np.ndarray) -> float:
         v = s * s * self.weight[o]
@@ -189,7 +207,7 @@ class ToxicityModel:
 
         @F.pandas_udf(_RESULT)
         def score(batches: pd.Series) -> pd.DataFrame:
-            cache, done = model.__dict__.setdefault("_cache", Features(model.vocabulary)), model.__dict__.setdefault("_done", {})
+            cache, done = shared_features(model.vocabulary), model.__dict__.setdefault("_done", {})
             out = []
             for text in batches:
                 counts = cache.counts(text or "")
