@@ -174,7 +174,7 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
         for pdf in batches:
             for i, text in zip(pdf["id"], pdf["text"]):
                 s = shingle_set(text, cache)
-                if len(s) < DEN:
+                if len(s) < NUM:
                     continue  # such a small set links with equal sets only
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if key in seen:
@@ -333,8 +333,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id_col, n_shingles (long), component_id (long).
 
     component_id is the smallest id reachable over links, the row's own included. Null and empty texts have no
-    shingles, link with nothing and keep their own id. Sets of fewer than five shingles link with equal sets only
-    (one differing shingle already falls below 0.8). Rows that repeat an id count as copies of the same document:
+    shingles, link with nothing and keep their own id. Sets of fewer than four shingles link with equal sets only
+    (one differing shingle already falls below 0.8); one of four also links with one of five that holds it. Rows that repeat an id count as copies of the same document:
     each comes back with its own n_shingles and the smallest component of the id. Rows with a null id come back with
     a null component. Other columns, whatever their names, are left alone. An empty table gives an empty result.
     """

@@ -97,6 +97,19 @@ def test_every_pair_above_the_threshold_shares_a_signature():
                 assert shared, (n, len(x), len(y), common)
 
 
+def test_a_set_of_four_links_with_one_of_five_that_holds_it(spark):
+    rng = random.Random(6)
+    rows, w = {}, [[f"w{rng.randrange(10**7)}" for _ in range(10)] for _ in range(6)]
+    for i, x in enumerate(w):
+        rows |= {10 * i: " ".join(x[:8]), 10 * i + 1: " ".join(x[:9]), 10 * i + 2: " ".join(["before", *x[:8]]), 10 * i + 3: " ".join(x[:7])}
+    rows |= {100: "a b c d " * 6, 101: "a b c d " * 6 + "e"}
+    want = components(plain_sets(rows))
+    assert want[1] == want[2] == 0 and want[3] == 3 and want[101] == 100
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard_join(d).collect()}
+    assert got == want
+
+
 def test_join_odd_tables(spark, empty):
     assert ngram_jaccard.ngram_jaccard_join(empty).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, None), (None, None)], "doc_id long, text string")
