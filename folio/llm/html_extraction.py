@@ -5,7 +5,8 @@ distributions are gathered over the host's distinct pages: what it says (hashes
 (the sequence of its child elements). Their entropies, relative to the largest possible ones, make the node's
 importance: what says the same on every page is worth little. In each page, branches of low importance are cut, and so
 are those that name themselves as something else than content (menus, adverts, forms, comments ...). Where a page marks
-its article, only that branch counts and it is cut no further by entropy: a paragraph may well repeat across articles.
+its article outside such branches, only that branch counts. The mark is a prior: a node in it is cut at a lower
+importance, as a paragraph may well repeat across articles, and never if nothing of the article would be left.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def blocks_of(page: str):
     def close():
         top = stack.pop()
         if top[4]:
-            layouts.append((top[1], xxhash.xxh64_intdigest(" ".join(top[4][:64]))))
+            layouts.append((top[1], xxhash.xxh64_intdigest(" ".join(top[4]))))
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -123,12 +124,14 @@ def main_text(page: str | None, low: frozenset) -> str:
     if not page:
         return ""
     blocks, _ = blocks_of(page)
-    marked = any(main for _, _, main, _ in blocks)
-    return "\n".join(text for path, drop, main, text in blocks if not drop and (main or not marked and path not in low))
+    blocks = [(path, main, text) for path, drop, main, text in blocks if not drop]
+    marked = [(path, text) for path, main, text in blocks if main]
+    kept = [text for path, text in marked or [(path, text) for path, _, text in blocks] if path not in low]
+    return "\n".join(kept or [text for _, text in marked])
 
 
 def _observed(batches):
-    """(host, path, kind, what, n): what each node says and how it is laid out, once per distinct page and task."""
+    """(host, path, main, kind, what, n): what each node says and how it is laid out, once per distinct page and task."""
     for pdf in batches:
         seen: Counter = Counter()
         pages = set()
@@ -138,36 +141,36 @@ def _observed(batches):
                 continue
             pages.add(key)
             blocks, layouts = blocks_of(page)
-            for path, _, _, text in blocks:
-                seen[host, path, 0, xxhash.xxh64_intdigest(text) >> 1] += 1
+            for path, _, main, text in blocks:
+                seen[host, path, main, 0, xxhash.xxh64_intdigest(text) >> 1] += 1
             for path, children in layouts:
-                seen[host, path, 1, children >> 1] += 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "path", "kind", "what", "n"])
+                seen[host, path, False, 1, children >> 1] += 1
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "path", "main", "kind", "what", "n"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, seen, importance) of the nodes of each host's merged tree; pages has host and html."""
-    counts = pages.select("host", "html").mapInPandas(_observed, "host string, path long, kind int, what long, n long").groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"))
+    """(host, path, main, seen, importance) of the nodes of each host's merged tree; pages has host and html."""
+    counts = pages.select("host", "html").mapInPandas(_observed, "host string, path long, main boolean, kind int, what long, n long").groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"), F.max("main").alias("main"))
     total, weighed = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     entropy = F.when(total > 1, (F.log(total) - weighed / total) / F.log(total)).otherwise(1.0)
-    by_kind = counts.groupBy("host", "path", "kind").agg(total.alias("seen"), entropy.alias("entropy"))
+    by_kind = counts.groupBy("host", "path", "kind").agg(total.alias("seen"), entropy.alias("entropy"), F.max("main").alias("main"))
     says, laid = F.max(F.when(F.col("kind") == 0, F.col("entropy"))), F.max(F.when(F.col("kind") == 1, F.col("entropy")))
     return by_kind.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("seen"), (0.9 * F.coalesce(says, F.lit(1.0)) + 0.1 * F.coalesce(laid, says, F.lit(1.0))).alias("importance")
+        F.max("main").alias("main"), F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("seen"), (0.9 * F.coalesce(says, F.lit(1.0)) + 0.1 * F.coalesce(laid, says, F.lit(1.0))).alias("importance")
     )
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.3, least_seen: int = 8) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.3, least_seen: int = 8, least_main: float = 0.1) -> DataFrame:
     """One row per page: id_col, url_col, text, n_chars (code points).
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A
     null or empty page has an empty text. A null url belongs to the host of pages without one. Nodes seen fewer than
-    least_seen times say too little about themselves and stay. Null and repeated ids are pages like any other. Other
+    least_seen times say too little about themselves and stay; those in an article or main go below least_main only. Null and repeated ids are pages like any other. Other
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     tree = style_tree(p)
-    low = tree.filter((F.col("seen") >= least_seen) & (F.col("importance") < least_importance)).groupBy("host").agg(F.collect_set("path").alias("low"))
+    low = tree.filter((F.col("seen") >= least_seen) & (F.col("importance") < F.when(F.col("main"), least_main).otherwise(least_importance))).groupBy("host").agg(F.collect_set("path").alias("low"))
 
     @F.pandas_udf("string")
     def text_of(page: pd.Series, low: pd.Series) -> pd.Series:

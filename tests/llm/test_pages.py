@@ -38,6 +38,23 @@ def test_an_article_is_never_cut_by_entropy(spark):
     assert {r.text for r in got} == {"Head & same\nFirst line of same\nSecond éA link"}
 
 
+def test_an_article_in_a_dropped_branch_marks_nothing():
+    page = "<body><div><p>story</p></div><section class=comments><article><p>reader</p></article></section><aside><article>related</article></aside></body>"
+    assert html_extraction.main_text(page, frozenset()) == "story"
+
+
+def test_a_repeated_notice_in_an_article_goes(spark):
+    body = "<body><p>{0} x</p><article><h1>About {0}</h1><p>{0} tells {0}</p><p>The same line</p><div><b>Read our terms first</b></div></article></body>"
+    rows = [(i, f"http://h.example.com/{i}", body.format(f"n{i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"About n{i}\nn{i} tells n{i}\nThe same line" for i in range(20)}
+
+
+def test_layouts_tell_long_lists_apart():
+    one, two = (html_extraction.blocks_of("<div>" + "<p>a</p>" * 70 + f"<{x}>a</{x}></div>")[1] for x in ("h2", "h3"))
+    assert one[-2] != two[-2]
+
+
 URLS = [
     ("http://A.Example.org/es/1?q", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12#x", "example.org", "/en/12", "example.org/en/1", "block"),
     ("https://example.org/en/22", "example.org", "/en/22", "org/", "allow"), ("http://x.com/fr/", "x.com", "/fr/", "com/fr/", "allow"), ("http://x.com/de/a", "x.com", "/de/a", "com/de/", "block"),
