@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they choose the vocabulary (words and
-word beginnings, by chi-square against the label) and fill the index. Document frequencies are counted over all
-documents. Examples are laid out in blocks of 128; for each term and block the index keeps the largest weight, so a
+Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they fill the index with all their terms
+(words and word beginnings). Document frequencies are counted over all documents. A term weighs its inverse document
+frequency times its relevance, which is its correlation with the label and a floor, so no term is left out. Terms that
+no example has can't be shared with one and don't count in a document's norm. Examples are laid out in blocks of 128; for each term and block the index keeps the largest weight, so a
 query looks at the blocks of highest bound first and then only at those whose bound reaches the k-th best so far: the k
 nearest are exact. Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base
 rate, and calibrated by isotonic regression on leave-one-out votes of the examples.
@@ -10,6 +11,7 @@ rate, and calibrated by isotonic regression on leave-one-out votes of the exampl
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -18,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 from .samples import held_out, labelled_sample, texts_of
 
 BLOCK = 128
 PREFIXES = range(3, 8)
 EVIDENCE = 3
+#: Relevance of a term that tells nothing about the label; a perfect one has 1 more.
+LEAST_RELEVANCE = 0.01
 _RESULT = "score double, neighbors array<struct<example: bigint, similarity: double, toxic: int>>"
 
 
@@ -95,7 +99,8 @@ def _frequencies(vocabulary: dict[str, int]):
                 if text:
                     ids = {i for token in set(text.encode("utf-8", "replace").split()) for i in cache[token]}
                     total[list(ids)] += 1
-        yield pd.DataFrame({"term": np.arange(-1, len(vocabulary)), "n": np.concatenate([[n], total])})
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"term": np.concatenate([[-1], some]), "n": np.concatenate([[n], total[some]])})
 
     return run
 
@@ -138,10 +143,12 @@ class ToxicityModel:
     base: float
     k: int = 15
     shrink: float = 0.05
-    ptr: np.ndarray = field(default=None, repr=False)
     ords: np.ndarray = field(default=None, repr=False)
     vals: np.ndarray = field(default=None, repr=False)
-    block_max: np.ndarray = field(default=None, repr=False)
+    cell_ptr: np.ndarray = field(default=None, repr=False)
+    cell_block: np.ndarray = field(default=None, repr=False)
+    cell_max: np.ndarray = field(default=None, repr=False)
+    cell_at: np.ndarray = field(default=None, repr=False)
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
     def vector(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
@@ -150,24 +157,25 @@ class ToxicityModel:
         return terms, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings by term, then by example; ptr[t, b] is where block b of term t begins."""
-        n_terms, blocks = len(self.vocabulary), len(vectors) // BLOCK + 1
+        """Postings by term, then by example; a cell is what a term has in one block, cell_ptr[t] its first one."""
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
         val = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        own = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         order = np.lexsort((own, term))
         term, self.ords, self.vals = term[order], own[order], val[order]
+        blocks = len(vectors) // BLOCK + 1
         cell = term * blocks + self.ords // BLOCK
-        self.ptr = np.searchsorted(cell, np.arange(n_terms * blocks + 1)).reshape(-1)
-        self.block_max = np.zeros((n_terms, blocks))
-        np.maximum.at(self.block_max.reshape(-1), cell, self.vals)
-
-    def _scores(self, terms: np.ndarray, w: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Cosines of all examples as far as they lie in the live blocks, 0 elsewhere; one pass over the postings."""
-        cells = (terms[:, None] * self.block_max.shape[1] + live[None, :]).reshape(-1)
-        start, n = self.ptr[cells], self.ptr[cells + 1] - self.ptr[cells]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_ptr = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        self.cell_block = (cell[first] % blocks).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.vals, first) if len(first) else np.empty(0)
+        self.cell_at = np.append(first, len(term))
+
+    def _scores(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of all examples as far as they lie in the cells, 0 elsewhere; w by cell."""
+        start, n = self.cell_at[cells], self.cell_at[cells + 1] - self.cell_at[cells]
         at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.ords[at], self.vals[at] * np.repeat(np.repeat(w, len(live)), n), len(self.ids))
+        return np.bincount(self.ords[at], self.vals[at] * np.repeat(w, n), len(self.ids))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties by position; exact.
@@ -176,12 +184,17 @@ class ToxicityModel:
         """
         if not len(terms):
             return np.empty(0), np.empty(0, np.int64)
-        bound = w @ self.block_max[terms]
-        best = self._scores(terms, w, np.argsort(-bound, kind="stable")[:2])
+        start, n = self.cell_ptr[terms], self.cell_ptr[terms + 1] - self.cell_ptr[terms]
+        cells = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        w, block = np.repeat(w, n), self.cell_block[cells]
+        bound = np.bincount(block, self.cell_max[cells] * w, len(self.ids) // BLOCK + 1)
+        first = np.isin(block, np.argsort(-bound, kind="stable")[:2])
+        best = self._scores(cells[first], w[first])
         if skip >= 0:
             best[skip] = 0
         least = np.partition(best, -self.k)[-self.k] if len(best) > self.k else 0.0
-        s = self._scores(terms, w, np.flatnonzero((bound > 0) & (bound >= least - 1e-9))).round(9)
+        live = (bound > 0) & (bound >= least - 1e-9)
+        s = self._scores(cells[live[block]], w[live[block]]).round(9)
         if skip >= 0:
             s[skip] = 0
         at = np.flatnonzero((s > 0) & (s >= least - 1e-8))
@@ -194,8 +207,8 @@ class ToxicityModel:
         v = s * s * self.weight[o]
         return float(((v * self.toxic[o]).sum() + self.shrink * self.base) / (v.sum() + self.shrink))
 
-    def calibrate(self, vectors) -> None:
-        raw = np.array([self.vote(*self.nearest(t, w, i)) for i, (t, w) in enumerate(vectors)])
+    def calibrate(self, raw: np.ndarray) -> None:
+        """raw: the leave-one-out votes of the examples."""
         if len(raw) and 0 < self.toxic.sum() < len(raw):
             self.knots = isotonic(raw, self.toxic.astype(float), self.weight)
         else:
@@ -210,12 +223,12 @@ class ToxicityModel:
             cache, done = shared_features(model.vocabulary), model.__dict__.setdefault("_done", {})
             out = []
             for text in batches:
-                counts = cache.counts(text or "")
-                key = tuple(sorted(counts.items()))
+                key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
                 if key not in done:
+                    counts = sorted(cache.counts(text or "").items())
                     if len(done) > 50_000:
                         done.clear()
-                    s, o = model.nearest(*model.vector([t for t, _ in key], [n for _, n in key]))
+                    s, o = model.nearest(*model.vector([t for t, _ in counts], [n for _, n in counts]))
                     p = float(np.clip(np.interp(model.vote(s, o), *model.knots), 0.0, 1.0))
                     done[key] = p, [{"example": int(model.ids[j]), "similarity": float(x), "toxic": int(model.toxic[j])} for x, j in zip(s[:EVIDENCE], o[:EVIDENCE])]
                 out.append(done[key])
@@ -229,7 +242,7 @@ class ToxicityModel:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_toxic: int = 3000, most_clean: int = 6000, most_terms: int = 2048, least_chi2: float = 20.0,
+    most_toxic: int = 3000, most_clean: int = 6000,
 ) -> ToxicityModel:
     """A model from at most most_toxic + most_clean labelled documents and the term counts of all documents.
 
@@ -243,17 +256,18 @@ def fit_toxicity(
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(float(n1)) - F.col("toxic"), F.lit(float(n0)) - F.col("clean")
     chi2 = (a * d - b * c) ** 2 * (n1 + n0) / (float(max(n1 * n0, 1)) * (a + b) * F.greatest(c + d, F.lit(1.0)))
-    picked = (
+    # Sorted by relevance: leading terms, by which examples are laid out, are the telling ones.
+    terms = (
         examples.mapInPandas(_selection, "feature string, toxic long, clean long")
         .groupBy("feature").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("clean").cast("double").alias("clean"))
-        .filter("toxic + clean >= 4").withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2)
-        .orderBy(F.desc("chi2"), "feature").limit(most_terms).select("feature").collect()
+        .select("feature", chi2.alias("chi2")).toPandas().sort_values(["chi2", "feature"], ascending=[False, True])
     )
-    vocabulary = {r.feature: i for i, r in enumerate(picked)}
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r.term: r.n for r in counted}
-    total = df.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    vocabulary = {f: i for i, f in enumerate(terms["feature"])}
+    relevance = LEAST_RELEVANCE + np.sqrt(terms["chi2"].to_numpy(float) / max(n1 + n0, 1))
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted["term"].to_numpy(np.int64)] = counted["n"]
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance
     rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toPandas()
     # Examples with the same leading term lie together, which keeps block bounds tight.
     rows["lead"] = [min(t, default=len(vocabulary)) for t in rows["terms"]]
@@ -265,7 +279,14 @@ def fit_toxicity(
     model = ToxicityModel(vocabulary, idf, rows["id"].to_numpy(np.int64), y, weight, all_sizes.get(1, 0) / labelled if labelled else 0.0)
     vectors = [model.vector(t, n) for t, n in zip(rows["terms"], rows["tf"])]
     model.build(vectors)
-    model.calibrate(vectors)
+
+    def votes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"i": pdf["id"], "vote": [model.vote(*model.nearest(*vectors[i], i)) for i in pdf["id"]]})
+
+    spark = docs.sparkSession
+    raw = spark.range(0, len(vectors), 1, shuffle_partitions(spark)).mapInPandas(votes, "i long, vote double").toPandas()
+    model.calibrate(raw.sort_values("i")["vote"].to_numpy(float))
     return model
 
 

@@ -180,6 +180,17 @@ def test_index_gives_the_exact_nearest():
         assert list(o) == order and np.allclose(s, cos[order])
 
 
+def test_toxicity_indexes_all_terms_of_the_examples(spark):
+    """Documents without a telling word have neighbours too, and a toxic word in one example finds that example."""
+    docs, labels = labelled(spark)
+    more = spark.createDataFrame([(3001, "qqrare ka lo mi", "en", "s", 15), (3002, "some qqrare thing", "en", "s", 17)], DOCS)
+    more_labels = spark.createDataFrame([(3001, 1, 1)], "doc_id long, quality int, toxic int")
+    assert zlib.crc32(b"3001") % 5
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs.unionByName(more), labels.unionByName(more_labels)).collect()}
+    assert all(r.neighbors for i, r in got.items() if i is not None and i < 400)
+    assert got[3002].neighbors[0].example == 3001
+
+
 def test_toxicity_without_labels(spark, empty):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
