@@ -139,22 +139,40 @@ class Tracker:
 TRACKED = "session string, ordinal bigint, entry_id string, count bigint"
 
 
+def by_session(df: DataFrame, order: list[str], start, step, schema: str) -> DataFrame:
+    """Fold each session's rows in order: step(state, row) gives an output tuple, start() a session's first state.
+
+    Sorted partitions are streamed batch by batch and only the state is carried on, however long a session is.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        session, state = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False, name="Row"):
+                own = None if pd.isna(r.session) else r.session
+                if state is None or own != session:
+                    session, state = own, start()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition("session").sortWithinPartitions("session", *order).mapInPandas(run, schema)
+
+
 def track(df: DataFrame, session: str, ordinal: str, text_col: str, shelf: str | None = None, frame: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """session, ordinal, entry_id, count: each observation's entry, named after the observation that opened it.
 
-    The fold depends on order and on at most 80 remembered observations, so each session is one sequential group.
+    The fold depends on order and on at most 80 remembered observations, so a session is one sequence, which is streamed.
     """
     site = [F.col(c) for c in (shelf, frame, start, end)] if shelf else [F.lit(None).cast("double")] * 4
     d = df.select(F.col(session).cast("string").alias("session"), F.col(ordinal).cast("bigint").alias("ordinal"), match_key(F.col(text_col), True).alias("key"), *[c.cast("double").alias(n) for c, n in zip(site, ("shelf", "frame", "s", "e"))])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        for r in pdf.sort_values("ordinal").itertuples():
-            o = tracker.note(f"{r.session}-{r.ordinal}", r.key, None if pd.isna(r.shelf) else (r.shelf, r.frame, r.s, r.e))
-            out.append((r.session, r.ordinal, o["entry_id"], o["count"]))
-        return pd.DataFrame(out, columns=["session", "ordinal", "entry_id", "count"])
+    def step(tracker: Tracker, r) -> tuple:
+        o = tracker.note(f"{r.session}-{r.ordinal}", r.key, None if pd.isna(r.shelf) else (r.shelf, r.frame, r.s, r.e))
+        return r.session, r.ordinal, o["entry_id"], o["count"]
 
-    return d.groupBy("session").applyInPandas(fold, TRACKED)
+    return by_session(d, ["ordinal", "key"], Tracker, step, TRACKED)
 
 
 def text_join(observations: DataFrame, known: DataFrame, o_id: str, o_key: str, k_id: str, k_key: str) -> DataFrame:

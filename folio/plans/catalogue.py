@@ -644,8 +644,8 @@ def strip_scale(spark, sf_dir):
 @query(f"""
 SELECT o_custkey || '-' || CAST(i - 1 AS VARCHAR) AS id, codes[i] AS isbn13 FROM (SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS codes FROM orders GROUP BY ALL), unnest(range(1, len(codes) + 1)) AS u(i)""")
 def entries_from_isbns(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("session")).agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: k.cast("string")).alias("codes"))
-    return recognition.entries_from_isbns(d, "codes", "session").select("id", "isbn13")
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("session"), "o_orderkey", F.col("o_orderkey").cast("string").alias("code"))
+    return recognition.entries_from_isbns(d, "code", "session", "o_orderkey").select("id", "isbn13")
 
 
 @query(f"""

@@ -61,9 +61,10 @@ def best_pass(passes: DataFrame, key: str, order: str, columns: str) -> DataFram
     return passes.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def entries_from_isbns(df: DataFrame, isbns: str, prefix: str) -> DataFrame:
-    """One unverified entry per scanned ISBN, named prefix-0, prefix-1, ..."""
-    d = df.select(prefix, F.posexplode(isbns).alias("i", "isbn13"))
+def entries_from_isbns(df: DataFrame, isbn: str, prefix: str, order: str) -> DataFrame:
+    """One unverified entry per scanned ISBN (a row each), named prefix-0, prefix-1, ... in order."""
+    w = Window.partitionBy(prefix).orderBy(order)
+    d = df.select(prefix, F.col(isbn).alias("isbn13"), (F.row_number().over(w) - 1).alias("i"))
     return d.select(
         F.concat(F.col(prefix), F.lit("-"), F.col("i").cast("string")).alias("id"), F.col(prefix).alias("photo_id"), F.col("isbn13").alias("raw_text"), "isbn13", F.lit("barcode").alias("isbn_provenance"),
         F.lit("unverified").alias("status"), F.lit(False).alias("pinned"), F.lit("barcode").alias("input_kind"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.observe import by_session
 from ..schema import FORCE_MS, NEW_SHELF, RESCUE_MS, RESCUE_RATIO, RETRY_MS, STABLE_TICKS, STILL
 
 DECIDED = "session string, at bigint, decision string"
@@ -40,9 +40,5 @@ class Gate:
 def capture_gate(df: DataFrame, session: str, at: str, usable: str, moved: str, sharp: str) -> DataFrame:
     """session, at, decision of each frame: capture, wait, reject, or held (the shelf in view is captured already)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate, pdf = Gate(), pdf.sort_values("at")
-        return pd.DataFrame({"session": pdf["session"], "at": pdf["at"], "decision": [gate.frame(r.at_, r.usable, r.moved, r.sharp) for r in pdf.rename(columns={"at": "at_"}).itertuples()]})
-
     d = df.select(F.col(session).cast("string").alias("session"), F.col(at).cast("bigint").alias("at"), F.col(usable).alias("usable"), F.col(moved).alias("moved"), F.col(sharp).alias("sharp"))
-    return d.groupBy("session").applyInPandas(fold, DECIDED)
+    return by_session(d, ["at", "usable", "moved", "sharp"], Gate, lambda gate, r: (r.session, r.at, gate.frame(r.at, r.usable, r.moved, r.sharp)), DECIDED)

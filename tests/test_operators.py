@@ -57,6 +57,37 @@ def test_gap_chunks_split_segments(spark):
     assert [r.chunk for r in got] == [0, 0, 0, 0, 1, 1, 2, 2]
 
 
+def test_large_groups_are_streamed_and_counted(spark):
+    """No operator takes a whole group at once, and the folds carry their state over batches of two rows."""
+    from folio.sources import recognition
+    from folio.streaming.capture import Gate, capture_gate
+
+    rng = random.Random(8)
+    rows = [(s, i, 400 * i, rng.choice(["red widget", "blue bolts", "green gear"]), rng.random() < 0.8, rng.random() / 20, rng.random()) for s in ("a", "b", "c") for i in range(60)]
+    d = spark.createDataFrame(rows, "s string, i long, at long, t string, u boolean, m double, h double").repartition(3)
+    want_tracked, want_decided = set(), set()
+    for s in ("a", "b", "c"):
+        tracker, gate = observe.Tracker(), Gate()
+        for _, i, at, t, u, m, h in (r for r in rows if r[0] == s):
+            o = tracker.note(f"{s}-{i}", t.replace(" ", ""), None)
+            want_tracked.add((s, i, o["entry_id"], o["count"]))
+            want_decided.add((s, at, gate.frame(at, u, m, h)))
+    tracked, decided = observe.track(d, "s", "i", "t"), capture_gate(d, "s", "at", "u", "m", "h")
+    chunks, entries = mentions.gap_chunks(d, "s", "i", "at", "m"), recognition.entries_from_isbns(d, "t", "s", "i")
+    plan = lambda x: x._jdf.queryExecution().toString()
+    for x in (tracked, decided, chunks, entries):
+        assert "FlatMapGroupsInPandas" not in plan(x) and "collect_list" not in plan(x)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert set(map(tuple, tracked.collect())) == want_tracked and set(map(tuple, decided.collect())) == want_decided
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {(r.id, r.isbn13) for r in entries.collect()} == {(f"{s}-{i}", t) for s, i, _, t, *_ in rows}
+    values = spark.createDataFrame([("k", v) for v in (1.0, 4.0, 4.0, 9.0, None, 2.0, 9.0)] + [("n", None)], "k string, v double")
+    assert [tuple(r) for r in mentions.upper_median(values, "k", F.col("v"), "m").collect()] == [("k", 4.0)]
+
+
 def test_blocking_loses_no_candidate(spark):
     from folio.functions import similarity as sim
 
