@@ -384,7 +384,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near copies of a row with a smaller id: one row of each group stays."""
-    joined = ngram_jaccard_join(docs, id_col, text_col)
-    gone = joined.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs with one row of each group of near copies: the first by id (null ids last), then by a hash of id and text.
+
+    A row is its id and text, not its id alone: several texts of one id are linked by their own shingles only, and rows
+    without an id are grouped like others. Of rows that repeat both, one stays. Rows without words all stay.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)))
+    joined = materialize(ngram_jaccard_join(keyed, "__row", text_col).filter("n_shingles > 0").groupBy("__row").agg(F.min("component_id").alias("component"), F.count("*").alias("n")))
+    ids = keyed.select("__row", F.col(id_col).alias("__id")).dropDuplicates(["__row"])
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row"))
+    best = joined.join(ids, "__row").groupBy("component").agg(first.alias("r")).select(F.col("r.__row").alias("__row"))
+    gone = joined.join(best, "__row", "left_anti").select("__row")
+    repeated = joined.filter("n > 1").select("__row")
+    left = keyed.join(gone, "__row", "left_anti")
+    once = left.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return left.join(repeated, "__row", "left_anti").unionByName(once).select(*docs.columns)

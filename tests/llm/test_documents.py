@@ -122,6 +122,17 @@ def test_keep_one_keeps_the_smallest(spark, docs):
     assert kept == {i for i, c in components(plain_sets(texts())).items() if i == c}
 
 
+def test_keep_one_by_rows(spark):
+    """Repeated rows, null ids, and an id with two texts of which one is a near copy of a smaller id."""
+    a, b, c, e = ("a1 b c d e f g h", "p q r s t u v", "k l m n o 1 2", "w x y z 3 4 5")
+    rows = [(1, a), (1, a), (2, a + " i"), (2, b), (3, c), (3, c), (None, c), (None, e), (None, e), (4, ""), (4, ""), (None, None), (None, None)]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = ngram_jaccard.keep_one(d)
+    assert kept.columns == d.columns
+    want = Counter([(1, a), (2, b), (3, c), (None, e), (4, ""), (4, ""), (None, None), (None, None)])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
