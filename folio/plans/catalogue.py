@@ -172,6 +172,22 @@ def relaxed_search(spark, sf_dir):
     return resolve.relaxed_search(q, r).select("query_id.*", "record_id", "step", "rank")
 
 
+@query("""
+WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 2 THEN p_name || ' zzz' ELSE p_name END AS p_name, CASE WHEN p_partkey % 3 = 1 THEN 'nobody' ELSE p_brand END AS p_brand FROM part),
+m AS (SELECT q.p_name, q.p_brand, r.p_partkey, CASE WHEN NOT list_has_all(string_split(r.p_name, ' '), string_split(q.p_name, ' ')) THEN 3 WHEN q.p_brand = r.p_brand THEN 1 ELSE 2 END AS step
+      FROM q JOIN part r ON list_has_any(string_split(q.p_name, ' '), string_split(r.p_name, ' ')))
+SELECT p_name, p_brand, p_partkey AS record_id, step, CAST(row_number() OVER (PARTITION BY p_name, p_brand ORDER BY step, p_partkey) AS INTEGER) AS rank FROM m
+QUALIFY step = min(step) OVER (PARTITION BY p_name, p_brand) AND row_number() OVER (PARTITION BY p_name, p_brand ORDER BY step, p_partkey) <= 10""")
+def relaxed_search_all(spark, sf_dir):
+    """relaxed_search over every record; a third of the queries names another author, a third has a word more."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    words, author = F.split("p_name", " "), sim.author_keys(F.array("p_brand"))[0]
+    altered = p.select(F.when(k == 2, F.concat("p_name", F.lit(" zzz"))).otherwise(F.col("p_name")).alias("p_name"), F.when(k == 1, "nobody").otherwise(F.col("p_brand")).alias("p_brand"))
+    q = altered.distinct().select(F.struct("p_name", "p_brand").alias("query_id"), words.alias("words"), author.alias("author_key"))
+    r = p.select(F.col("p_partkey").alias("record_id"), words.alias("words"), author.alias("author_key"))
+    return resolve.relaxed_search(q, r).select("query_id.*", "record_id", "step", "rank")
+
+
 def _catalog(p: DataFrame) -> DataFrame:
     sources = F.array_compact(F.array(F.when(F.col("p_partkey") % 2 == 0, "openbd"), F.when(F.col("p_partkey") % 3 == 0, "googleBooks"), F.when(F.col("p_partkey") % 5 == 0, "ndl")))
     return p.select(F.explode(sources).alias("source"), F.col("p_partkey").alias("ordinal"), book_isbn(F.col("p_partkey")).alias("isbn13"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_type").alias("publisher"))
@@ -445,6 +461,15 @@ def hash_pairs(spark, sf_dir):
     return observe.hamming_join(d, "vec_id", "hash").select("left", "right", F.col("bits").cast("bigint").alias("bits"))
 
 
+@query(f"""
+WITH h AS (SELECT * FROM {HASH_SQL})
+SELECT a.vec_id AS "left", b.vec_id AS "right", {o.hamming('a.h', 'b.h')} AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE {o.hamming('a.h', 'b.h')} <= 6""")
+def hash_pairs_64(spark, sf_dir):
+    """hash_pairs over all 64 bits."""
+    d = _grids(spark, sf_dir).select("vec_id", images.visual_hash(F.col("grid")).alias("hash"))
+    return observe.hamming_join(d, "vec_id", "hash").select("left", "right", F.col("bits").cast("bigint").alias("bits"))
+
+
 @query(f"""
 WITH p AS (SELECT vec_id, g, list_transform(list_filter(range(64), lambda i: i >= 8 AND i < 56 AND i % 8 > 0 AND i % 8 < 7), lambda i: CAST(g[i] + g[i + 2] + g[i - 7] + g[i + 9] - 4 * g[i + 1] AS DOUBLE)) AS lap FROM {GRID_SQL}),
 q AS (SELECT vec_id, round(list_sum(g) / 64.0 / 255, 6) AS brightness, round(len(list_filter(g, lambda v: v >= 254)) / 64.0, 6) AS blowout, round(least(1.0, (list_sum(list_transform(lap, lambda x: x * x)) / 36.0 - power(list_sum(lap) / 36.0, 2)) / 2000.0), 6) AS sharpness FROM p)

@@ -125,6 +125,19 @@ def test_hamming_join_is_complete(spark):
     assert {(r.left, r.right) for r in got} == want and len(got) == len(want)
 
 
+def test_whole_catalogue_and_whole_hashes(spark, tmp_path):
+    from folio.plans import catalogue
+
+    parts = [(k, f"word{k} same", f"Brand#{k}", "t") for k in range(1, 10)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.QUERIES["relaxed_search_all"](spark, str(tmp_path)).collect()
+    assert {r.record_id for r in got if r.step < 3} == {1, 3, 4, 6, 7, 9} and {r.record_id for r in got if r.step == 3} == set(range(1, 10))
+    low, high = [-0.5] * 16, [0.5] * 8 + [-0.5] * 8
+    rows = [(1, 0, low + high + low * 2), (2, 0, low + high * 2 + low), (3, 0, low + high + low * 2)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(r) for r in catalogue.QUERIES["hash_pairs_64"](spark, str(tmp_path)).collect()] == [(1, 3, 0)]
+
+
 def test_tracker_by_place_text_and_memory():
     t = observe.Tracker(recent=2)
     assert t.note("a", "吾輩は猫である", (0, 1, 0.1, 0.2))["count"] == 1
