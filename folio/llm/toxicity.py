@@ -152,24 +152,25 @@ class ToxicityModel:
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
     def vector(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.asarray(terms, np.int64)
+        terms = np.asarray(terms, np.int32)
         w = (1 + np.log(np.asarray(tf, float))) * self.idf[terms]
         return terms, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings by term, then by example; a cell is what a term has in one block, cell_ptr[t] its first one."""
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
         val = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         order = np.lexsort((own, term))
         term, self.ords, self.vals = term[order], own[order], val[order]
+        del order, own, val
         blocks = len(vectors) // BLOCK + 1
-        cell = term * blocks + self.ords // BLOCK
+        cell = term.astype(np.int64) * blocks + self.ords // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_ptr = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
         self.cell_block = (cell[first] % blocks).astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.vals, first) if len(first) else np.empty(0)
-        self.cell_at = np.append(first, len(term))
+        self.cell_at = np.append(first, len(term)).astype(np.int32)
 
     def _scores(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of all examples as far as they lie in the cells, 0 elsewhere; w by cell."""
@@ -264,6 +265,7 @@ def fit_toxicity(
     )
     vocabulary = {f: i for i, f in enumerate(terms["feature"])}
     relevance = LEAST_RELEVANCE + np.sqrt(terms["chi2"].to_numpy(float) / max(n1 + n0, 1))
+    del terms
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocabulary) + 1)
     df[counted["term"].to_numpy(np.int64)] = counted["n"]
@@ -278,14 +280,18 @@ def fit_toxicity(
     labelled = all_sizes.get(0, 0) + all_sizes.get(1, 0)
     model = ToxicityModel(vocabulary, idf, rows["id"].to_numpy(np.int64), y, weight, all_sizes.get(1, 0) / labelled if labelled else 0.0)
     vectors = [model.vector(t, n) for t, n in zip(rows["terms"], rows["tf"])]
+    del rows
     model.build(vectors)
+    del vectors
 
     def votes(batches):
+        cache, place = Features(vocabulary), {d: i for i, d in enumerate(model.ids.tolist())}
         for pdf in batches:
-            yield pd.DataFrame({"i": pdf["id"], "vote": [model.vote(*model.nearest(*vectors[i], i)) for i in pdf["id"]]})
+            counts = [cache.counts(t) for t in pdf["text"]]
+            at = [place[d] for d in pdf["id"]]
+            yield pd.DataFrame({"i": at, "vote": [model.vote(*model.nearest(*model.vector(list(c), list(c.values())), i)) for i, c in zip(at, counts)]}, columns=["i", "vote"])
 
-    spark = docs.sparkSession
-    raw = spark.range(0, len(vectors), 1, shuffle_partitions(spark)).mapInPandas(votes, "i long, vote double").toPandas()
+    raw = examples.repartition(shuffle_partitions(docs.sparkSession)).mapInPandas(votes, "i long, vote double").toPandas()
     model.calibrate(raw.sort_values("i")["vote"].to_numpy(float))
     return model
 
