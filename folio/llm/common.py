@@ -6,6 +6,7 @@ bytes other than space, tab, line feed, vertical tab, form feed and carriage ret
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ _MASK = (1 << 64) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a fresh local one only where none is configured."""
+    """The cluster's shared folder from spark.checkpoint.dir; a fresh local one only in a local session without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,7 +38,16 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -111,7 +123,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .filter("u != v")
             .distinct()
         )
-        e = materialize(small)
+        last, e = e, materialize(small)
+        release(last)
         seen = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen.n, seen.x) == mark:
             break

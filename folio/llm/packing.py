@@ -9,8 +9,10 @@ within their length. The histogram has at most 256 bars, so the program is small
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,25 +24,42 @@ from .common import materialize
 CAPACITY = 2048
 UNIT = 8
 END_ID = 1
+#: Characters of texts whose parts are in memory at once (one longer text counts alone).
+SPLIT_CHARS = 1_000_000
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, remembered up to a bound.
+class WordIds:
+    """word -> its ids as little-endian 32-bit bytes, remembered in two generations of at most `limit` words or so.
 
-    The tokenizer lower-cases, drops white space, and no token or special string spans a space or line feed, so a text's
-    ids are those of its parts between them; each distinct part is encoded once. Words of letters are encoded many at
-    a time, told apart by the tokens that end a word; a comma or full stop after a word is a token of its own.
+    Holds for tokenizers that lower-case, drop white space and have no token over a space or line feed (`splits`): a
+    text's ids are then those of its parts between them, and each distinct part is encoded once. Words of letters are
+    encoded many at a time, told apart by the tokens that end a word; a comma or full stop after a word is a token of
+    its own. With any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 120_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.limit, self.tok = limit, Tokenizer.from_file(path)
+        self.splits = self._drops_spaces(json.loads(self.tok.to_str()))
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._one(m) for m in ",."}
+        self.marks = {m: self._one(m) for m in ",."} if self.splits else {}
+
+    @staticmethod
+    def _drops_spaces(made_of: dict) -> bool:
+        def kinds(part):
+            return [part["type"], *(k for x in part.get("normalizers", part.get("pretokenizers", [])) for k in kinds(x))] if part else []
+
+        added = [t["content"] for t in made_of.get("added_tokens", [])]
+        normal, cut = kinds(made_of.get("normalizer")), json.dumps(made_of.get("pre_tokenizer"))
+        return (
+            "Lowercase" in normal and set(normal) <= {"Sequence", "NFC", "Replace", "Lowercase"} and '"Removed"' in cut
+            and made_of["model"].get("end_of_word_suffix") == "</w>" and not any(c.isspace() for t in added for c in t)
+        )
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,48 +67,65 @@ class WordIds(dict):
     def _letters(self, words: list[str], ids: np.ndarray) -> None:
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or cuts[-1] != len(ids):
-            self.update((w, self._one(w)) for w in words)
+            self.words.update((w, self._one(w)) for w in words)
             return
         data, at = ids.tobytes(), 0
         for w, end in zip(words, (4 * cuts).tolist()):
-            self[w] = data[at:end]
+            self.words[w] = data[at:end]
             at = end
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(words)
+        known = self.words
+        if len(known) > self.limit:
+            self.older, self.words = known, {}
+            known = self.words
+        new = []
+        for w in words:
+            if w not in known:
+                if w in self.older:
+                    known[w] = self.older[w]
+                else:
+                    new.append(w)
         marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
-        plain = {w for w in new if w.isalpha()} | {w[:-1] for w in marked if w[:-1] not in self}
-        plain = list(plain)
+        plain = list({w for w in new if w.isalpha()} | {w[:-1] for w in marked if w[:-1] not in known})
         chunks = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
-        for words, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
-            self._letters(words, np.array(e.ids, "<u4"))
+        for part, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            self._letters(part, np.array(e.ids, "<u4"))
         for w in marked:
-            self[w] = self[w[:-1]] + self.marks[w[-1]]
-        rest = [w for w in new if w not in self]
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        rest = [w for w in new if w not in known]
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def all_ids(self, texts: list[str]) -> list[bytes]:
-        # Special strings are matched as they are written, and a final sigma is lower-cased by its neighbours.
-        parts = [(t if "<|" in t or "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        self.learn({w for words in parts for w in words})
-        return [b"".join(map(self.__getitem__, words)) for words in parts]
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def all_ids(self, texts: list[str]):
+        """The ids of each text, in turn; texts are split some at a time, so that their parts never lie in memory all at once."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= SPLIT_CHARS:
+                size += len(texts[end])
+                end += 1
+            if self.splits:
+                # Special strings are matched as they are written, and a final sigma is lower-cased by its neighbours.
+                parts = [(t if "<|" in t or "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts[at:end]]
+                self.learn({w for words in parts for w in words})
+                for words in parts:
+                    yield b"".join(map(self.words.__getitem__, words))
+            else:
+                for e in self.tok.encode_batch_fast(texts[at:end], add_special_tokens=False):
+                    yield np.array(e.ids, "<u4").tobytes()
+            at = end
 
 
 def _pieces(path: str, capacity: int):
-    """text -> its pieces; the cache of words lives as long as the worker's process."""
+    """text -> its pieces; the bounded cache of words lives as long as the worker's process."""
 
     @F.pandas_udf("array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint>>")
     def cut(texts: pd.Series) -> pd.Series:
-        cache, end, out = _word_ids(path), np.array([END_ID], "<u4").tobytes(), []
-        for ids in cache.all_ids(list(texts)):
+        end, out = np.array([END_ID], "<u4").tobytes(), []
+        for ids in _word_ids(path).all_ids(list(texts)):
             ids += end
             n = len(ids) // 4
             rows = []
@@ -102,7 +138,7 @@ def _pieces(path: str, capacity: int):
     return cut
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
@@ -130,19 +166,46 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), out
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """One pattern per size, as columns: each fills up by falling size with what is still wanted and is taken until a
+    size runs out. A later pattern lacks the sizes that ran out before, so the matrix is triangular but for its order."""
+    k, left = len(sizes), demand.astype(float)
+    columns, open_sizes = np.zeros((k, k)), list(np.argsort(-sizes))
+    for at in range(k):
+        pattern, room = np.zeros(k), capacity
+        for j in open_sizes:
+            pattern[j] = take = min(int(np.ceil(left[j])), room // int(sizes[j]))
+            room -= take * int(sizes[j])
+        used = np.flatnonzero(pattern)
+        out = used[(left[used] / pattern[used]).argmin()]
+        left = np.maximum(left - pattern * left[out] / pattern[out], 0)
+        left[open_sizes] = np.maximum(left[open_sizes], 1e-9)
+        columns[:, at] = pattern
+        open_sizes.remove(out)
+    return columns
+
+
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> list[tuple[np.ndarray, int]]:
     """(pattern, times): patterns of at most `capacity` that cover the demand of each size exactly.
 
-    A revised simplex whose columns are priced by the knapsack, starting from one homogeneous pattern per size.
+    A revised simplex whose columns are priced by the knapsack, starting from one pattern per size, greedily chosen. The
+    optimum is at least the total size over the capacity, and at least the present value divided by the worth of the
+    best pattern under the present duals; the search ends when a bound proves it to be within `gap` of the optimum. Demands are told apart by less than the rounding
+    looks at, so that no step is without progress and none returns to a former basis.
     """
     k = len(sizes)
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1.0 / np.diag(columns)) if k else np.zeros((0, 0))
-    x = inverse @ demand
-    for round_no in range(most_rounds if k else 0):
+    wanted = demand + 1e-7 * (1 + np.arange(k)) / max(k, 1)
+    columns = _greedy_basis(sizes, wanted, capacity)
+    inverse = np.linalg.inv(columns) if k else np.zeros((0, 0))
+    x = inverse @ wanted
+    least = float(sizes @ wanted) / capacity
+    for round_no in count() if k else ():
         duals = inverse.sum(axis=0)
+        if x.sum() <= least * (1 + gap):
+            break
         value, pattern = knapsack(duals, sizes, capacity)
-        if value <= 1 + 1e-7:
+        least = max(least, x.sum() / value)
+        if value <= 1 + 1e-9:
             break
         step = inverse @ pattern
         up = step > 1e-9
@@ -157,7 +220,7 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_
         inverse[others] -= np.outer(step[others], inverse[out])
         if round_no % 200 == 199:
             inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
+            x = np.maximum(inverse @ wanted, 0)
     plan = [(columns[:, j].astype(np.int64), int(x[j] + 1e-6)) for j in range(k) if x[j] + 1e-6 >= 1]
     left = demand - sum((p * n for p, n in plan), np.zeros(k, np.int64))
     # Rounding down can leave a few of each size over, or (patterns cover at least the demand) take a few too many.
