@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they fill the index with all their terms
-(words and word beginnings). Document frequencies are counted over all documents. A term weighs its inverse document
-frequency times its relevance, which is its correlation with the label and a floor, so no term is left out. Terms that
-no example has can't be shared with one and don't count in a document's norm. Examples are laid out in blocks of 128; for each term and block the index keeps the largest weight, so a
-query looks at the blocks of highest bound first and then only at those whose bound reaches the k-th best so far: the k
-nearest are exact. Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base
-rate, and calibrated by isotonic regression on leave-one-out votes of the examples.
+Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they fill the index with all their words.
+Document frequencies are counted over all documents. A term weighs its inverse document frequency times its relevance,
+which is its squared correlation with the label (small for words of few examples) and a floor, so no term is left out. Words that no example has can't be shared
+with one and don't count in a document's norm. Examples are laid out in blocks of 128 of the same kind; for each term
+and block the index keeps the largest weight. Documents are looked up some at a time: the two blocks of highest bound
+give a k-th best similarity, and of the others only those whose bound reaches it are looked at, so the k nearest are
+exact. Terms that many examples hold have their postings stored as rows of a matrix, the others as lists.
+
+Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base rate, and
+calibrated by isotonic regression on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,94 +23,81 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, release, shuffle_partitions
 from .samples import held_out, labelled_sample, texts_of
 
 BLOCK = 128
-PREFIXES = range(3, 8)
-EVIDENCE = 3
+#: A term that this share of the examples holds has its postings stored as a row.
+COMMON = 0.04
+#: Documents that are looked up together.
+TOGETHER = 32
 #: Relevance of a term that tells nothing about the label; a perfect one has 1 more.
-LEAST_RELEVANCE = 0.01
+LEAST_RELEVANCE = 0.005
 _RESULT = "score double, neighbors array<struct<example: bigint, similarity: double, toxic: int>>"
 
 
-def features_of(token: bytes) -> tuple[str, ...]:
-    """A token's features: the lower-cased word without marks at its ends, and its beginnings."""
-    word = token.decode("utf-8", "replace").lower()
-    while word and not word[0].isalnum():
-        word = word[1:]
-    while word and not word[-1].isalnum():
-        word = word[:-1]
-    if not word:
-        return ()
-    word = word[:64]
-    return (word, *(f"{word[:k]}^" for k in PREFIXES if k < len(word)))
+def word_of(token: str) -> str:
+    """A lower-cased token without the marks at its ends."""
+    start, end = 0, len(token)
+    while start < end and not token[start].isalnum():
+        start += 1
+    while end > start and not token[end - 1].isalnum():
+        end -= 1
+    return token[start:end]
 
 
-class Features(dict):
-    """token -> ids of its features in the vocabulary, remembered up to a bound."""
+class Terms(dict):
+    """token -> its word, or the word's number in the vocabulary (-1 for others); remembered up to a bound."""
 
-    def __init__(self, vocabulary: dict[str, int] | None = None, limit: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int] | None = None, limit: int = 150_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
 
-    def __missing__(self, token: bytes):
+    def __missing__(self, token: str):
         if len(self) >= self.limit:
             self.clear()
-        found = features_of(token)
-        if self.vocabulary is not None:
-            found = tuple(self.vocabulary[f] for f in found if f in self.vocabulary)
-        self[token] = found
+        word = word_of(token)
+        found = self[token] = word if self.vocabulary is None else self.vocabulary.get(word, -1)
         return found
 
-    def counts(self, text: str) -> Counter:
-        out: Counter = Counter()
-        for token, n in Counter(text.encode("utf-8", "replace").split()).items():
-            for f in self[token]:
-                out[f] += n
+    def counts(self, text: str | None) -> dict:
+        """How often each word (or number) occurs; tokens without a letter or digit don't count."""
+        out: dict = {}
+        for token, n in Counter((text or "").lower().split()).items():
+            t = self[token]
+            out[t] = out.get(t, 0) + n
+        out.pop("" if self.vocabulary is None else -1, None)
         return out
 
 
-_SHARED: dict[int, Features] = {}
-
-
-def shared_features(vocabulary: dict[str, int]) -> Features:
-    """The cache of the latest vocabulary in this worker's process; tasks that follow each other there share it."""
-    key = hash(tuple(vocabulary.items()))
-    if key not in _SHARED:
-        _SHARED.clear()
-        _SHARED[key] = Features(vocabulary)
-    return _SHARED[key]
-
-
 def _selection(batches):
-    """(feature, toxic examples with it, clean examples with it), summed over the task."""
-    cache, seen = Features(), {}
+    """(word, toxic examples with it, clean examples with it), summed over the task."""
+    cache, seen = Terms(), {}
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"]):
             for f in cache.counts(text):
                 seen.setdefault(f, [0, 0])[y] += 1
-    yield pd.DataFrame([(f, n[1], n[0]) for f, n in seen.items()], columns=["feature", "toxic", "clean"])
+    yield pd.DataFrame([(f, n[1], n[0]) for f, n in seen.items()], columns=["word", "toxic", "clean"])
 
 
-def _frequencies(vocabulary: dict[str, int]):
+def _frequencies(vocabulary):
     def run(batches):
-        cache, total, n = shared_features(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        cache, n = Terms(vocabulary.value), 0
+        total = np.zeros(len(vocabulary.value) + 1, np.int64)  # the last place takes other words
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
                 if text:
-                    ids = {i for token in set(text.encode("utf-8", "replace").split()) for i in cache[token]}
-                    total[list(ids)] += 1
-        some = np.flatnonzero(total)
+                    total[list({cache[token] for token in set(text.lower().split())})] += 1
+        some = np.flatnonzero(total[:-1])
         yield pd.DataFrame({"term": np.concatenate([[-1], some]), "n": np.concatenate([[n], total[some]])})
 
     return run
 
 
-def _vectors(vocabulary: dict[str, int]):
+def _vectors(vocabulary):
     def run(batches):
-        cache = Features(vocabulary)
+        cache = Terms(vocabulary.value)
         for pdf in batches:
             counts = [cache.counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
@@ -133,9 +123,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them), one range after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -143,6 +137,9 @@ class ToxicityModel:
     base: float
     k: int = 15
     shrink: float = 0.05
+    column: np.ndarray = field(default=None, repr=False)  # by term: its row of `rows`, or -1
+    rows: np.ndarray = field(default=None, repr=False)
+    row_max: np.ndarray = field(default=None, repr=False)
     ords: np.ndarray = field(default=None, repr=False)
     vals: np.ndarray = field(default=None, repr=False)
     cell_ptr: np.ndarray = field(default=None, repr=False)
@@ -152,57 +149,80 @@ class ToxicityModel:
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
     def vector(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.asarray(terms, np.int32)
+        terms = np.asarray(terms, np.int64)
         w = (1 + np.log(np.asarray(tf, float))) * self.idf[terms]
         return terms, w / (np.sqrt((w * w).sum()) or 1.0)
 
+    def vector_of(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
+        return self.vector(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings by term, then by example; a cell is what a term has in one block, cell_ptr[t] its first one."""
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
         val = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        blocks, n_terms = len(vectors) // BLOCK + 1, len(self.idf)
+        many = np.flatnonzero(np.bincount(term, minlength=n_terms) > max(COMMON * len(vectors), BLOCK // 8))
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[many] = np.arange(len(many))
+        row = self.column[term]
+        self.rows = np.zeros((len(many), blocks * BLOCK))
+        self.rows[row[row >= 0], own[row >= 0]] = val[row >= 0]
+        self.row_max = self.rows.reshape(len(many), blocks, BLOCK).max(axis=2)
+        term, val, own = term[row < 0], val[row < 0], own[row < 0]
         order = np.lexsort((own, term))
         term, self.ords, self.vals = term[order], own[order], val[order]
-        del order, own, val
-        blocks = len(vectors) // BLOCK + 1
-        cell = term.astype(np.int64) * blocks + self.ords // BLOCK
+        cell = term * blocks + self.ords // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_ptr = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        self.cell_ptr = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
         self.cell_block = (cell[first] % blocks).astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.vals, first) if len(first) else np.empty(0)
         self.cell_at = np.append(first, len(term)).astype(np.int32)
 
-    def _scores(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Cosines of all examples as far as they lie in the cells, 0 elsewhere; w by cell."""
-        start, n = self.cell_at[cells], self.cell_at[cells + 1] - self.cell_at[cells]
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.ords[at], self.vals[at] * np.repeat(w, n), len(self.ids))
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties by position; exact.
-
-        The blocks of highest bound give a k-th best so far; only blocks whose bound reaches it are looked at.
-        """
-        if not len(terms):
-            return np.empty(0), np.empty(0, np.int64)
-        start, n = self.cell_ptr[terms], self.cell_ptr[terms + 1] - self.cell_ptr[terms]
-        cells = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        w, block = np.repeat(w, n), self.cell_block[cells]
-        bound = np.bincount(block, self.cell_max[cells] * w, len(self.ids) // BLOCK + 1)
-        first = np.isin(block, np.argsort(-bound, kind="stable")[:2])
-        best = self._scores(cells[first], w[first])
-        if skip >= 0:
-            best[skip] = 0
-        least = np.partition(best, -self.k)[-self.k] if len(best) > self.k else 0.0
-        live = (bound > 0) & (bound >= least - 1e-9)
-        s = self._scores(cells[live[block]], w[live[block]]).round(9)
-        if skip >= 0:
-            s[skip] = 0
-        at = np.flatnonzero((s > 0) & (s >= least - 1e-8))
-        if len(at) > self.k:
-            at = at[s[at] >= np.partition(s[at], -self.k)[-self.k]]
-        at = at[np.lexsort((at, -s[at]))[: self.k]]
-        return s[at], at
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of largest positive cosine, ties by position; exact."""
+        docs, blocks = len(vectors), self.row_max.shape[1]
+        width = blocks * BLOCK
+        doc = np.repeat(np.arange(docs), [len(t) for t, _ in vectors])
+        term, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        col = self.column[term]
+        dense = np.zeros((docs, len(self.rows)))
+        dense[doc[col >= 0], col[col >= 0]] = w[col >= 0]
+        doc, term, w = doc[col < 0], term[col < 0], w[col < 0]
+        n = self.cell_ptr[term + 1] - self.cell_ptr[term]
+        cells = _ranges(self.cell_ptr[term], n)
+        doc, w = np.repeat(doc, n), np.repeat(w, n)
+        at = doc * blocks + self.cell_block[cells]
+        bound = dense @ self.row_max + np.bincount(at, self.cell_max[cells] * w, docs * blocks).reshape(docs, blocks)
+        s = np.zeros((docs, width))
+
+        def look(live: np.ndarray) -> None:
+            """Add up the cosines of the examples in the live blocks."""
+            for b in np.flatnonzero(live.any(axis=0)):
+                of = np.flatnonzero(live[:, b])
+                s[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
+            on = np.flatnonzero(live.reshape(-1)[at])
+            c = cells[on]
+            n = self.cell_at[c + 1] - self.cell_at[c]
+            post = _ranges(self.cell_at[c], n)
+            s.reshape(-1)[:] += np.bincount(np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post] * np.repeat(w[on], n), docs * width)
+            if skip is not None:
+                s[np.arange(docs), skip] = 0
+
+        first = np.zeros((docs, blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
+        look(first)
+        k = min(self.k, width)
+        least = np.partition(s, width - k, axis=1)[:, width - k]
+        look((bound > 0) & (bound >= least[:, None] - 1e-9) & ~first)
+        out = []
+        for x, low in zip(s.round(9), least):
+            o = np.flatnonzero((x > 0) & (x >= low - 1e-8))
+            if len(o) > k:
+                o = o[x[o] >= np.partition(x[o], -k)[-k]]
+            o = o[np.lexsort((o, -x[o]))[:k]]
+            out.append((x[o], o))
+        return out
 
     def vote(self, s: np.ndarray, o: np.ndarray) -> float:
         v = s * s * self.weight[o]
@@ -215,99 +235,127 @@ class ToxicityModel:
         else:
             self.knots = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
 
-    def udf(self):
-        """text -> struct(score, neighbors); a document's vector is looked up once per task."""
-        model = self
-
-        @F.pandas_udf(_RESULT)
-        def score(batches: pd.Series) -> pd.DataFrame:
-            cache, done = shared_features(model.vocabulary), model.__dict__.setdefault("_done", {})
-            out = []
-            for text in batches:
-                key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
-                if key not in done:
-                    counts = sorted(cache.counts(text or "").items())
-                    if len(done) > 50_000:
-                        done.clear()
-                    s, o = model.nearest(*model.vector([t for t, _ in counts], [n for _, n in counts]))
-                    p = float(np.clip(np.interp(model.vote(s, o), *model.knots), 0.0, 1.0))
-                    done[key] = p, [{"example": int(model.ids[j]), "similarity": float(x), "toxic": int(model.toxic[j])} for x, j in zip(s[:EVIDENCE], o[:EVIDENCE])]
-                out.append(done[key])
-            return pd.DataFrame(out, columns=["score", "neighbors"])
+    def scored(self, texts: list[str], cache: Terms) -> list[tuple]:
+        """(score, neighbors) of each text."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            for s, o in self.nearest([self.vector_of(cache.counts(t)) for t in texts[at : at + TOGETHER]]):
+                p = float(np.clip(np.interp(self.vote(s, o), *self.knots), 0.0, 1.0))
+                out.append((p, [{"example": i, "similarity": x, "toxic": y} for i, x, y in zip(self.ids[o].tolist(), s.tolist(), self.toxic[o].tolist())]))
+        return out
 
-        return score
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+def _layout(vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, n_terms: int, rounds: int = 4) -> np.ndarray:
+    """An order of the examples in which like ones lie together, which keeps block bounds tight: by label, then by the
+    nearest of some centres over the commonest terms."""
+    if not vectors:
+        return np.empty(0, np.int64)
+    term, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+    own = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:256]
+    place = np.full(n_terms, -1)
+    place[common] = np.arange(len(common))
+    x = np.zeros((len(vectors), len(common)))
+    x[own[place[term] >= 0], place[term[place[term] >= 0]]] = w[place[term] >= 0]
+    centre = x[:: max(1, len(x) // max(1, len(x) // (2 * BLOCK)))]
+    for _ in range(rounds):
+        of = (x @ centre.T).round(9).argmax(axis=1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, of, x)
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return np.lexsort((np.arange(len(x)), of, toxic))
+
+
+def _scorer(spark, model: ToxicityModel, vocabulary):
+    """text -> struct(score, neighbors); equal texts of a batch are looked up once."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(_RESULT)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache = Terms(vocabulary.value)
+        for texts in batches:
+            of: dict = {}
+            at = [of.setdefault(t or "", len(of)) for t in texts]
+            found = shared.value.scored(list(of), cache)
+            yield pd.DataFrame([found[i] for i in at], columns=["score", "neighbors"])
+
+    return score
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     most_toxic: int = 3000, most_clean: int = 6000,
-) -> ToxicityModel:
-    """A model from at most most_toxic + most_clean labelled documents and the term counts of all documents.
+):
+    """(model, vocabulary as a broadcast) from at most most_toxic + most_clean labelled documents and the word counts of
+    all documents. What is broadcast is bounded by the words of the examples.
 
     Without labelled rows, or with one class only, every document scores the base rate (0 without labels).
     """
+    spark = docs.sparkSession
     sample = materialize(labelled_sample(labels, id_col, label_col, {1: most_toxic, 0: most_clean}))
-    examples = materialize(texts_of(docs, sample, id_col, text_col))
+    examples = materialize(texts_of(docs, sample, id_col, text_col).repartition(shuffle_partitions(spark)))
     sizes = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count("*").alias("n"))
     all_sizes = {r.y: r.n for r in known.collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(float(n1)) - F.col("toxic"), F.lit(float(n0)) - F.col("clean")
     chi2 = (a * d - b * c) ** 2 * (n1 + n0) / (float(max(n1 * n0, 1)) * (a + b) * F.greatest(c + d, F.lit(1.0)))
-    # Sorted by relevance: leading terms, by which examples are laid out, are the telling ones.
     terms = (
-        examples.mapInPandas(_selection, "feature string, toxic long, clean long")
-        .groupBy("feature").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("clean").cast("double").alias("clean"))
-        .select("feature", chi2.alias("chi2")).toPandas().sort_values(["chi2", "feature"], ascending=[False, True])
+        examples.mapInPandas(_selection, "word string, toxic long, clean long")
+        .groupBy("word").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("clean").cast("double").alias("clean"))
+        .select("word", chi2.alias("chi2")).toPandas().sort_values("word")
     )
-    vocabulary = {f: i for i, f in enumerate(terms["feature"])}
-    relevance = LEAST_RELEVANCE + np.sqrt(terms["chi2"].to_numpy(float) / max(n1 + n0, 1))
+    vocabulary = spark.sparkContext.broadcast({f: i for i, f in enumerate(terms["word"])})
+    relevance = LEAST_RELEVANCE + terms["chi2"].to_numpy(float) / max(n1 + n0, 1)
     del terms
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(vocabulary) + 1)
+    df = np.zeros(len(relevance) + 1)
     df[counted["term"].to_numpy(np.int64)] = counted["n"]
+    del counted
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance
-    rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toPandas()
-    # Examples with the same leading term lie together, which keeps block bounds tight.
-    rows["lead"] = [min(t, default=len(vocabulary)) for t in rows["terms"]]
-    rows = rows.sort_values(["lead", "id"]).reset_index(drop=True)
-    y = rows["y"].to_numpy(np.int64)
+    rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toPandas().sort_values("id")
+    y, ids = rows["y"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
     share = {k: all_sizes.get(k, 0) / max(sizes.get(k, 0), 1) for k in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0]) / max(share[0], share[1], 1e-9)
     labelled = all_sizes.get(0, 0) + all_sizes.get(1, 0)
-    model = ToxicityModel(vocabulary, idf, rows["id"].to_numpy(np.int64), y, weight, all_sizes.get(1, 0) / labelled if labelled else 0.0)
+    model = ToxicityModel(idf, ids, y, np.ones(len(ids)), all_sizes.get(1, 0) / labelled if labelled else 0.0)
     vectors = [model.vector(t, n) for t, n in zip(rows["terms"], rows["tf"])]
     del rows
-    model.build(vectors)
+    order = _layout(vectors, y, len(idf))
+    model.ids, model.toxic = ids[order], y[order]
+    model.weight = np.where(model.toxic == 1, share[1], share[0]) / max(share[0], share[1], 1e-9)
+    model.build([vectors[i] for i in order])
     del vectors
+    shared = spark.sparkContext.broadcast(model)
 
     def votes(batches):
-        cache, place = Features(vocabulary), {d: i for i, d in enumerate(model.ids.tolist())}
+        m, cache = shared.value, Terms(vocabulary.value)
+        place = {d: i for i, d in enumerate(m.ids.tolist())}
         for pdf in batches:
-            counts = [cache.counts(t) for t in pdf["text"]]
-            at = [place[d] for d in pdf["id"]]
-            yield pd.DataFrame({"i": at, "vote": [model.vote(*model.nearest(*model.vector(list(c), list(c.values())), i)) for i, c in zip(at, counts)]}, columns=["i", "vote"])
+            at, raw = [place[d] for d in pdf["id"]], []
+            for k in range(0, len(at), TOGETHER):
+                found = m.nearest([m.vector_of(cache.counts(t)) for t in pdf["text"].iloc[k : k + TOGETHER]], at[k : k + TOGETHER])
+                raw += [m.vote(*x) for x in found]
+            yield pd.DataFrame({"i": at, "vote": raw})
 
-    raw = examples.repartition(shuffle_partitions(docs.sparkSession)).mapInPandas(votes, "i long, vote double").toPandas()
+    raw = examples.mapInPandas(votes, "i long, vote double").toPandas()
     model.calibrate(raw.sort_values("i")["vote"].to_numpy(float))
-    return model
+    shared.destroy()
+    release(sample, examples)
+    return model, vocabulary
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
-    """One row per document: id_col, held_out, score (0 to 1), predicted (score >= 0.5), neighbors (the evidence).
+    """One row per document: id_col, held_out, score (0 to 1), predicted (score >= 0.5), neighbors (all that vote).
 
-    Null and empty texts have no features: they get the calibrated score of a document without neighbours. Rows with
+    Null and empty texts have no words: they get the calibrated score of a document without neighbours. Rows with
     a null id or a repeated id are scored like any other. Other columns are ignored, whatever their names.
     """
-    udf = fit_toxicity(docs, labels, id_col, text_col, **fit).udf()
+    udf = _scorer(docs.sparkSession, *fit_toxicity(docs, labels, id_col, text_col, **fit))
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), udf(F.col(text_col)).alias("r"))
     return scored.select(id_col, "held_out", "r.score", (F.col("r.score") >= 0.5).cast("int").alias("predicted"), "r.neighbors")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
     """docs without the rows that score threshold or more; all columns stay."""
-    udf = fit_toxicity(docs, labels, id_col, text_col, **fit).udf()
+    udf = _scorer(docs.sparkSession, *fit_toxicity(docs, labels, id_col, text_col, **fit))
     return docs.filter(udf(F.col(text_col)).getField("score") < threshold)
