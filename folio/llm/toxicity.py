@@ -14,9 +14,9 @@ calibrated by isotonic regression on leave-one-out votes of the examples.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,11 @@ from .samples import held_out, labelled_sample, texts_of
 
 BLOCK = 128
 #: A term that this share of the examples holds has its postings stored as a row.
-COMMON = 0.04
+COMMON = 0.05
+#: More than single precision can be wrong in a cosine.
+SLACK = 1e-4
 #: Documents that are looked up together.
-TOGETHER = 32
+TOGETHER = 64
 #: Relevance of a term that tells nothing about the label; a perfect one has 1 more.
 LEAST_RELEVANCE = 0.005
 _RESULT = "score double, neighbors array<struct<example: bigint, similarity: double, toxic: int>>"
@@ -47,49 +49,70 @@ def word_of(token: str) -> str:
 
 
 class Terms(dict):
-    """token -> its word, or the word's number in the vocabulary (-1 for others); remembered up to a bound."""
+    """token -> its word's 64-bit hash, or that word's number in the sorted hashes of a vocabulary (-1 for others);
+    remembered up to a bound. Tokens without a letter or digit are no words (0, or -1)."""
 
-    def __init__(self, vocabulary: dict[str, int] | None = None, limit: int = 150_000):
+    def __init__(self, vocabulary: np.ndarray | None = None, limit: int = 300_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
 
-    def __missing__(self, token: str):
-        if len(self) >= self.limit:
-            self.clear()
-        word = word_of(token)
-        found = self[token] = word if self.vocabulary is None else self.vocabulary.get(word, -1)
-        return found
-
-    def counts(self, text: str | None) -> dict:
-        """How often each word (or number) occurs; tokens without a letter or digit don't count."""
-        out: dict = {}
-        for token, n in Counter((text or "").lower().split()).items():
-            t = self[token]
-            out[t] = out.get(t, 0) + n
-        out.pop("" if self.vocabulary is None else -1, None)
-        return out
+    def _learn(self, tokens: list[str]) -> None:
+        words = np.array([t if t.isalnum() else word_of(t) for t in tokens], object)
+        hashes = np.where(words != "", pd.util.hash_array(words, categorize=False), np.uint64(0))
+        if self.vocabulary is not None:
+            at = self.vocabulary.searchsorted(hashes)
+            there = (at < len(self.vocabulary)) & (hashes != 0)
+            there[there] = self.vocabulary[at[there]] == hashes[there]
+            hashes = np.where(there, at, -1)
+        self.update(zip(tokens, hashes.tolist()))
+
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position of the text, word's number or hash, how often it occurs), by text and word; other tokens left out."""
+        tokens = [(t or "").lower().split() for t in texts]
+        doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        flat = list(chain.from_iterable(tokens))
+        if new := {t for t in flat if t not in self}:
+            if len(self) + len(new) > self.limit:
+                self.clear()
+                new = set(flat)
+            self._learn(list(new))
+        if self.vocabulary is None:
+            term = np.fromiter(map(self.__getitem__, flat), np.uint64, len(flat))
+            doc, term = doc[term != 0], term[term != 0]
+            order = np.lexsort((term, doc))
+            doc, term = doc[order], term[order]
+            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.append(True, term[1:] != term[:-1])[: len(term)])
+            return doc[first], term[first], np.diff(np.append(first, len(doc)))
+        term = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        both, n = np.unique(doc[term >= 0] << 32 | term[term >= 0], return_counts=True)
+        return both >> 32, both & 0xFFFFFFFF, n
+
+
+def _groups(texts):
+    return (texts[at : at + TOGETHER] for at in range(0, len(texts), TOGETHER))
 
 
 def _selection(batches):
-    """(word, toxic examples with it, clean examples with it), summed over the task."""
-    cache, seen = Terms(), {}
+    """(word's hash, toxic examples with it, clean examples with it), summed over the batch."""
+    cache = Terms()
     for pdf in batches:
-        for text, y in zip(pdf["text"], pdf["y"]):
-            for f in cache.counts(text):
-                seen.setdefault(f, [0, 0])[y] += 1
-    yield pd.DataFrame([(f, n[1], n[0]) for f, n in seen.items()], columns=["word", "toxic", "clean"])
+        words, labels = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for part, y in zip(_groups(list(pdf["text"])), _groups(pdf["y"].to_numpy(np.int64))):
+            doc, word, _ = cache.of(part)
+            words.append(word), labels.append(y[doc])
+        found, at = np.unique(np.concatenate(words), return_inverse=True)
+        toxic, total = np.bincount(at, np.concatenate(labels), len(found)).astype(np.int64), np.bincount(at, minlength=len(found))
+        yield pd.DataFrame({"word": found.view(np.int64), "toxic": toxic, "clean": total - toxic})
 
 
 def _frequencies(vocabulary):
     def run(batches):
-        cache, n = Terms(vocabulary.value), 0
-        total = np.zeros(len(vocabulary.value) + 1, np.int64)  # the last place takes other words
+        cache, n, total = Terms(vocabulary.value), 0, np.zeros(len(vocabulary.value), np.int64)
         for pdf in batches:
             n += len(pdf)
-            for text in pdf["text"]:
-                if text:
-                    total[list({cache[token] for token in set(text.lower().split())})] += 1
-        some = np.flatnonzero(total[:-1])
+            for part in _groups(list(pdf["text"])):
+                np.add.at(total, cache.of(part)[1], 1)
+        some = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.concatenate([[-1], some]), "n": np.concatenate([[n], total[some]])})
 
     return run
@@ -99,8 +122,13 @@ def _vectors(vocabulary):
     def run(batches):
         cache = Terms(vocabulary.value)
         for pdf in batches:
-            counts = [cache.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+            terms, tf = [], []
+            for part in _groups(list(pdf["text"])):
+                doc, term, n = cache.of(part)
+                cuts = np.searchsorted(doc, np.arange(1, len(part)))
+                terms += np.split(term, cuts)
+                tf += np.split(n, cuts)
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": terms, "tf": tf})
 
     return run
 
@@ -148,27 +176,22 @@ class ToxicityModel:
     cell_at: np.ndarray = field(default=None, repr=False)
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
-    def vector(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(tf, float))) * self.idf[terms]
-        return terms, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def vector_of(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        return self.vector(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+    def vectors(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight): the texts' vectors, each of length 1."""
+        w = (1 + np.log(tf)) * self.idf[term]
+        norm = np.sqrt(np.bincount(doc, w * w))
+        return doc, term, w / np.maximum(norm, 1e-300)[doc] if len(doc) else w
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def build(self, own: np.ndarray, term: np.ndarray, val: np.ndarray) -> None:
         """Postings by term, then by example; a cell is what a term has in one block, cell_ptr[t] its first one."""
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
-        val = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        blocks, n_terms = len(vectors) // BLOCK + 1, len(self.idf)
-        many = np.flatnonzero(np.bincount(term, minlength=n_terms) > max(COMMON * len(vectors), BLOCK // 8))
+        blocks, n_terms = len(self.ids) // BLOCK + 1, len(self.idf)
+        many = np.flatnonzero(np.bincount(term, minlength=n_terms) > max(COMMON * len(self.ids), BLOCK // 8))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[many] = np.arange(len(many))
         row = self.column[term]
-        self.rows = np.zeros((len(many), blocks * BLOCK))
-        self.rows[row[row >= 0], own[row >= 0]] = val[row >= 0]
-        self.row_max = self.rows.reshape(len(many), blocks, BLOCK).max(axis=2)
+        self.rows = np.zeros((blocks * BLOCK, len(many)), np.float32)
+        self.rows[own[row >= 0], row[row >= 0]] = val[row >= 0]
+        self.row_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, -1).max(axis=1).T)
         term, val, own = term[row < 0], val[row < 0], own[row < 0]
         order = np.lexsort((own, term))
         term, self.ords, self.vals = term[order], own[order], val[order]
@@ -179,14 +202,12 @@ class ToxicityModel:
         self.cell_max = np.maximum.reduceat(self.vals, first) if len(first) else np.empty(0)
         self.cell_at = np.append(first, len(term)).astype(np.int32)
 
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the k examples of largest positive cosine, ties by position; exact."""
-        docs, blocks = len(vectors), self.row_max.shape[1]
+    def nearest(self, docs: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some texts, given as their vectors, the k examples of largest positive cosine, ties by position; exact."""
+        blocks = self.row_max.shape[1]
         width = blocks * BLOCK
-        doc = np.repeat(np.arange(docs), [len(t) for t, _ in vectors])
-        term, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
         col = self.column[term]
-        dense = np.zeros((docs, len(self.rows)))
+        dense = np.zeros((docs, len(self.row_max)), np.float32)
         dense[doc[col >= 0], col[col >= 0]] = w[col >= 0]
         doc, term, w = doc[col < 0], term[col < 0], w[col < 0]
         n = self.cell_ptr[term + 1] - self.cell_ptr[term]
@@ -194,34 +215,43 @@ class ToxicityModel:
         doc, w = np.repeat(doc, n), np.repeat(w, n)
         at = doc * blocks + self.cell_block[cells]
         bound = dense @ self.row_max + np.bincount(at, self.cell_max[cells] * w, docs * blocks).reshape(docs, blocks)
-        s = np.zeros((docs, width))
+        s, rest = np.zeros((docs, width), np.float32), np.zeros(docs * width)
 
         def look(live: np.ndarray) -> None:
-            """Add up the cosines of the examples in the live blocks."""
+            """Add up the cosines of the examples in the live blocks: of the common terms in s, of the others in rest."""
             for b in np.flatnonzero(live.any(axis=0)):
                 of = np.flatnonzero(live[:, b])
-                s[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
+                s[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
             on = np.flatnonzero(live.reshape(-1)[at])
             c = cells[on]
             n = self.cell_at[c + 1] - self.cell_at[c]
             post = _ranges(self.cell_at[c], n)
-            s.reshape(-1)[:] += np.bincount(np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post] * np.repeat(w[on], n), docs * width)
-            if skip is not None:
-                s[np.arange(docs), skip] = 0
+            rest[:] += np.bincount(np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post] * np.repeat(w[on], n), docs * width)
 
         first = np.zeros((docs, blocks), bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        np.put_along_axis(first, best, True, axis=1)
         look(first)
-        k = min(self.k, width)
-        least = np.partition(s, width - k, axis=1)[:, width - k]
-        look((bound > 0) & (bound >= least[:, None] - 1e-9) & ~first)
+        total = s + rest.reshape(docs, width)
+        if skip is not None:
+            total[np.arange(docs), skip] = 0
+        seen = total.reshape(docs, blocks, BLOCK)[np.arange(docs)[:, None], best].reshape(docs, -1)
+        k = min(self.k, seen.shape[1])
+        least = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k] - SLACK
+        look((bound > 0) & (bound >= least[:, None]) & ~first)
+        total = s + rest.reshape(docs, width)
+        if skip is not None:
+            total[np.arange(docs), skip] = 0
         out = []
-        for x, low in zip(s.round(9), least):
-            o = np.flatnonzero((x > 0) & (x >= low - 1e-8))
+        for x, more, q, low in zip(total, rest.reshape(docs, width), dense.astype(float), least):
+            o = np.flatnonzero(x > max(low, 0.0))
             if len(o) > k:
-                o = o[x[o] >= np.partition(x[o], -k)[-k]]
-            o = o[np.lexsort((o, -x[o]))[:k]]
-            out.append((x[o], o))
+                o = o[x[o] >= np.partition(x[o], -k)[-k] - SLACK]
+            # What may be among the nearest is added up anew in double precision.
+            exact = (self.rows[o].astype(float) @ q + more[o]).round(9)
+            by = np.lexsort((o, -exact))[:k]
+            by = by[exact[by] > 0]
+            out.append((exact[by], o[by]))
         return out
 
     def vote(self, s: np.ndarray, o: np.ndarray) -> float:
@@ -238,24 +268,22 @@ class ToxicityModel:
     def scored(self, texts: list[str], cache: Terms) -> list[tuple]:
         """(score, neighbors) of each text."""
         out = []
-        for at in range(0, len(texts), TOGETHER):
-            for s, o in self.nearest([self.vector_of(cache.counts(t)) for t in texts[at : at + TOGETHER]]):
+        for part in _groups(texts):
+            for s, o in self.nearest(len(part), *self.vectors(*cache.of(part))):
                 p = float(np.clip(np.interp(self.vote(s, o), *self.knots), 0.0, 1.0))
                 out.append((p, [{"example": i, "similarity": x, "toxic": y} for i, x, y in zip(self.ids[o].tolist(), s.tolist(), self.toxic[o].tolist())]))
         return out
 
 
-def _layout(vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, n_terms: int, rounds: int = 4) -> np.ndarray:
+def _layout(own: np.ndarray, term: np.ndarray, w: np.ndarray, toxic: np.ndarray, n_terms: int, rounds: int = 4) -> np.ndarray:
     """An order of the examples in which like ones lie together, which keeps block bounds tight: by label, then by the
     nearest of some centres over the commonest terms."""
-    if not vectors:
+    if not len(toxic):
         return np.empty(0, np.int64)
-    term, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
-    own = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
     common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:256]
     place = np.full(n_terms, -1)
     place[common] = np.arange(len(common))
-    x = np.zeros((len(vectors), len(common)))
+    x = np.zeros((len(toxic), len(common)))
     x[own[place[term] >= 0], place[term[place[term] >= 0]]] = w[place[term] >= 0]
     centre = x[:: max(1, len(x) // max(1, len(x) // (2 * BLOCK)))]
     for _ in range(rounds):
@@ -301,30 +329,34 @@ def fit_toxicity(
     a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(float(n1)) - F.col("toxic"), F.lit(float(n0)) - F.col("clean")
     chi2 = (a * d - b * c) ** 2 * (n1 + n0) / (float(max(n1 * n0, 1)) * (a + b) * F.greatest(c + d, F.lit(1.0)))
     terms = (
-        examples.mapInPandas(_selection, "word string, toxic long, clean long")
+        examples.mapInPandas(_selection, "word long, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("clean").cast("double").alias("clean"))
-        .select("word", chi2.alias("chi2")).toPandas().sort_values("word")
+        .select("word", chi2.alias("chi2")).toArrow()
     )
-    vocabulary = spark.sparkContext.broadcast({f: i for i, f in enumerate(terms["word"])})
-    relevance = LEAST_RELEVANCE + terms["chi2"].to_numpy(float) / max(n1 + n0, 1)
-    del terms
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    words = terms["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    vocabulary = spark.sparkContext.broadcast(words[order])
+    relevance = LEAST_RELEVANCE + terms["chi2"].to_numpy()[order] / max(n1 + n0, 1)
+    del terms, words, order
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(relevance) + 1)
-    df[counted["term"].to_numpy(np.int64)] = counted["n"]
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     del counted
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance
-    rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toPandas().sort_values("id")
-    y, ids = rows["y"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+    rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toArrow().sort_by("id")
+    y, ids = rows["y"].to_numpy().astype(np.int64), rows["id"].to_numpy()
     share = {k: all_sizes.get(k, 0) / max(sizes.get(k, 0), 1) for k in (0, 1)}
     labelled = all_sizes.get(0, 0) + all_sizes.get(1, 0)
     model = ToxicityModel(idf, ids, y, np.ones(len(ids)), all_sizes.get(1, 0) / labelled if labelled else 0.0)
-    vectors = [model.vector(t, n) for t, n in zip(rows["terms"], rows["tf"])]
-    del rows
-    order = _layout(vectors, y, len(idf))
+    lists = [rows[c].combine_chunks() for c in ("terms", "tf")]
+    own = np.repeat(np.arange(len(ids)), np.diff(lists[0].offsets.to_numpy()))
+    own, term, w = model.vectors(own, *(x.values.to_numpy() for x in lists))
+    del rows, lists
+    order = _layout(own, term, w, y, len(idf))
     model.ids, model.toxic = ids[order], y[order]
     model.weight = np.where(model.toxic == 1, share[1], share[0]) / max(share[0], share[1], 1e-9)
-    model.build([vectors[i] for i in order])
-    del vectors
+    model.build(np.argsort(order)[own].astype(np.int32), term.astype(np.int64), w)
+    del own, term, w
     shared = spark.sparkContext.broadcast(model)
 
     def votes(batches):
@@ -333,12 +365,13 @@ def fit_toxicity(
         for pdf in batches:
             at, raw = [place[d] for d in pdf["id"]], []
             for k in range(0, len(at), TOGETHER):
-                found = m.nearest([m.vector_of(cache.counts(t)) for t in pdf["text"].iloc[k : k + TOGETHER]], at[k : k + TOGETHER])
+                part = list(pdf["text"].iloc[k : k + TOGETHER])
+                found = m.nearest(len(part), *m.vectors(*cache.of(part)), at[k : k + TOGETHER])
                 raw += [m.vote(*x) for x in found]
             yield pd.DataFrame({"i": at, "vote": raw})
 
-    raw = examples.mapInPandas(votes, "i long, vote double").toPandas()
-    model.calibrate(raw.sort_values("i")["vote"].to_numpy(float))
+    raw = examples.mapInPandas(votes, "i long, vote double").toArrow().sort_by("i")
+    model.calibrate(raw["vote"].to_numpy())
     shared.destroy()
     release(sample, examples)
     return model, vocabulary

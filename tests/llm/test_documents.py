@@ -178,14 +178,16 @@ def test_index_gives_the_exact_nearest():
     vectors = []
     for _ in range(n):
         t = np.sort(rng.choice(terms, rng.integers(0, 6), replace=False, p=np.r_[np.full(4, 0.15), np.full(36, 0.4 / 36)]))
-        vectors.append(model.vector(t, rng.integers(1, 4, len(t))))
-    model.build(vectors)
+        vectors.append((t, model.vectors(np.zeros(len(t), np.int64), t, rng.integers(1, 4, len(t)))[2]))
+    flat = lambda at: (np.repeat(np.arange(len(at)), [len(vectors[i][0]) for i in at]), *(np.concatenate([vectors[i][k] for i in at]) for k in (0, 1)))
+    own, t, w = flat(range(n))
+    model.build(own.astype(np.int32), t, w)
     dense = np.zeros((n, terms))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    assert 0 < len(model.rows) < terms
+    assert 0 < len(model.row_max) < terms
     at = list(range(0, n, 7))
-    for i, (s, o) in zip(at, model.nearest([vectors[i] for i in at], at)):
+    for i, (s, o) in zip(at, model.nearest(len(at), *flat(at), at)):
         cos = (dense @ dense[i]).round(9)
         cos[i] = -1
         order = [j for j in np.lexsort((np.arange(n), -cos)) if cos[j] > 0][:10]
