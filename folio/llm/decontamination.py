@@ -3,9 +3,10 @@
 Passages are overlapping windows, wide enough that any run of words as long as the longest item lies in one. An item is
 retrieved where its BM25 score for the passage reaches a share of what the item scores for itself, so the threshold
 means the same for short and long items, and all items above it are retrieved, not the k best. Evaluation skips by
-block-max WAND: items lie in blocks with each term's largest impact; terms that together can't lift an item over its
-threshold never open it, blocks whose bound stays below their lowest threshold are left out, and only what passes is
-scored in full. Retrieved pairs are verified by the overlap of word 5-grams with the item's question and answer.
+block-max WAND: items lie in blocks with each term's largest impact; a passage's terms are taken by falling bound up to
+the pivot, and those beyond it open no block; blocks whose bound stays below the threshold are left out, and only what
+passes is scored in full. Retrieved pairs are verified by the overlap of word 5-grams with the item's question and answer,
+or with the whole item where that overlap is high.
 
 The index is built on the driver from at most index_bytes of items at a time; more items are taken in several blocks,
 each against all documents.
@@ -19,12 +20,18 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K1, B = 1.2, 0.75
-ITEMS_PER_BLOCK = 64
+ITEMS_PER_BLOCK = 16
 NGRAM = 5
+#: An item is found too where this share of its 5-grams is there, whatever is missing (an answer of one changed word).
+WHOLE = 0.8
+#: A threshold, in shares of it, less what rounding may take.
+REACHED = 1 - 1e-9
 _HIT = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
 
 
@@ -75,63 +82,96 @@ class Bm25Index:
     item_ids: np.ndarray
     window: int
     threshold: np.ndarray  # by item
-    rest: np.ndarray  # by item: what its inessential terms add at most
-    term_blocks: tuple  # ptr by term, block, largest impact
-    cells: tuple  # ptr by (term, block) entry, item, impact
-    impacts: list  # by item: {term: impact}
+    term_blocks: tuple  # ptr by term, block, largest share
+    cells: tuple  # ptr by (term, block) entry, item, share
+    largest: np.ndarray  # by term: the largest share in any item
+    impacts: tuple  # ptr by item, term, impact: all terms of each item
     parts: list  # by item: (question ngrams, answer ngrams), each of (n, set)
-    block_floor: np.ndarray  # by block: the least of threshold - rest
+    n_blocks: int
 
     def retrieve(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first word of the passage, score) of all passages and items that reach the item's threshold."""
+        """(item, first word of the passage, score) of all passages and items that reach the item's threshold.
+
+        Only an item's essential terms are listed, those without which it can't reach its threshold; impacts are shares
+        of what the other terms leave of the threshold at least. In each passage the terms are taken in the order of their largest
+        share; from the pivot on, where what is left can't add up to a threshold any more, terms open no block. The blocks
+        that the terms before it open are bounded by all terms of the passage, and only items in blocks whose bound
+        reaches the threshold are added up.
+        """
         ptr, blocks, most = self.term_blocks
         at = np.flatnonzero(ids >= 0)
-        at = at[ptr[ids[at] + 1] > ptr[ids[at]]]
         if not len(at):
             return []
-        stride, n_blocks = self.window // 2, len(self.block_floor)
+        stride, n_blocks, n_terms = self.window // 2, self.n_blocks, len(self.largest)
         # Each word lies in the passage that begins at its stride and in the one before.
-        words = np.concatenate([at, at])
-        passage = np.concatenate([at // stride, at // stride - 1])
-        keep = passage >= 0
-        pairs = np.unique(passage[keep] * len(self.vocabulary) + ids[words[keep]])
-        passage, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        passage, words = at // stride, ids[at]
+        later = passage > 0
+        pairs = np.unique(np.concatenate([passage * n_terms + words, (passage[later] - 1) * n_terms + words[later]]))
+        passage, term = pairs // n_terms, pairs % n_terms
+        share = self.largest[term]
+        enough = np.bincount(passage, share) >= REACHED
+        keep = enough[passage]
+        if not keep.any():
+            return []
+        passage, term, share = passage[keep], term[keep], share[keep]
+        order = np.lexsort((-share, passage))
+        passage, term, share = passage[order], term[order], share[order]
+        # What the terms from here on add up to in their passage.
+        left = np.cumsum(share[::-1])[::-1]
+        ends = np.append(np.flatnonzero(np.diff(passage)) + 1, len(passage))
+        beyond = np.append(left, 0.0)[ends]
+        left = left - np.repeat(beyond, np.diff(np.concatenate([[0], ends])))
+        n_passages = int(passage[-1]) + 1
         count = ptr[term + 1] - ptr[term]
-        entry = np.repeat(ptr[term] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        key, where = np.unique(np.repeat(passage, count) * n_blocks + blocks[entry], return_inverse=True)
-        bound = np.bincount(where, most[entry])
-        live = bound >= self.block_floor[key % n_blocks] - 1e-9
-        open_entry = live[where]
-        if not open_entry.any():
+        entry = _ranges(ptr[term], count)
+        where = np.repeat(passage, count) * n_blocks + blocks[entry]
+        opened = np.zeros(n_passages * n_blocks, bool)
+        opened[where[np.repeat(left >= REACHED, count)]] = True
+        live = opened & (np.bincount(where, most[entry], n_passages * n_blocks) >= REACHED)
+        if not live.any():
             return []
-        entry, passage = entry[open_entry], np.repeat(passage, count)[open_entry]
+        on = live[where]
+        entry, where = entry[on], where[on]
         cell, item, impact = self.cells
         count = cell[entry + 1] - cell[entry]
-        post = np.repeat(cell[entry] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        key, where = np.unique(np.repeat(passage, count) * len(self.item_ids) + item[post], return_inverse=True)
-        bound = np.bincount(where, impact[post])
-        out = []
-        for k in np.flatnonzero(bound + self.rest[key % len(self.item_ids)] >= self.threshold[key % len(self.item_ids)] - 1e-9):
-            p, i = int(key[k] // len(self.item_ids)), int(key[k] % len(self.item_ids))
-            seen = set(ids[p * stride : p * stride + self.window].tolist())
-            score = sum(w for t, w in self.impacts[i].items() if t in seen)
-            if score >= self.threshold[i] - 1e-9:
-                out.append((i, p * stride, score))
-        return out
+        post = _ranges(cell[entry], count)
+        number = np.cumsum(live) - 1
+        key = np.repeat(number[where], count) * ITEMS_PER_BLOCK + item[post] % ITEMS_PER_BLOCK
+        bound = np.bincount(key, impact[post])
+        found = np.flatnonzero(bound >= REACHED)
+        if not len(found):
+            return []
+        # Their scores in full: which of an item's terms the passage has.
+        passage, block = np.divmod(np.flatnonzero(live)[found // ITEMS_PER_BLOCK], n_blocks)
+        item = block * ITEMS_PER_BLOCK + found % ITEMS_PER_BLOCK
+        ptr, term, impact = self.impacts
+        count = ptr[item + 1] - ptr[item]
+        own = _ranges(ptr[item], count)
+        key = np.repeat(passage, count) * n_terms + term[own]
+        there = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+        score = np.bincount(np.repeat(np.arange(len(item)), count), impact[own] * there)
+        ok = score >= self.threshold[item] - 1e-9
+        return list(zip(item[ok].tolist(), (passage[ok] * stride).tolist(), score[ok].tolist()))
 
     def verified(self, ids: np.ndarray, overlap: float) -> list[dict]:
         best: dict[int, tuple] = {}
         for i, start, score in self.retrieve(ids):
             passage = ids[start : start + self.window].tolist()
-            shares = []
+            shares, there_all, size = [], 0, 0
             for n, grams in self.parts[i]:
-                there = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
-                shares.append(len(grams & there) / len(grams))
-            if min(shares) >= overlap:
+                there = len(grams & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)})
+                shares.append(there / len(grams))
+                there_all, size = there_all + there, size + len(grams)
+            if min(shares) >= overlap or there_all >= WHOLE * size:
                 best[i] = max(best.get(i, (0.0,)), (score, *shares))
         return [{"item_id": int(self.item_ids[i]), "score": round(s, 6), "question_overlap": q, "answer_overlap": a} for i, (s, q, a) in sorted(best.items())]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them), one range after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 def build_index(rows: pd.DataFrame, df: dict[str, int], n_items: int, mean_length: float, share: float) -> Bm25Index:
     """rows: item_id, question, answer, n, terms of the items of this index; df, n_items and mean_length of all items."""
     vocabulary = {t: k for k, t in enumerate(sorted({t for terms in rows["terms"] for t in terms}))}
@@ -155,16 +195,21 @@ def build_index(rows: pd.DataFrame, df: dict[str, int], n_items: int, mean_lengt
             grams.append((m, {tuple(ids[k : k + m]) for k in range(len(ids) - m + 1)}))
         parts.append(grams)
     threshold, rest = np.array(threshold), np.array(rest)
+    # Essential terms must reach what the others leave of the threshold, so shares are of that.
+    needed = threshold - rest
     blocks = (len(rows) + ITEMS_PER_BLOCK - 1) // ITEMS_PER_BLOCK
-    floor = np.array([(threshold - rest)[b * ITEMS_PER_BLOCK : (b + 1) * ITEMS_PER_BLOCK].min() for b in range(blocks)])
-    posts = sorted((t, i // ITEMS_PER_BLOCK, i, w) for i, own in enumerate(essential) for t, w in own.items())
+    posts = sorted((t, i // ITEMS_PER_BLOCK, i, w / needed[i]) for i, own in enumerate(essential) for t, w in own.items())
     term, block = np.array([p[0] for p in posts], np.int64), np.array([p[1] for p in posts], np.int64)
     item, impact = np.array([p[2] for p in posts], np.int64), np.array([p[3] for p in posts])
     cell_key, first = np.unique(term * blocks + block, return_index=True)
     most = np.maximum.reduceat(impact, first) if len(first) else np.empty(0)
     ptr = np.searchsorted(cell_key // blocks, np.arange(len(vocabulary) + 1))
+    largest = np.zeros(len(vocabulary))
+    np.maximum.at(largest, term, impact)
     longest = int(rows["n"].max())
-    return Bm25Index(vocabulary, rows["item_id"].to_numpy(np.int64), 2 * max(64, longest), threshold, rest, (ptr, cell_key % blocks, most), (np.append(first, len(posts)), item, impact), impacts, parts, floor)
+    flat = [x for own in impacts for x in own.items()]
+    every = (np.cumsum([0, *map(len, impacts)]), np.array([t for t, _ in flat], np.int64), np.array([w for _, w in flat]))
+    return Bm25Index(vocabulary, rows["item_id"].to_numpy(np.int64), 2 * max(64, longest), threshold, (ptr, cell_key % blocks, most), (np.append(first, len(posts)), item, impact), largest, every, parts, blocks)
 
 
 def _search(index: Bm25Index, overlap: float):
@@ -177,39 +222,43 @@ def _search(index: Bm25Index, overlap: float):
     return hits
 
 
-def benchmark_hits(text: Column, items: DataFrame, item_id: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.5, index_bytes: int = 32 << 20) -> Column:
-    """Array of struct(item_id, score, question_overlap, answer_overlap) of the items found in the text."""
+def _indexes(items: DataFrame, item_id: str, item_text: str, share: float, index_bytes: int):
+    """The indexes of the items, one after the other, each of about index_bytes of text."""
     known = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     rows = known.mapInPandas(_item_rows, "item_id long, question array<string>, answer array<string>, n long, terms array<string>")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     stats = rows.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-    none = F.array().cast(_HIT)
-    if not stats.n:
-        return none
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    blocks = -(-size // index_bytes)
-    found = []
-    for b in range(max(1, blocks)):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == b)
-        own = part.orderBy("item_id", "question").toPandas()
+    parts = max(1, -(-size // index_bytes))
+    for b in range(parts if stats.n else 0):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "n"), F.lit(parts)) == b)
+        own = part.toPandas().sort_values(["n", "item_id"]).reset_index(drop=True)
         if len(own):
             terms = part.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()
-            index = build_index(own, {r.term: r.df for r in terms}, stats.n, stats.mean, share)
-            found.append(_search(index, overlap)(text.cast("binary")))
-    return reduce(lambda x, y: F.concat(x, y), found) if found else none
+            yield parts, build_index(own, {r.term: r.df for r in terms}, stats.n, stats.mean, share)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.5, index_bytes: int = 32 << 20
+) -> DataFrame:
     """One row per document and test item found in it: id_col, item_id, score, question_overlap, answer_overlap.
 
     score is the best BM25 score of any passage. Null and empty texts hold nothing; items with a null id or text, or
     without words, are left out. Repeated documents each give their rows; repeated items are found once per row, and a
-    null document id stays null. Other columns are ignored; an empty table gives an empty result.
+    null document id stays null. Other columns are ignored; an empty table gives an empty result. A benchmark of more
+    than one index is searched one index at a time, so that no job holds more than one.
     """
-    hits = benchmark_hits(F.col(text_col), items, **how)
-    return docs.select(F.col(id_col), F.inline(hits))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows in which a test item is found; all columns stay."""
-    return docs.filter(F.size(benchmark_hits(F.col(text_col), items, **how)) == 0)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = [docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")]
+    for parts, index in _indexes(items, item_id, item_text, share, index_bytes):
+        hits = docs.select(F.col(id_col), F.inline(_search(index, overlap)(F.col(text_col).cast("binary"))))
+        found.append(materialize(hits) if parts > 1 else hits)
+    return reduce(DataFrame.union, found[1:] or found)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.5, index_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the rows in which a test item is found; all columns stay. Null texts hold nothing and stay."""
+    for parts, index in _indexes(items, item_id, item_text, share, index_bytes):
+        docs = docs.filter(F.size(_search(index, overlap)(F.col(text_col).cast("binary"))) == 0)
+        docs = materialize(docs) if parts > 1 else docs
+    return docs

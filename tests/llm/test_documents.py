@@ -297,6 +297,11 @@ def test_contamination_is_verified_and_complete(spark, docs, empty):
             w[at:at] = text.upper().split()
             want.add((i, item))
         rows.append((i, " ".join(w)))
+    # One word changed in an item's answer, and an item without its last words.
+    for i, cut in ((600, lambda w: [*w[:-3], "other", *w[-2:]]), (601, lambda w: w[:-6])):
+        item, text = max(items, key=lambda x: len(x[1]))
+        rows.append((i, " ".join(["ka", *cut(text.split()), "lo"])))
+        want.add((i, item))
     rows += [(500, None), (501, "")]
     table = spark.createDataFrame([*items, (None, "x y"), (900, None), (901, " ")], "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -318,12 +323,14 @@ def test_retrieval_finds_all_above_the_threshold():
     df = Counter(t for terms in rows["terms"] for t in terms)
     index = decontamination.build_index(rows, df, 200, rows["n"].mean(), 0.5)
     terms = decontamination.TermIds(index.vocabulary)
+    ptr, term, impact = index.impacts
+    impacts = [list(zip(term[a:b].tolist(), impact[a:b].tolist())) for a, b in zip(ptr, ptr[1:])]
     for _ in range(20):
         ids = terms.of(" ".join(rng.choices([*vocabulary, "zz"], k=300)).encode())
         want = set()
         for p in range(0, 300, index.window // 2):
             seen = set(ids[p : p + index.window].tolist())
-            want |= {(i, p) for i, own in enumerate(index.impacts) if sum(w for t, w in own.items() if t in seen) >= index.threshold[i] - 1e-9}
+            want |= {(i, p) for i, own in enumerate(impacts) if sum(w for t, w in own if t in seen) >= index.threshold[i] - 1e-9}
         assert {(i, p) for i, p, _ in index.retrieve(ids)} == want
 
 
