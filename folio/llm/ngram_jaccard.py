@@ -12,21 +12,22 @@ decides about cost only, never about results.
 Subsets that collide make candidates; a parity bitmap, whose Hamming distance never exceeds the set difference, drops
 most false ones; the others are verified on the whole shingle sets.
 
-Equal sets are one class from the start. Small collision groups give all their pairs; of large ones, first a star is
+Equal sets are one class from the start, known by a 64-bit hash of the set: among N distinct sets about N^2 / 2^65 pairs
+are taken for equal by chance (0.03 among 10^9). Classes, not ids, are linked; an id that occurs with several texts links
+their classes. Small collision groups give all their pairs; of large ones, first a star is
 verified, then for each member the closest ones of other components, then every pair that still lies in different
 components. So no link between components is lost while a large group of near copies isn't expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, mix64, shingle_set, shuffle_partitions
+from .common import WordHashes, connected_components, materialize, mix64, release, shingle_set, shuffle_partitions
 
 #: Jaccard threshold as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 4, 5
@@ -34,6 +35,8 @@ SMALL_GROUP = 4
 BLOCK_ROWS = 1024
 SAMPLE_SETS, MOST_FREQUENT = 4000, 16_384
 CLOSEST = 4
+#: Ids that are broadcast at most (8 bytes each); a share of the rows that makes a class hot, as its inverse.
+MOST_BROADCAST, HOT_CLASSES = 2_000_000, 500
 BATCH_DOCS = 1000
 
 
@@ -123,16 +126,15 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def set_key(shingles: np.ndarray) -> int:
+    """64-bit hash of a set, as a signed number."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def _summary(texts: pd.Series) -> pd.DataFrame:
     cache = WordHashes()
     sets = [shingle_set(t, cache) for t in texts]
-    return pd.DataFrame(
-        {
-            "n": np.array([len(s) for s in sets], np.int64),
-            "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-            "bits": [parity_bits(s) for s in sets],
-        }
-    )
+    return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int64), "key": np.array([set_key(s) for s in sets], np.int64)})
 
 
 def _counted(batches):
@@ -146,7 +148,8 @@ def _counted(batches):
 def _shingled(batches):
     cache = WordHashes()
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "shingles": [shingle_set(t, cache).tobytes() for t in pdf["text"]]})
+        sets = [shingle_set(t, cache) for t in pdf["text"]]
+        yield pd.DataFrame({"key": np.array([set_key(x) for x in sets], np.int64), "n": np.array([len(x) for x in sets], np.int64), "bits": [parity_bits(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
 
 def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
@@ -154,7 +157,7 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
 
     def run(batches):
         cache = WordHashes()
-        seen: set[bytes] = set()
+        seen: set[int] = set()
 
         def packed(ids, sets):
             at = [np.minimum(np.searchsorted(hot, s), len(hot) - 1) for s in sets]
@@ -172,15 +175,15 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
 
         ids, sets, held = [], [], 0
         for pdf in batches:
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for text in pdf["text"]:
                 s = shingle_set(text, cache)
                 if len(s) < NUM:
                     continue  # such a small set links with equal sets only
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if key in seen:
+                i = set_key(s)
+                if i in seen:
                     continue  # a copy in this task; copies are one class already
                 if len(seen) < 500_000:
-                    seen.add(key)
+                    seen.add(i)
                 ids.append(i), sets.append(s)
                 held += len(s)
                 if len(ids) >= BATCH_DOCS or held > 500_000:
@@ -193,7 +196,7 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
 
 
 def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one bucket: all pairs of small groups, a star and the members of larger ones."""
+    """Candidates of one bucket: all pairs of small groups, a star and the members of larger ones (once per set of members)."""
     base, sig, idx, ids, sizes = 0, [], [], [], []
     for s, l, d, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["sizes"]):
         d = np.frombuffer(d, np.int64)
@@ -222,19 +225,18 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = p >> 32, p & 0xFFFFFFFF
     ok = NUM * np.maximum(size[a], size[b]) <= DEN * np.minimum(size[a], size[b])
     a, b = ids[a[ok]], ids[b[ok]]
-    member = int(pdf["bucket"].iloc[0]) << 32 | s[big]
-    return pd.DataFrame({"sig": np.concatenate([np.full(len(a), -1), member]), "a": np.concatenate([a, ids[doc[big]]]), "b": np.concatenate([b, np.zeros(len(big), np.int64)])})
+    # Large groups, packed; of groups with the same members one is enough.
+    first = start[length > SMALL_GROUP]
+    groups = {ids[doc[lo:hi]].tobytes() for lo, hi in zip(first, first + length[length > SMALL_GROUP])}
+    return pd.DataFrame({"a": [*a.tolist(), *[0] * len(groups)], "b": [*b.tolist(), *[0] * len(groups)], "members": [*[None] * len(a), *groups]})
 
 
-def _near(batches):
-    """Pairs whose parity bitmaps differ in no more bits than the sets may."""
+def _unpacked(batches):
+    """(group, id) of each member; the group's number is a hash of its members."""
     for pdf in batches:
-        keep = np.zeros(len(pdf), bool)
-        for i, (x, y, n, m) in enumerate(zip(pdf["bits_a"], pdf["bits_b"], pdf["n_a"], pdf["n_b"])):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            w = min(len(x), len(y))
-            keep[i] = NUM * max(n, m) <= DEN * min(n, m) and int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum()) * (DEN + NUM) <= (n + m) * (DEN - NUM)
-        yield pdf.loc[keep, ["a", "b"]]
+        lists = [np.frombuffer(m, np.int64) for m in pdf["members"]]
+        group = np.array([xxhash.xxh64_intdigest(m) >> 1 for m in pdf["members"]], np.int64)
+        yield pd.DataFrame({"sig": np.repeat(group, [len(x) for x in lists]), "id": np.concatenate([np.empty(0, np.int64), *lists])})
 
 
 def _pairs(side: np.ndarray, split: bool, ok) -> tuple[np.ndarray, np.ndarray]:
@@ -282,33 +284,47 @@ def _across(most: int | None):
 
 
 def _verified(batches):
+    """Pairs whose sets reach the threshold; parity bitmaps, where they differ too much, settle most others."""
     for pdf in batches:
         keep = np.zeros(len(pdf), bool)
         for i, (x, y) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep[i] = common * DEN >= NUM * (len(x) + len(y) - common)
+            if NUM * max(len(x), len(y)) <= DEN * min(len(x), len(y)):
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[i] = common * DEN >= NUM * (len(both) - common)
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose whole shingle sets reach the threshold."""
-    near = materialize(near)
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInPandas(_shingled, "id long, shingles binary").dropDuplicates(["id"])
-    sets = materialize(sets)
-    found = (
-        near.join(sets.toDF("a", "set_a"), "a")
-        .join(sets.toDF("b", "set_b"), "b")
-        .mapInPandas(_verified, "a long, b long")
-    )
-    return materialize(found)
-
-
-def _frequent(texts: DataFrame, reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, share of sets) of the most frequent shingles of at most SAMPLE_SETS distinct sets."""
-    some = reps.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_SETS)
-    counts = texts.join(F.broadcast(some), "id").mapInPandas(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+def _near(batches):
+    """Pairs whose parity bitmaps differ in no more bits than the sets may."""
+    for pdf in batches:
+        keep = np.zeros(len(pdf), bool)
+        for i, (x, y, n, m) in enumerate(zip(pdf["bits_a"], pdf["bits_b"], pdf["n_a"], pdf["n_b"])):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            w = min(len(x), len(y))
+            keep[i] = NUM * max(n, m) <= DEN * min(n, m) and int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum()) * (DEN + NUM) <= (n + m) * (DEN - NUM)
+        yield pdf.loc[keep, ["a", "b"]]
+
+
+def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b), those whose whole shingle sets reach the threshold. Pairs whose bitmaps rule a link out go first."""
+    small = sets.select("key", "n", "bits")
+    near = near.join(small.toDF("a", "n_a", "bits_a"), "a").join(small.toDF("b", "n_b", "bits_b"), "b").mapInPandas(_near, "a long, b long")
+    whole = sets.select("key", "shingles")
+    return materialize(near.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").mapInPandas(_verified, "a long, b long"))
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, share of sets) of the most frequent shingles of at most SAMPLE_SETS texts, lowest hashes first."""
+    h = F.xxhash64("text")
+    some = texts.filter("text is not null").select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_SETS)
+    last = some.agg(F.max("h").alias("h")).first().h
+    if last is None:
+        return np.zeros(1, np.uint64), np.zeros(1)
+    sample = texts.filter("text is not null").filter(h <= last).dropDuplicates(["text"])
+    counts = sample.mapInPandas(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.filter("n >= 3").orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
     if top.empty:
         return np.zeros(1, np.uint64), np.zeros(1)
@@ -317,11 +333,11 @@ def _frequent(texts: DataFrame, reps: DataFrame) -> tuple[np.ndarray, np.ndarray
     return hot[order], top["n"].to_numpy(float)[order] / SAMPLE_SETS
 
 
-def _cells(groups: DataFrame, part: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
+def _cells(groups: DataFrame, part: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """Members of the groups that span components, dealt into cells of at most two blocks of BLOCK_ROWS members or so."""
     g = groups.join(part.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = g.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).filter("lo != hi")
-    g = g.join(mixed.select("sig", F.ceil(F.col("g") / BLOCK_ROWS).cast("int").alias("k")), "sig").join(reps, "id")
+    g = g.join(mixed.select("sig", F.ceil(F.col("g") / BLOCK_ROWS).cast("int").alias("k")), "sig").join(sets.select(F.col("key").alias("id"), "n", "bits"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     g = g.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cell = F.xxhash64("sig", F.least("own", "with"), F.greatest("own", "with"))
@@ -329,58 +345,80 @@ def _cells(groups: DataFrame, part: DataFrame, reps: DataFrame, buckets: int) ->
     return g.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets)))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined_keys(live: DataFrame) -> DataFrame:
+    """(a, b): classes that share an id, as edges to the least class of the id."""
+    several = live.groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("hi")).filter("b != hi").select("id", "b")
+    return live.select("id", F.col("key").alias("a")).distinct().join(several, "id").filter("a != b").select("a", "b").distinct()
+
+
+def _spread(info: DataFrame, of_class: DataFrame) -> DataFrame:
+    """info with component_id from of_class (key, component_id), null where it has none.
+
+    Classes that hold more than a five-hundredth of the rows (at most 500) are looked up by broadcast, so that no task
+    gets all copies of a text; the others are joined by key.
+    """
+    total = info.count()
+    hot = F.broadcast(info.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") * HOT_CLASSES > total).join(of_class, "key", "left").select("key", F.lit(True).alias("hot"), F.col("component_id").alias("own")))
+    told = info.join(hot, "key", "left")
+    rest = told.filter("hot is null").drop("hot", "own").join(of_class, "key", "left").select("id", "n", "component_id")
+    return rest.union(told.filter("hot").select("id", "n", F.col("own").alias("component_id")))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id_col, n_shingles (long), component_id (long).
 
     component_id is the smallest id reachable over links, the row's own included. Null and empty texts have no
     shingles, link with nothing and keep their own id. Sets of fewer than four shingles link with equal sets only
-    (one differing shingle already falls below 0.8); one of four also links with one of five that holds it. Rows that repeat an id count as copies of the same document:
-    each comes back with its own n_shingles and the smallest component of the id. Rows with a null id come back with
-    a null component. Other columns, whatever their names, are left alone. An empty table gives an empty result.
+    (one differing shingle already falls below 0.8); one of four also links with one of five that holds it. Rows that
+    repeat an id are one document of several texts: each comes back with its own n_shingles, and whatever links with one
+    of the texts is in the component of all. Rows with a null id come back with a null component and link nothing. Other
+    columns, whatever their names, are left alone. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    summary = F.pandas_udf(_summary, "n long, key binary, bits binary")
+    summary = F.pandas_udf(_summary, "n long, key long")
     info = materialize(texts.select("id", summary("text").alias("s")).select("id", "s.*"))
     live = info.filter("n > 0 and id is not null")
-    classes = live.groupBy("key").agg(F.min("id").alias("rep"))
-    member = materialize(live.select("id", "key").join(classes, "key").groupBy("id").agg(F.min("rep").alias("rep")))
-    reps = info.join(member.filter("id = rep").select("id"), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    reps = materialize(reps)
-    hot, share = _frequent(texts, reps)
-    dealt = texts.filter("id is not null and text is not null").mapInPandas(_dealt(buckets, hot, share), "bucket long, sig binary, local binary, ids binary, sizes binary")
-    hits = materialize(dealt.groupBy("bucket").applyInPandas(_collisions, "sig long, a long, b long"))
-
-    rep_a, rep_b = member.toDF("a", "ra"), member.toDF("b", "rb")
-    pairs = (
-        hits.filter("sig = -1").select("a", "b").distinct().join(rep_a, "a").join(rep_b, "b").filter("ra != rb")
-        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    )
-    near = (
-        pairs.join(reps.toDF("a", "n_a", "bits_a"), "a").join(reps.toDF("b", "n_b", "bits_b"), "b").mapInPandas(_near, "a long, b long")
-    )
-    tried = materialize(near)
-    links = _links(tried, texts)
-    part = connected_components(links)
-    groups = materialize(hits.filter("sig != -1").select("sig", "a").join(rep_a, "a").select("sig", F.col("ra").alias("id")).distinct())
+    # Signatures take about 3 bytes a shingle, so that many go into one bucket as fill bucket_bytes.
+    buckets = max(shuffle_partitions(spark), int((live.agg(F.sum("n").alias("n")).first().n or 0) * 3 // bucket_bytes) + 1)
+    hot, share = _frequent(texts)
+    dealt = texts.filter("id is not null and text is not null").select("text").mapInPandas(_dealt(buckets, hot, share), "bucket long, sig binary, local binary, ids binary, sizes binary")
+    hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_collisions, "a long, b long, members binary"))
+
+    tried = materialize(hits.filter("members is null").select("a", "b").distinct())
+    groups = materialize(hits.filter("members is not null").select("members").distinct().mapInPandas(_unpacked, "sig long, id long"))
+    release(hits)
+    wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("key")).union(groups.select("id")).distinct())
+    one = live.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    # Few ids go to the texts; where there are many, the texts come to the ids.
+    few = one.count() <= MOST_BROADCAST
+    some = texts.join(F.broadcast(one) if few else one, "id", "left_semi")
+    sets = some.mapInPandas(_shingled, "key long, n long, bits binary, shingles binary").dropDuplicates(["key"])
+    sets = materialize(sets.join(F.broadcast(wanted) if few else wanted, "key", "left_semi"))
+
+    same = materialize(_joined_keys(live))
+    links = _links(tried, sets)
+    part = connected_components(links.union(same))
     for most in (CLOSEST, None):
-        new = _cells(groups, part, reps, buckets).groupBy("bucket").applyInPandas(_across(most), "a long, b long").distinct()
+        new = _cells(groups, part, sets, buckets).groupBy("bucket").applyInPandas(_across(most), "a long, b long").distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"))
         fresh = new.filter("a >= 0 or b >= 0 or a != b")
         if not fresh.isEmpty():
             tried = tried.union(fresh)
-            links = links.union(_links(fresh, texts))
-            part = connected_components(links)
+            links = links.union(_links(fresh, sets))
+            part = connected_components(links.union(same))
         if new.filter("a = -1 and b = -1").isEmpty():
             break
 
-    found = (
-        member.join(part.toDF("rep", "component"), "rep", "left")
-        .select("id", F.coalesce("component", "rep").alias("component_id"))
-    )
-    out = info.select("id", "n").join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    least = live.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    least = least.join(part.toDF("key", "component"), "key", "left")
+    joined = least.filter("component is not null")
+    of_part = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = joined.select("key", "component").join(of_part, "component").select("key", "component_id")
+    of_class = materialize(of_class.union(least.filter("component is null and low != high").select("key", F.col("low").alias("component_id"))))
+    out = _spread(info, of_class)
+    none = F.col("id").isNull() | (F.col("n") == 0)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,6 +117,13 @@ def test_join_odd_tables(spark, empty):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(1, 0, 1), (3, 2, 3), (3, 2, 3), (None, 0, None), (None, 2, None)]
 
 
+def test_join_links_all_texts_of_an_id(spark):
+    a, b, c = "a1 b c d e f g", "p q r s t u v", "k l m n o 1 2"
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, c), (12, c), (3, "other words here"), (3, ""), (20, "x"), (20, "y"), (21, "y")]
+    got = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 1), (3, 3), (20, 20), (21, 20)} and len(got) == len(rows)
+
+
 def test_keep_one_keeps_the_smallest(spark, docs):
     kept = {r.doc_id for r in ngram_jaccard.keep_one(docs).collect()}
     assert kept == {i for i, c in components(plain_sets(texts())).items() if i == c}
