@@ -159,23 +159,23 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
         cache = WordHashes()
         seen: set[int] = set()
 
-        def packed(ids, sets):
+        def packed(ids, low, sets):
             at = [np.minimum(np.searchsorted(hot, s), len(hot) - 1) for s in sets]
             sig, own = signatures(sets, [np.where(hot[i] == s, hot_share[i], 0.0) for i, s in zip(at, sets)])
             bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, own, bucket = sig[order].astype(np.uint32), own[order], bucket[order]
-            ids, sizes = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32)
+            ids, low, sizes = np.array(ids, np.int64), np.array(low, np.int64), np.array([len(s) for s in sets], np.int32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
                 docs, local = np.unique(own[lo:hi], return_inverse=True)
-                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), ids[docs].tobytes(), sizes[docs].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "sig", "local", "ids", "sizes"])
+                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), ids[docs].tobytes(), low[docs].tobytes(), sizes[docs].tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "sig", "local", "ids", "low", "sizes"])
 
-        ids, sets, held = [], [], 0
+        ids, low, sets, held = [], [], [], 0
         for pdf in batches:
-            for text in pdf["text"]:
+            for row, text in zip(pdf["id"], pdf["text"]):
                 s = shingle_set(text, cache)
                 if len(s) < NUM:
                     continue  # such a small set links with equal sets only
@@ -184,27 +184,32 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
                     continue  # a copy in this task; copies are one class already
                 if len(seen) < 500_000:
                     seen.add(i)
-                ids.append(i), sets.append(s)
+                ids.append(i), low.append(row), sets.append(s)
                 held += len(s)
                 if len(ids) >= BATCH_DOCS or held > 500_000:
-                    yield packed(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield packed(ids, low, sets)
+                    ids, low, sets, held = [], [], [], 0
         if ids:
-            yield packed(ids, sets)
+            yield packed(ids, low, sets)
 
     return run
 
 
 def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one bucket: all pairs of small groups, a star and the members of larger ones (once per set of members)."""
-    base, sig, idx, ids, sizes = 0, [], [], [], []
-    for s, l, d, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["sizes"]):
+    base, sig, idx, ids, low, sizes = 0, [], [], [], [], []
+    for s, l, d, w, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["low"], pdf["sizes"]):
         d = np.frombuffer(d, np.int64)
         sig.append(np.frombuffer(s, np.uint32))
         idx.append(np.frombuffer(l, np.uint16).astype(np.int64) + base)
-        ids.append(d), sizes.append(np.frombuffer(n, np.int32))
+        ids.append(d), low.append(np.frombuffer(w, np.int64)), sizes.append(np.frombuffer(n, np.int32))
         base += len(d)
     ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
+    # Members are ranked by their document's id: the first of a group, its star's centre, is the likeliest original.
+    first_id = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first_id, rank, np.concatenate(low))
+    order = np.lexsort((ids, first_id))
+    ids, rank = ids[order], np.argsort(order)[rank]
     size = np.zeros(len(ids), np.int64)
     size[rank] = np.concatenate(sizes)
     both = np.unique(np.concatenate(sig).astype(np.uint64) << np.uint64(32) | rank[np.concatenate(idx)].astype(np.uint64))
@@ -224,10 +229,10 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     p = np.unique(np.concatenate(pairs))
     a, b = p >> 32, p & 0xFFFFFFFF
     ok = NUM * np.maximum(size[a], size[b]) <= DEN * np.minimum(size[a], size[b])
-    a, b = ids[a[ok]], ids[b[ok]]
+    a, b = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
     # Large groups, packed; of groups with the same members one is enough.
     first = start[length > SMALL_GROUP]
-    groups = {ids[doc[lo:hi]].tobytes() for lo, hi in zip(first, first + length[length > SMALL_GROUP])}
+    groups = {np.sort(ids[doc[lo:hi]]).tobytes() for lo, hi in zip(first, first + length[length > SMALL_GROUP])}
     return pd.DataFrame({"a": [*a.tolist(), *[0] * len(groups)], "b": [*b.tolist(), *[0] * len(groups)], "members": [*[None] * len(a), *groups]})
 
 
@@ -382,14 +387,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Signatures take about 3 bytes a shingle, so that many go into one bucket as fill bucket_bytes.
     buckets = max(shuffle_partitions(spark), int((live.agg(F.sum("n").alias("n")).first().n or 0) * 3 // bucket_bytes) + 1)
     hot, share = _frequent(texts)
-    dealt = texts.filter("id is not null and text is not null").select("text").mapInPandas(_dealt(buckets, hot, share), "bucket long, sig binary, local binary, ids binary, sizes binary")
+    dealt = texts.filter("id is not null and text is not null").mapInPandas(_dealt(buckets, hot, share), "bucket long, sig binary, local binary, ids binary, low binary, sizes binary")
     hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_collisions, "a long, b long, members binary"))
 
     tried = materialize(hits.filter("members is null").select("a", "b").distinct())
     groups = materialize(hits.filter("members is not null").select("members").distinct().mapInPandas(_unpacked, "sig long, id long"))
     release(hits)
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("key")).union(groups.select("id")).distinct())
-    one = live.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    least = materialize(live.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    one = least.join(wanted, "key", "left_semi").select(F.col("low").alias("id")).distinct()
     # Few ids go to the texts; where there are many, the texts come to the ids.
     few = one.count() <= MOST_BROADCAST
     some = texts.join(F.broadcast(one) if few else one, "id", "left_semi")
@@ -410,7 +416,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if new.filter("a = -1 and b = -1").isEmpty():
             break
 
-    least = live.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     least = least.join(part.toDF("key", "component"), "key", "left")
     joined = least.filter("component is not null")
     of_part = joined.groupBy("component").agg(F.min("low").alias("component_id"))
