@@ -4,31 +4,40 @@ The DOMs of one host are merged: a node of the tree is a path of element names a
 distributions are gathered over the host's distinct pages: what it says (hashes of its text) and how it is laid out
 (the sequence of its child elements). Their entropies, relative to the largest possible ones, make the node's
 importance: what says the same on every page is worth little. In each page, branches of low importance are cut, and so
-are those that name themselves as something else than content (menus, adverts, forms, comments ...). Where a page marks
-its article outside such branches, only that branch counts. The mark is a prior: a node in it is cut at a lower
-importance, as a paragraph may well repeat across articles, and never if nothing of the article would be left.
+are those that name themselves as something else than content (menus, adverts, forms, comments ...). Where a page has
+a main element outside such branches, or articles that hold at least half of its text, only they count. The mark is a prior: a node in it is cut at
+a lower importance, as a paragraph may well repeat across articles, never in a heading, and
+never if nothing of the article would be left.
+A node seen on few pages says little about itself, so its importance is drawn towards 1.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .url_reputation import host_of
 
+#: How many pages' worth of doubt a node's importance starts with, at 1.
+DOUBT = 2.0
+#: Nodes that are broadcast at most (8 bytes each); hosts of more than this share of the pages (as its inverse) are split.
+MOST_NODES, HOT_HOSTS = 1_000_000, 200
+
 # Element names.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 SILENT = frozenset("head title script style noscript template svg math iframe object canvas audio video map".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button select textarea input fieldset dialog".split())
-MAIN = frozenset("article main".split())
-#: Words in a class, id or role that name a branch as something else than content.
+#: How strongly an element marks the main text.
+MAIN = {"article": 1, "main": 2}
+#: Whole names in a class, id or role that say a branch is something else than content.
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside widget related recommended share social notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe "
@@ -39,18 +48,17 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 SCOPES = frozenset("ul ol dl table div section article main nav aside body select".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|title|textarea)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?](?>[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|title|textarea)\b(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?](?>[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
 def blocks_of(page: str):
     """(path, names itself as no content, lies in a main branch, text) of each text block, and layouts as (path, children)."""
-    stack = [["", 0, False, False, []]]  # name, path hash, dropped, main, child names
+    stack = [["", 0, False, 0, []]]  # name, path hash, dropped, mark, child names
     blocks, layouts, buffer = [], [], []
 
     def flush():
@@ -59,7 +67,8 @@ def blocks_of(page: str):
             buffer.clear()
             if text:
                 at = next(x for x in reversed(stack) if x[0] not in INLINE)
-                blocks.append((at[1], stack[-1][2], stack[-1][3], text))
+                # A heading in a marked branch is no node that could be cut.
+                blocks.append((-1 if stack[-1][3] and at[0] in HEADINGS else at[1], stack[-1][2], stack[-1][3], text))
 
     def close():
         top = stack.pop()
@@ -103,11 +112,11 @@ def blocks_of(page: str):
         if name in VOID:
             continue
         up = stack[-1]
-        drop, main, label = up[2] or name in SILENT or name in BOILERPLATE, up[3] or name in MAIN, name
+        drop, main, label = up[2] or name in SILENT or name in BOILERPLATE, max(up[3], MAIN.get(name, 0)), name
         for a in _NAMED.finditer(m[4]):
             value = (a[2] or a[3] or a[4] or "").lower()
             label += f" {a[1].lower()}={_DIGITS.sub('0', value)}"
-            drop = drop or name not in ("html", "body") and not NAMES.isdisjoint(_WORDS.findall(value))
+            drop = drop or name not in ("html", "body") and not NAMES.isdisjoint(value.split())
         up[4].append(name)
         if not m[4].rstrip().endswith("/") or name in INLINE or name == "p":
             stack.append([name, xxhash.xxh64_intdigest(label, up[1] & 0xFFFFFFFF) >> 1, drop, main, []])
@@ -125,52 +134,69 @@ def main_text(page: str | None, low: frozenset) -> str:
         return ""
     blocks, _ = blocks_of(page)
     blocks = [(path, main, text) for path, drop, main, text in blocks if not drop]
-    marked = [(path, text) for path, main, text in blocks if main]
+    most = max((main for _, main, _ in blocks), default=0)
+    marked = [(path, text) for path, main, text in blocks if main and main == most]
+    if most == 1 and 2 * sum(len(text) for _, text in marked) < sum(len(text) for _, _, text in blocks):
+        marked = []
     kept = [text for path, text in marked or [(path, text) for path, _, text in blocks] if path not in low]
     return "\n".join(kept or [text for _, text in marked])
 
 
 def _observed(batches):
-    """(host, path, main, kind, what, n): what each node says and how it is laid out, once per distinct page and task."""
+    """(host, page, path, main, kind, what): what each node says and how it is laid out; page is the content's hash."""
     for pdf in batches:
-        seen: Counter = Counter()
-        pages = set()
+        rows, pages = [], set()
         for host, page in zip(pdf["host"], pdf["html"]):
-            key = (host, xxhash.xxh64_intdigest(page or ""))
-            if not page or key in pages:
+            key = xxhash.xxh64_intdigest(page or "") >> 1
+            if not page or (host, key) in pages:
                 continue
-            pages.add(key)
+            pages.add((host, key))
             blocks, layouts = blocks_of(page)
-            for path, _, main, text in blocks:
-                seen[host, path, main, 0, xxhash.xxh64_intdigest(text) >> 1] += 1
-            for path, children in layouts:
-                seen[host, path, False, 1, children >> 1] += 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "path", "main", "kind", "what", "n"])
+            rows += {(host, key, path, main > 0, 0, xxhash.xxh64_intdigest(text) >> 1) for path, _, main, text in blocks if path >= 0}
+            rows += {(host, key, path, False, 1, children >> 1) for path, children in layouts}
+        yield pd.DataFrame(rows, columns=["host", "page", "path", "main", "kind", "what"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, main, seen, importance) of the nodes of each host's merged tree; pages has host and html."""
-    counts = pages.select("host", "html").mapInPandas(_observed, "host string, path long, main boolean, kind int, what long, n long").groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"), F.max("main").alias("main"))
+    """(host, path, main, seen, importance) of the nodes of each host's merged tree; pages has host and html.
+
+    Equal pages of a host count once, wherever they lie.
+    """
+    seen = pages.select("host", "html").mapInPandas(_observed, "host string, page long, path long, main boolean, kind int, what long").distinct()
+    counts = seen.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n"), F.max("main").alias("main"))
     total, weighed = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     entropy = F.when(total > 1, (F.log(total) - weighed / total) / F.log(total)).otherwise(1.0)
     by_kind = counts.groupBy("host", "path", "kind").agg(total.alias("seen"), entropy.alias("entropy"), F.max("main").alias("main"))
     says, laid = F.max(F.when(F.col("kind") == 0, F.col("entropy"))), F.max(F.when(F.col("kind") == 1, F.col("entropy")))
-    return by_kind.groupBy("host", "path").agg(
-        F.max("main").alias("main"), F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("seen"), (0.9 * F.coalesce(says, F.lit(1.0)) + 0.1 * F.coalesce(laid, says, F.lit(1.0))).alias("importance")
-    )
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.3, least_seen: int = 8, least_main: float = 0.1) -> DataFrame:
+    n = F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("seen"))), F.lit(0))
+    own = 0.9 * F.coalesce(says, F.lit(1.0)) + 0.1 * F.coalesce(laid, says, F.lit(1.0))
+    nodes = by_kind.groupBy("host", "path").agg(F.max("main").alias("main"), n.alias("seen"), own.alias("own"))
+    return nodes.select("host", "path", "main", "seen", ((F.col("own") * F.col("seen") + DOUBT) / (F.col("seen") + DOUBT)).alias("importance"))
+
+
+def _with_host_nodes(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """pages with low, the packed nodes of their host. low goes to all executors where it is small enough, and so no
+    page is moved; otherwise both are dealt by host, the hosts of many pages (at most HOT_HOSTS) over several tasks."""
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= MOST_NODES:
+        return pages.join(F.broadcast(low), "host", "left")
+    total = pages.count()
+    hot = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_HOSTS > total)
+    hot = F.broadcast(hot.select("host", F.ceil(F.col("n") * HOT_HOSTS / total).cast("int").alias("parts")))
+    dealt = pages.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("html"), F.coalesce("parts", F.lit(1))).cast("int"))
+    copies = low.join(hot, "host", "left").select("host", "low", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copies, ["host", "part"], "left")
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.3, least_main: float = 0.1) -> DataFrame:
     """One row per page: id_col, url_col, text, n_chars (code points).
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A
-    null or empty page has an empty text. A null url belongs to the host of pages without one. Nodes seen fewer than
-    least_seen times say too little about themselves and stay; those in an article or main go below least_main only. Null and repeated ids are pages like any other. Other
+    null or empty page has an empty text. A null url belongs to the host of pages without one. Nodes go below
+    least_importance, those in an article or main below least_main only. Null and repeated ids are pages like any other. Other
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    tree = style_tree(p)
-    low = tree.filter((F.col("seen") >= least_seen) & (F.col("importance") < F.when(F.col("main"), least_main).otherwise(least_importance))).groupBy("host").agg(F.collect_set("path").alias("low"))
+    low = materialize(style_tree(p).filter(F.col("importance") < F.when(F.col("main"), least_main).otherwise(least_importance)).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))
 
     @F.pandas_udf("string")
     def text_of(page: pd.Series, low: pd.Series) -> pd.Series:
@@ -178,5 +204,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         keys = [() if nodes is None else tuple(nodes) for nodes in low]
         return pd.Series([main_text(x, kept.setdefault(k, frozenset(k))) for x, k in zip(page, keys)], dtype=object)
 
-    found = p.join(low, "host", "left").select("id", "url", text_of("html", "low").alias("text"))
+    found = _with_host_nodes(p, low).select("id", "url", text_of("html", "low").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -50,6 +50,42 @@ def test_a_repeated_notice_in_an_article_goes(spark):
     assert got == {i: f"About n{i}\nn{i} tells n{i}\nThe same line" for i in range(20)}
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="layout has-sidebar"><p>Body text.</p></div>', "Body text."), ('<main class="col-with-sidebar"><p>x</p><div class="ad box">buy</div></main>', "x"),
+    ('<article class="teaser">short</article><div class="content"><p>The real content of the page</p></div>', "short\nThe real content of the page"),
+])
+def test_only_whole_names_drop_and_small_articles_mark_nothing(page, text):
+    assert html_extraction.main_text(page, frozenset()) == text
+
+
+def test_importance_is_that_of_a_plain_merged_tree(spark):
+    """Equal pages count once on any number of partitions; hosts of many pages may be split."""
+    import math
+    from collections import Counter
+
+    body = "<body><div><p>{0}</p><i>same</i></div><ul><li>{1}</li></ul></body>"
+    pages = [("a", body.format("x", k % 3)) for k in range(12)] + [("a", body.format(f"t{k}", 1)) for k in range(6)] + [("b", body.format("x", 1))] * 5
+    says: dict = {}
+    for host, page in set(pages):
+        for path, _, _, text in html_extraction.blocks_of(page)[0]:
+            says.setdefault((host, path), Counter()).update([text])
+    for parts in (1, 6):
+        tree = html_extraction.style_tree(spark.createDataFrame(pages, "host string, html string").repartition(parts)).collect()
+        for r in tree:
+            n = says.get((r.host, r.path))
+            if n:
+                total = sum(n.values())
+                h = -sum(c / total * math.log(c / total) for c in n.values()) / math.log(total) if total > 1 else 1.0
+                assert r.seen == total and abs(r.importance - (h * total + 2) / (total + 2)) < 1e-9
+    d = spark.createDataFrame([(i, f"http://{h}/", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    plain = {r.page_id: r.text for r in html_extraction.extract_text(d).collect()}
+    was, html_extraction.MOST_NODES = html_extraction.MOST_NODES, -1
+    try:
+        assert {r.page_id: r.text for r in html_extraction.extract_text(d).collect()} == plain
+    finally:
+        html_extraction.MOST_NODES = was
+
+
 def test_layouts_tell_long_lists_apart():
     one, two = (html_extraction.blocks_of("<div>" + "<p>a</p>" * 70 + f"<{x}>a</{x}></div>")[1] for x in ("h2", "h3"))
     assert one[-2] != two[-2]
