@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: Suffixes of two labels under which names are registered; a full list can be passed instead.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "co.jp", "ne.jp", "or.jp", "com.au", "com.br", "co.nz", "co.in", "co.kr", "com.cn")
 
 
 def host_of(url) -> F.Column:
@@ -39,20 +43,20 @@ def rule_of(host, path, rules=RULES) -> F.Column:
     return out.otherwise(F.lit(None).cast("string")) if out is not None else F.lit(None).cast("string")
 
 
-def _levels(host) -> tuple[F.Column, F.Column]:
-    """(registered domain, suffix): the last two labels and the last one."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def _levels(host, suffixes) -> tuple[F.Column, F.Column]:
+    """(registered domain, suffix): the suffix is one of `suffixes` (such as co.uk) or else the last label, the domain
+    has one label more."""
+    two = F.substring_index(host, ".", -2)
+    known = two.isin(list(suffixes)) if suffixes else F.lit(False)
+    return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame | None) -> DataFrame:
+def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame | float) -> DataFrame:
     """level (key, parent, n, bad) with mean, a, b: the beta posterior under the parent's mean as prior mean.
 
     The strength m of the prior is p(1-p)/v - 1 for mean p and variance v of the rates between the level's members,
     v being the weighted spread of the rates less what chance alone gives.
     """
-    if above is None:
-        total = F.greatest(F.col("n"), F.lit(1))
-        return level.withColumn("mean", (F.col("bad") + 1.0) / (total + 2.0))
     rate = F.col("bad") / F.greatest(F.col("n"), F.lit(1))
     fit = level.filter("n > 0").agg(
         F.sum("n").alias("sn"), F.sum("bad").alias("sb"), F.count("*").alias("k"), F.sum(F.col("n") * rate * rate).alias("srr"), F.sum(F.col("n") * F.col("n")).alias("snn")
@@ -63,29 +67,32 @@ def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame
     between = (spread - within) / F.greatest(F.col("sn") - F.col("snn") / F.greatest(F.col("sn"), F.lit(1)), F.lit(1e-9))
     strength = F.when(between <= 1e-9, STRONGEST).otherwise(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), p * (1 - p) / between - 1)))
     m = fit.select(F.coalesce(strength, F.lit(WEAKEST)).alias("m")).first().m
-    joined = level.join(above.select(F.col(parent), F.col("mean").alias("prior")), parent, "left")
+    if parent is None:
+        joined = level.withColumn("prior", F.lit(above))
+    else:
+        joined = level.join(above.select(F.col(parent), F.col("mean").alias("prior")), parent, "left")
     a = F.col("bad") + m * F.col("prior")
     b = F.col("n") - F.col("bad") + m * (1 - F.col("prior"))
     return joined.withColumn("a", a).withColumn("b", b).withColumn("mean", a / (a + b)).drop("prior")
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", public_suffixes=SUFFIXES) -> DataFrame:
     """One row per host: host, pages, labelled, bad, bad_rate (posterior mean), lower, upper.
 
-    A page's outcome is bad where label_col is 0; the labels' ids are the pages' ids. Hosts without labelled pages get
+    A page's outcome is bad where label_col is 0; the labels' ids must be those of the pages. (The given tables have no
+    outcomes of pages: the registered query passes the labels of documents, which say nothing about the pages.) Hosts without labelled pages get
     their domain's rate. lower and upper are the posterior's bounds at z standard deviations.
     """
     outcome = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("long").alias("__id")).agg((F.min(label_col) == 0).cast("long").alias("__bad"))
     p = pages.select(F.col(id_col).cast("long").alias("__id"), host_of(F.col(url_col)).alias("host"))
     hosts = p.join(outcome, "__id", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
-    domain, suffix = _levels(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    domain, suffix = _levels(F.col("host"), public_suffixes)
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
-    everything = suffixes.groupBy("all").agg(*sums)
-    top = _posterior(everything, "all", None, None)
-    mid = _posterior(suffixes, "suffix", "all", top)
+    suffixes = domains.groupBy("suffix").agg(*sums)
+    every = suffixes.agg(*sums).first()
+    mid = _posterior(suffixes, "suffix", None, ((every.bad or 0) + 1.0) / (max(every.n or 0, 1) + 2.0))
     low = _posterior(domains, "domain", "suffix", mid)
     found = _posterior(hosts, "host", "domain", low)
     sd = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) ** 2 * (F.col("a") + F.col("b") + 1)))
