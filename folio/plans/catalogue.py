@@ -581,10 +581,10 @@ def upsert_latest(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY o_custkey""")
 def unknown_only(spark, sf_dir):
     d = table(spark, sf_dir, "orders")
-    return triage.unknown_only(d, d.filter("o_orderstatus = 'F'").select("o_custkey").distinct(), "o_custkey").select("o_orderkey")
+    return triage.unknown_only(d, d.filter("o_orderstatus = 'F'").select("o_custkey").distinct(), "o_custkey", "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
