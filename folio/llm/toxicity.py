@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -71,19 +71,21 @@ class Terms(dict):
         tokens = [(t or "").lower().split() for t in texts]
         doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         flat = list(chain.from_iterable(tokens))
-        if new := {t for t in flat if t not in self}:
+        unknown, kind = (1, np.uint64) if self.vocabulary is None else (-2, np.int64)
+        term = np.fromiter(map(self.get, flat, repeat(unknown)), kind, len(flat))
+        if len(gaps := np.flatnonzero(term == kind(unknown))):
+            missing = [flat[i] for i in gaps.tolist()]
+            new = set(missing)
             if len(self) + len(new) > self.limit:
                 self.clear()
-                new = set(flat)
             self._learn(list(new))
+            term[gaps] = np.fromiter(map(self.__getitem__, missing), kind, len(missing))
         if self.vocabulary is None:
-            term = np.fromiter(map(self.__getitem__, flat), np.uint64, len(flat))
             doc, term = doc[term != 0], term[term != 0]
             order = np.lexsort((term, doc))
             doc, term = doc[order], term[order]
             first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.append(True, term[1:] != term[:-1])[: len(term)])
             return doc[first], term[first], np.diff(np.append(first, len(doc)))
-        term = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         both, n = np.unique(doc[term >= 0] << 32 | term[term >= 0], return_counts=True)
         return both >> 32, both & 0xFFFFFFFF, n
 
