@@ -3,7 +3,8 @@
 Where each row goes is what a uniformly random permutation of all rows would give, without one task that holds all:
 1. the few columns needed are written once, so that every retry sees the same partitions;
 2. how many rows each partition sends to each block of a shard is drawn exactly (multivariate hypergeometric, row sums
-   are the partitions' sizes, column sums the blocks' sizes);
+   are the partitions' sizes, column sums the blocks' sizes). Nobody holds the whole matrix: a task draws its own row by
+   halving the range of partitions, with the same random numbers as every other task that halves the same range;
 3. each partition permutes locally: a random permutation of its blocks' labels, in their drawn numbers, is dealt to
    its rows;
 4. the rows are exchanged by block, and each block permutes its rows again.
@@ -20,13 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: The matrix has at most this many blocks; with as many partitions it stays within some MB.
-MOST_BLOCKS = 2048
-
 
 def block_sizes(rows: int, shards: int, block_rows: int) -> list[tuple[int, int, int]]:
     """(shard, first slot, rows) of each block, in order."""
-    per = max(1, min(-(-rows // max(1, shards * block_rows)), MOST_BLOCKS // max(1, shards)))
+    per = max(1, -(-rows // max(1, shards * block_rows)))
     out = []
     for s in range(shards):
         n = rows // shards + (s < rows % shards)
@@ -51,25 +49,42 @@ def hypergeometric(rng, good: int, bad: int, draws: int) -> int:
     return lo + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
 
 
-def communication_matrix(sent: list[int], taken: list[int], seed: int) -> np.ndarray:
-    """Counts [partition, block] as a uniform permutation of all rows gives them: each partition draws its rows from
-    what the blocks still take, block after block."""
-    rng = np.random.default_rng(seed)
-    left = [int(x) for x in taken]
-    out = np.zeros((len(sent), len(taken)), np.int64)
-    for p, n in enumerate(sent):
-        rest = sum(left)
-        for t, open_rows in enumerate(left):
-            if not n:
-                break
-            rest -= open_rows
-            out[p, t] = k = hypergeometric(rng, open_rows, rest, n)
-            left[t] -= k
-            n -= k
+def drawn_from(rng, blocks: np.ndarray, draws: int) -> np.ndarray:
+    """How many of `draws` rows, taken at random from all that the blocks hold, come from each block."""
+    rest = int(blocks.sum())
+    if rest < 10**9:
+        return rng.multivariate_hypergeometric(blocks, draws, method="marginals")
+    out = np.zeros(len(blocks), np.int64)
+    for t, n in enumerate(blocks.tolist()):
+        if not draws:
+            break
+        rest -= n
+        out[t] = k = hypergeometric(rng, n, rest, draws)
+        draws -= k
     return out
 
 
-def _deal(matrix: np.ndarray, seed: int):
+def matrix_row(part: int, ends: np.ndarray, taken: np.ndarray, seed: int) -> np.ndarray:
+    """Rows that partition `part` sends to each block, as a uniform permutation of all rows gives them.
+
+    ends: rows before each partition, and all rows. The blocks' room is divided between the first and the second half of
+    the partitions, then between the halves of the half that holds `part`, and so on.
+    """
+    lo, hi, room = 0, len(ends) - 1, np.asarray(taken, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = drawn_from(np.random.default_rng([seed, 0, lo, hi]), room, int(ends[mid] - ends[lo]))
+        lo, hi, room = (lo, mid, first) if part < mid else (mid, hi, room - first)
+    return room
+
+
+def communication_matrix(sent: list[int], taken: list[int], seed: int) -> np.ndarray:
+    """Counts [partition, block]: all rows of the matrix, to look at a small one."""
+    ends = np.concatenate([[0], np.cumsum(sent)])
+    return np.stack([matrix_row(p, ends, np.array(taken), seed) for p in range(len(sent))])
+
+
+def _deal(ends: np.ndarray, taken: np.ndarray, seed: int):
     """Local permutation: each partition deals its blocks' labels to its rows in random order."""
 
     def run(batches):
@@ -77,7 +92,8 @@ def _deal(matrix: np.ndarray, seed: int):
         for pdf in batches:
             if labels is None:
                 part = int(pdf["part"].iloc[0])
-                labels = np.random.default_rng([seed, 1, part]).permutation(np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[part]))
+                row = matrix_row(part, ends, taken, seed)
+                labels = np.random.default_rng([seed, 1, part]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
             n = len(pdf)
             yield pdf.assign(block=labels[at : at + n], position=np.arange(at, at + n, dtype=np.int64))
             at += n
@@ -116,7 +132,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_i
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     sent = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
     blocks = block_sizes(sum(sent), shards, block_rows)
-    matrix = communication_matrix(sent, [n for _, _, n in blocks], seed)
-    dealt = placed.mapInPandas(_deal(matrix, seed), "id string, size long, text_crc32 long, part int, block int, position long")
+    deal = _deal(np.concatenate([[0], np.cumsum(sent, dtype=np.int64)]), np.array([n for _, _, n in blocks]), seed)
+    dealt = placed.mapInPandas(deal, "id string, size long, text_crc32 long, part int, block int, position long")
     settled = dealt.groupBy("block").applyInPandas(_settle(blocks, seed), "id string, size long, text_crc32 long, law string, shard int, slot long")
     return settled.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
