@@ -3,7 +3,8 @@
 Both views start from a bounded sample of labelled rows. In each round, each classifier scores a bounded pool of
 unlabelled documents and hands those it is most sure of, as pseudo-labels, to the other one; both are fitted anew. Then
 each view's margin is calibrated (Platt) on labelled rows that neither was fitted on, the calibrated views are combined
-by a logistic regression on the same rows, and every document is scored.
+by a logistic regression on yet other rows, and every document is scored. In both steps a row weighs as many labelled
+rows as it stands for, so scores are calibrated to the labels' own share of good documents, not to the sample's.
 
 Text view: shares of character classes, shape of words and lines, repetition. Metadata view: language, source and the
 recorded length, hashed into a fixed number of columns.
@@ -74,13 +75,14 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25) -> Logistic:
-        """Newton's method with a ridge penalty; the classes weigh alike."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25, alike: bool = True) -> Logistic:
+        """Newton's method with a ridge penalty; the classes weigh alike, or as much as their rows do."""
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
         w = np.ones(len(y)) if w is None else w
-        pos, neg = w[y == 1].sum(), w[y == 0].sum()
-        w = w * np.where(y == 1, (pos + neg) / (2 * pos), (pos + neg) / (2 * neg))
+        if alike:
+            pos, neg = w[y == 1].sum(), w[y == 0].sum()
+            w = w * np.where(y == 1, (pos + neg) / (2 * pos), (pos + neg) / (2 * neg))
         beta = np.zeros(z.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
@@ -96,18 +98,29 @@ class Logistic:
         return z @ self.weights[:-1] + self.weights[-1]
 
 
-def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a m + b))), with the usual smoothed targets."""
+def platt(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a m + b))), with the usual smoothed targets; w: the rows' weights."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     beta, z = np.zeros(2), np.stack([margin, np.ones(len(y))], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (t - p) - 1e-3 * beta)
+        step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (w * (t - p)) - 1e-3 * beta)
         beta += np.clip(step, -2, 2)
     return max(float(beta[0]), 1e-6), float(beta[1])
 
 
+def combined(margins: list[np.ndarray], y: np.ndarray, w: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[list[tuple[float, float]], np.ndarray]:
+    """(Platt step of each view, weights of their logits and a constant): the rows in `first` calibrate the views, those in
+    `second` combine them."""
+    steps = [platt(m[first], y[first], w[first]) for m in margins]
+    logit = np.stack([a * m[second] + b for m, (a, b) in zip(margins, steps)], axis=1)
+    both = Logistic.fit(logit, y[second].astype(float), w[second], alike=False)
+    own = both.weights[:2] / both.scale
+    # Margins beyond eight standard deviations are clipped in the fit, which no logit of the views reaches in practice.
+    return steps, np.array([*own, both.weights[2] - (own * both.mean).sum()])
+
+
 @dataclass
 class QualityModel:
     views: list
@@ -160,13 +173,18 @@ def fit_quality(
     with_label = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     free = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").join(with_label, "id", "left_anti").groupBy("id").agg(F.lit(-1).alias("y"))
     free = materialize(free.orderBy(F.xxhash64("id"), "id").limit(pool))
-    rows = known.union(texts_of(docs, free, id_col, text_col, *meta)).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(4)))
+    labelled = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    labelled = {r.y: r.n for r in labelled.collect()}
+    rows = known.union(texts_of(docs, free, id_col, text_col, *meta)).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(8)))
     rows = rows.mapInPandas(_features, "y int, h long, x array<double>, m array<double>").toPandas()
     y = rows["y"].to_numpy()
-    base = float((y[y >= 0] == 1).mean()) if (y >= 0).any() else 0.5
-    fit_on, check_on = (y >= 0) & (rows["h"] > 0).to_numpy(), (y >= 0) & (rows["h"] == 0).to_numpy()
-    if min(np.bincount(y[fit_on], minlength=2)[:2]) < 2 or min(np.bincount(y[check_on], minlength=2)[:2]) < 2:
+    base = labelled.get(1, 0) / sum(labelled.values()) if labelled else 0.5
+    part = np.minimum(rows["h"].to_numpy(), 2)
+    calibrate_on, combine_on, fit_on = ((y >= 0) & (part == k) for k in range(3))
+    if any(min(np.bincount(y[on], minlength=2)[:2]) < 2 for on in (calibrate_on, combine_on, fit_on)):
         return QualityModel([], [], None, base)
+    stands_for = np.array([labelled.get(k, 0) / max((y == k).sum(), 1) for k in (0, 1)])
+    weight = np.where(y == 1, stands_for[1], stands_for[0]) / stands_for.max()
     data = [np.stack(rows["x"].to_list()), np.stack(rows["m"].to_list())]
     own = [list(np.flatnonzero(fit_on)) for _ in data]
     said = [dict(zip(o, y[o])) for o in own]
@@ -183,12 +201,8 @@ def fit_quality(
             for part, label in ((order[: max(1, int(n * (1 - base)))], 0), (order[::-1][: max(1, int(n * base))], 1)):
                 said[taker].update({int(new[i]): label for i in part if (m[i] > 1) == (label == 1) and abs(m[i]) > 1})
         views = [Logistic.fit(x[list(s)], np.array(list(s.values())), np.where(np.isin(list(s), free_rows), 0.3, 1.0)) for x, s in zip(data, said)]
-    calibration = [platt(v.margin(x[check_on]), y[check_on]) for v, x in zip(views, data)]
-    logit = np.stack([a * v.margin(x[check_on]) + b for v, (a, b), x in zip(views, calibration, data)], axis=1)
-    both = Logistic.fit(logit, y[check_on].astype(float), ridge=2.0)
-    w = both.weights[:2] / both.scale
-    model = QualityModel(views, calibration, np.array([w[0], w[1], both.weights[2] - (w * both.mean).sum()]), base)
-    return model
+    calibration, combine = combined([v.margin(x) for v, x in zip(views, data)], y, weight, calibrate_on, combine_on)
+    return QualityModel(views, calibration, combine, base)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars", threshold: float = 0.5, **fit) -> DataFrame:

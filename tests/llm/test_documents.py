@@ -227,6 +227,31 @@ def test_quality_tells_held_out_junk(spark, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def test_one_class_of_labels_and_repeated_rows(spark):
+    docs, labels = labelled(spark, 40)
+    assert {r.score for r in quality.score_quality(docs, labels.filter("quality = 1")).collect()} == {1.0}
+    twice = quality.score_quality(docs.union(docs), labels.union(labels)).groupBy("doc_id").count().collect()
+    assert len(twice) == 43 and {r["count"] for r in twice} == {2}
+
+
+def test_combined_views_are_calibrated_to_all_labels():
+    # Good rows are sampled at a quarter of the others' rate; the scores must fit the rows before sampling.
+    rng = np.random.default_rng(4)
+    hidden = rng.normal(1.5, 2, 60_000)
+    y = (rng.random(len(hidden)) < 1 / (1 + np.exp(-hidden))).astype(int)
+    margins = [0.5 * hidden + rng.normal(0, 0.5, len(y)), 3 * hidden + rng.normal(0, 4, len(y)) + 2]
+    taken = rng.random(len(y)) < np.where(y == 1, 0.25, 1.0)
+    turn = rng.integers(0, 3, len(y))
+    steps, mix = quality.combined(margins, y, np.where(y == 1, 1.0, 0.25), taken & (turn == 0), taken & (turn == 1))
+    logit = [a * m + b for (a, b), m in zip(steps, margins)]
+    for score in (*logit, mix[0] * logit[0] + mix[1] * logit[1] + mix[2]):
+        p = 1 / (1 + np.exp(-score))
+        for lo in np.arange(0, 1, 0.1):
+            on = (turn == 2) & (p >= lo) & (p < lo + 0.1)
+            if on.sum() > 300:
+                assert abs(p[on].mean() - y[on].mean()) < 0.08
+
+
 # --- personal data
 
 KINDS = {
@@ -368,6 +393,14 @@ def test_matrix_has_its_sums_and_is_uniform():
     assert np.allclose(total / 2000, np.outer(sent, taken) / 40, atol=0.15)
 
 
+def test_rows_of_the_matrix_fit_together_beyond_small_urns():
+    taken = np.full(9, 4 * 10**8)
+    ends = np.linspace(0, taken.sum(), 6).astype(np.int64)
+    rows = [sharding.matrix_row(p, ends, taken, 3) for p in range(5)]
+    assert np.array_equal(sum(rows), taken) and [r.sum() for r in rows] == np.diff(ends).tolist()
+    assert [n for _, _, n in sharding.block_sizes(10**11, 8, 500_000)][-1] <= 500_000
+
+
 def test_large_urns_have_the_right_mean_and_spread():
     rng = np.random.default_rng(5)
     good, bad, draws = 3 * 10**9, 7 * 10**9, 10**6
