@@ -1,7 +1,8 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
 Where each row goes is what a uniformly random permutation of all rows would give, without one task that holds all:
-1. the few columns needed are written once, so that every retry sees the same partitions;
+1. the few columns needed are written once, with a part number and a place in the part for each row, so that whatever
+   splits a later read or retry has, every row keeps its part;
 2. how many rows each partition sends to each block of a shard is drawn exactly (multivariate hypergeometric, row sums
    are the partitions' sizes, column sums the blocks' sizes). Nobody holds the whole matrix: a task draws its own row by
    halving the range of partitions, with the same random numbers as every other task that halves the same range;
@@ -85,18 +86,19 @@ def communication_matrix(sent: list[int], taken: list[int], seed: int) -> np.nda
 
 
 def _deal(ends: np.ndarray, taken: np.ndarray, seed: int):
-    """Local permutation: each partition deals its blocks' labels to its rows in random order."""
+    """Local permutation: the labels of a part's blocks in random order, dealt to its rows by their written places."""
+
+    def labels_of(part: int) -> np.ndarray:
+        row = matrix_row(part, ends, taken, seed)
+        return np.random.default_rng([seed, 1, part]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
 
     def run(batches):
-        labels, at, part = None, 0, None
+        last, labels = None, None
         for pdf in batches:
-            if labels is None:
-                part = int(pdf["part"].iloc[0])
-                row = matrix_row(part, ends, taken, seed)
-                labels = np.random.default_rng([seed, 1, part]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
-            n = len(pdf)
-            yield pdf.assign(block=labels[at : at + n], position=np.arange(at, at + n, dtype=np.int64))
-            at += n
+            for part, rows in pdf.groupby("part", sort=False):
+                if part != last:
+                    last, labels = part, labels_of(int(part))
+                yield rows.assign(block=labels[rows["position"].to_numpy()])
 
     return run
 
@@ -127,12 +129,12 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_i
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    # The partitions are those of the written table: the same ones in the count, the deal and any retry of them.
-    placed = materialize(small).withColumn("part", F.spark_partition_id())
+    serial = F.monotonically_increasing_id()
+    placed = materialize(small.select("*", F.shiftright(serial, 33).cast("int").alias("part"), serial.bitwiseAND(F.lit((1 << 33) - 1)).alias("position")))
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     sent = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
     blocks = block_sizes(sum(sent), shards, block_rows)
     deal = _deal(np.concatenate([[0], np.cumsum(sent, dtype=np.int64)]), np.array([n for _, _, n in blocks]), seed)
-    dealt = placed.mapInPandas(deal, "id string, size long, text_crc32 long, part int, block int, position long")
+    dealt = placed.mapInPandas(deal, "id string, size long, text_crc32 long, part int, position long, block int")
     settled = dealt.groupBy("block").applyInPandas(_settle(blocks, seed), "id string, size long, text_crc32 long, law string, shard int, slot long")
     return settled.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
