@@ -185,6 +185,26 @@ def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.nd
     return columns
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The product without BLAS: its threads may stand still in a process that has forked, as every driver has."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with partial pivoting, one row operation for all columns at a time (no BLAS)."""
+    k = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(k)])
+    for j in range(k):
+        p = j + int(np.abs(both[j:, j]).argmax())
+        both[[j, p]] = both[[p, j]]
+        both[j] /= both[j, j]
+        factor = both[:, j].copy()
+        factor[j] = 0.0
+        rows = np.flatnonzero(factor)
+        both[rows] -= factor[rows, None] * both[j]
+    return both[:, k:]
+
+
 def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> list[tuple[np.ndarray, int]]:
     """(pattern, times): patterns of at most `capacity` that cover the demand of each size exactly.
 
@@ -196,9 +216,9 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     k = len(sizes)
     wanted = demand + 1e-7 * (1 + np.arange(k)) / max(k, 1)
     columns = _greedy_basis(sizes, wanted, capacity)
-    inverse = np.linalg.inv(columns) if k else np.zeros((0, 0))
-    x = inverse @ wanted
-    least = float(sizes @ wanted) / capacity
+    inverse = inverted(columns)
+    x = _times(inverse, wanted)
+    least = float((sizes * wanted).sum()) / capacity
     for round_no in count() if k else ():
         duals = inverse.sum(axis=0)
         if x.sum() <= least * (1 + gap):
@@ -207,7 +227,7 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         least = max(least, x.sum() / value)
         if value <= 1 + 1e-9:
             break
-        step = inverse @ pattern
+        step = _times(inverse, pattern.astype(float))
         up = step > 1e-9
         ratios = np.where(up, x / np.where(up, step, 1), np.inf)
         out = int(ratios.argmin())
@@ -219,8 +239,8 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         others = np.arange(k) != out
         inverse[others] -= np.outer(step[others], inverse[out])
         if round_no % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ wanted, 0)
+            inverse = inverted(columns)
+            x = np.maximum(_times(inverse, wanted), 0)
     plan = [(columns[:, j].astype(np.int64), int(x[j] + 1e-6)) for j in range(k) if x[j] + 1e-6 >= 1]
     left = demand - sum((p * n for p, n in plan), np.zeros(k, np.int64))
     # Rounding down can leave a few of each size over, or (patterns cover at least the demand) take a few too many.
