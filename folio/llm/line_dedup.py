@@ -3,8 +3,9 @@
 1. Every text is split into lines; keys (trimmed, A-Z lower-cased) of some length are exploded with their position, as
    128 bits of hash, without their text.
 2. Distinct documents are counted per hash, after a partial count in every task.
-3. Lines whose hash is in too many documents are joined back (only hashes and positions move; a hash that a third of all
-   documents hold is an ordinary skewed join, which adaptive execution splits) and gathered as positions per document.
+3. The hashes of too many documents are written as a table and joined back: only hashes and positions move, and as both
+   sides are dealt for the join alone, adaptive execution splits a hash that a third of all documents hold. What a
+   document loses is gathered as positions.
 4. Each text, which moves once, drops those positions and is put together again in order.
 """
 
@@ -15,6 +16,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: `[\x20\x09-\x0D]`
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -47,7 +50,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3,
         .filter(F.col("ids") + F.col("null_id") >= least_docs)
         .select("h1", "h2", "keeper")
     )
-    lost = hashed.join(common, ["h1", "h2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
+    lost = hashed.join(materialize(common), ["h1", "h2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
     return lost.groupBy("id", "text_hash").agg(F.collect_set("position").alias("positions"))
 
 

@@ -383,6 +383,25 @@ def test_shards_are_even_and_hold_every_row_once(spark, docs, empty):
     assert sharding.shard(spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "doc_id long, text string"), shards=2).count() == 3
 
 
+@pytest.mark.parametrize("built, run", [("1", "40"), ("40", "1")])
+def test_shards_stay_exact_when_splits_change_between_build_and_action(spark, tmp_path, built, run):
+    """Another number of cores, or a lost executor, changes how Spark splits the files of a written table."""
+    spark.range(403).selectExpr("id AS doc_id", "repeat('x', cast(id AS int)) AS text").repartition(6).write.parquet(str(tmp_path / "d"))
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, built)
+        shards = sharding.shard(spark.read.parquet(str(tmp_path / "d")), block_rows=20)
+        spark.conf.set(key, run)
+        got = shards.collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in got) == list(range(403))
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes.values()) == {50, 51}
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+
+
 def test_matrix_has_its_sums_and_is_uniform():
     sent, taken = [10, 0, 25, 5], [13, 14, 13]
     total = np.zeros((4, 3))
@@ -485,3 +504,10 @@ def test_next_document_crosses_ranges(spark):
     got = {r.id: r.next_text for r in fingerprints.with_next(d, "id", ["text"]).collect()}
     order = sorted(dict(rows), reverse=True)
     assert got == {a: dict(rows)[b] for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_inverse_without_blas_equals_numpy():
+    rng = np.random.default_rng(4)
+    for k in (0, 1, 2, 7, 60):
+        m = rng.integers(0, 5, (k, k)).astype(float) + 3 * np.eye(k)
+        assert np.allclose(packing.inverted(m) @ m, np.eye(k), atol=1e-8)
