@@ -15,7 +15,6 @@ from ..functions import ids, similarity as sim, text
 from ..operators import images, mentions, observe, resolve, segment, triage, views
 from ..operators.ranking import numbered
 from ..sources import export, recognition, records
-from ..streaming.capture import capture_gate as gate
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,8 +606,6 @@ def tracker_fold(spark, sf_dir):
     return observe.track(table(spark, sf_dir, "conversations").filter("conv_id is not null"), "conv_id", "turn", "text")
 
 
-
-
 @query("""
 SELECT event_id, CASE WHEN user_id % 11 = 0 THEN 'idle' WHEN user_id % 7 = 0 THEN 'idle' WHEN event_id % 13 = 0 THEN 'idle' WHEN event_id % 5 = 0 THEN 'idle' WHEN event_type = 'click' THEN 'success' WHEN event_id % 3 = 0 THEN 'idle'
   WHEN event_id % 4 = 1 THEN 'searching' WHEN event_id % 4 = 2 THEN 'searching' WHEN user_id % 2 = 1 AND event_type = 'view' THEN 'duplicate' ELSE 'searching' END AS kind,
@@ -702,9 +699,3 @@ def segment_bands(spark, sf_dir):
     data = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["v"].cast("bigint")), 2, "0")), ""))
     d = image.select("frame", data.alias("data"), F.floor(F.col("n") / 8).cast("int").alias("width"))
     return d.select("frame", F.posexplode(segment.segment(F.col("data"), F.col("width"))).alias("pos", "b")).select("frame", "pos", "b.start", "b.end")
-
-
-@query()
-def capture_gate(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("session"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000).alias("hour"), (F.col("event_type") != "view").alias("usable"), (F.col("value") / 1000).alias("moved"), (F.col("value") % 1).alias("sharp"))
-    return gate(e.withColumn("at", F.col("hour") * 1000), "session", "at", "usable", "moved", "sharp")

@@ -63,16 +63,16 @@ def test_large_groups_are_streamed_and_counted(spark):
     from folio.streaming.capture import Gate, capture_gate
 
     rng = random.Random(8)
-    rows = [(s, i, 400 * i, rng.choice(["red widget", "blue bolts", "green gear"]), rng.random() < 0.8, rng.random() / 20, rng.random()) for s in ("a", "b", "c") for i in range(60)]
-    d = spark.createDataFrame(rows, "s string, i long, at long, t string, u boolean, m double, h double").repartition(3)
+    rows = [(s, i, 400 * i, rng.choice(["red widget", "blue bolts", "green gear"]), rng.random() < 0.8, rng.random() / 20, rng.random(), bytes([rng.randrange(40)] * 4)) for s in ("a", "b", "c") for i in range(60)]
+    d = spark.createDataFrame(rows, "s string, i long, at long, t string, u boolean, m double, h double, g binary").repartition(3)
     want_tracked, want_decided = set(), set()
     for s in ("a", "b", "c"):
         tracker, gate = observe.Tracker(), Gate()
-        for _, i, at, t, u, m, h in (r for r in rows if r[0] == s):
+        for _, i, at, t, u, _, h, g in (r for r in rows if r[0] == s):
             o = tracker.note(f"{s}-{i}", t.replace(" ", ""), None)
             want_tracked.add((s, i, o["entry_id"], o["count"]))
-            want_decided.add((s, at, gate.frame(at, u, m, h)))
-    tracked, decided = observe.track(d, "s", "i", "t"), capture_gate(d, "s", "at", "u", "m", "h")
+            want_decided.add((s, at, i, gate.frame(at, u, h, g)))
+    tracked, decided = observe.track(d, "s", "i", "t"), capture_gate(d, "s", "at", "i", "u", "h", "g")
     chunks, entries = mentions.gap_chunks(d, "s", "i", "at", "m"), recognition.entries_from_isbns(d, "t", "s", "i")
     plan = lambda x: x._jdf.queryExecution().toString()
     for x in (tracked, decided, chunks, entries):
