@@ -35,20 +35,3 @@ def capture_stream(df: DataFrame, keys: list[str], at: str, late: str = "1 minut
     """keys, first, last, sightings of each capture: sightings no further apart than the capture window."""
     window = F.session_window(at, f"{CAPTURE_WINDOW_MS} milliseconds")
     return df.withWatermark(at, late).groupBy(*keys, window).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("sightings"))
-
-
-def upsert_batches(df: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Start a query that keeps the latest row per key as Parquet generations under path; returns the query.
-
-    Each batch writes a new generation next to the old one, so a lost executor or a restart repeats a batch harmlessly.
-    """
-    from ..operators.triage import upsert_latest
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = upsert_latest(batch.limit(0), batch, key, order)
-        if number > 0:
-            latest = upsert_latest(spark.read.schema(batch.schema).parquet(f"{path}/generation={number - 1}"), batch, key, order)
-        latest.write.mode("overwrite").parquet(f"{path}/generation={number}")
-
-    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
