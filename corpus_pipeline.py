@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import materialize
+from folio.llm.common import materialize, trim_memory
 from folio.llm.decontamination import drop_contaminated
 from folio.llm.ngram_jaccard import keep_one
 from folio.llm.packing import pack
@@ -25,7 +25,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
-    return drop_toxic(docs, _table(spark, sf_dir, "labels"))
+    kept = drop_toxic(docs, _table(spark, sf_dir, "labels"))
+    trim_memory()  # the fit is over; later stages run on the same driver
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,3 +131,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = (seen.n, seen.x)
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def trim_memory() -> None:
+    """Give memory that a fit on the driver needed back to the system: Arrow's pool and the allocator keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
