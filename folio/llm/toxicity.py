@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import materialize, release, shuffle_partitions, trim_memory
 from .samples import held_out, labelled_sample, texts_of
 
 BLOCK = 128
@@ -105,6 +105,8 @@ def _selection(batches):
         found, at = np.unique(np.concatenate(words), return_inverse=True)
         toxic, total = np.bincount(at, np.concatenate(labels), len(found)).astype(np.int64), np.bincount(at, minlength=len(found))
         yield pd.DataFrame({"word": found.view(np.int64), "toxic": toxic, "clean": total - toxic})
+    del cache
+    trim_memory()
 
 
 def _frequencies(vocabulary):
@@ -114,6 +116,8 @@ def _frequencies(vocabulary):
             n += len(pdf)
             for part in _groups(list(pdf["text"])):
                 np.add.at(total, cache.of(part)[1], 1)
+        del cache
+        trim_memory()
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.concatenate([[-1], some]), "n": np.concatenate([[n], total[some]])})
 
@@ -131,6 +135,8 @@ def _vectors(vocabulary):
                 terms += np.split(term, cuts)
                 tf += np.split(n, cuts)
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": terms, "tf": tf})
+        del cache
+        trim_memory()
 
     return run
 
@@ -308,6 +314,8 @@ def _scorer(spark, model: ToxicityModel, vocabulary):
             at = [of.setdefault(t or "", len(of)) for t in texts]
             found = shared.value.scored(list(of), cache)
             yield pd.DataFrame([found[i] for i in at], columns=["score", "neighbors"])
+        del cache
+        trim_memory()
 
     return score
 
