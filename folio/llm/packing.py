@@ -10,8 +10,9 @@ within their length. The histogram has at most 256 bars, so the program is small
 from __future__ import annotations
 
 import json
+import os
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim_memory
 
 CAPACITY = 2048
 UNIT = 8
@@ -120,29 +121,29 @@ class WordIds:
 
 
 def _pieces(path: str, capacity: int):
-    """text -> its pieces; the bounded cache of words lives as long as the worker's process."""
+    """text -> its pieces; the bounded cache of words lives as long as the task."""
 
     @F.pandas_udf("array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        end, out = np.array([END_ID], "<u4").tobytes(), []
-        for ids in _word_ids(path).all_ids(list(texts)):
-            ids += end
-            n = len(ids) // 4
-            rows = []
-            for at in range(0, n, capacity):
-                piece = ids[4 * at : 4 * (at + capacity)]
-                rows.append({"start": at, "length": len(piece) // 4, "ids_crc32": zlib.crc32(piece), "doc_tokens": n})
-            out.append(rows)
-        return pd.Series(out)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
+        words, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
+        for texts in batches:
+            out = []
+            for ids in words.all_ids(list(texts)):
+                ids += end
+                n = len(ids) // 4
+                rows = []
+                for at in range(0, n, capacity):
+                    piece = ids[4 * at : 4 * (at + capacity)]
+                    rows.append({"start": at, "length": len(piece) // 4, "ids_crc32": zlib.crc32(piece), "doc_tokens": n})
+                out.append(rows)
+            yield pd.Series(out)
+        del words
+        trim_memory()
 
     return cut
 
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Best value and how often each size is taken, repeats allowed."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
