@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..schema import BLOWOUT_LEVEL, BRIGHTNESS, FORCE_MS, LEAST_SHARPNESS, MOST_
 SHARPNESS_SCALE = 2000.0
 HASH_SIDE = 8
 OTSU_DEFAULT = 128
+# How far a box is widened, how much less so in height, and how much darker a groove is.
+PAD, PAD_HEIGHT = 0.35, 0.06
+GROOVE_DEPTH = 10
 PEAK_EDGE, PEAK_GROOVE, EDGE_WEIGHT, GROOVE_WEIGHT = 0.45, 0.5, 0.6, 0.4
 
 
@@ -134,3 +139,70 @@ def merge_columns(columns: Column, least_width: float = 0.15, same: float = 0.5)
         return F.when((F.size(groups) > 0) & (overlap >= same), F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(joined))).otherwise(F.concat(groups, F.array(alone))).cast(kind)
 
     return F.aggregate(wide, F.array().cast(kind), add)
+
+
+def round_half_up(c: Column) -> Column:
+    return F.floor(c + 0.5).cast("int")
+
+
+def downscale(pixels: Column, width: Column, height: Column, to_width: Column, to_height: Column) -> Column:
+    """The nearest pixel of each cell of a smaller (or larger) image, in rows; sizes are rounded and at least 1.
+
+    An image without pixels stays without.
+    """
+    w, h = F.greatest(F.lit(1), round_half_up(to_width)), F.greatest(F.lit(1), round_half_up(to_height))
+
+    def picked(size):
+        row = lambda i: F.least(height - 1, F.floor(F.floor(i / size["w"]) * height / size["h"]).cast("int"))
+        column = lambda i: F.least(width - 1, F.floor(i % size["w"] * width / size["w"]).cast("int"))
+        return F.transform(F.sequence(F.lit(0), size["w"] * size["h"] - 1), lambda i: F.get(pixels, row(i) * width + column(i)))
+
+    small = F.transform(F.array(F.struct(w.alias("w"), h.alias("h"))), picked)[0]
+    return F.when(F.size(pixels) > 0, small).otherwise(F.slice(pixels, 1, 0))
+
+
+def box_to_rect(box: Column, width: Column, height: Column, pad: float = PAD) -> Column:
+    """struct(x, y, width, height) in whole pixels of a box of shares, widened by a share of itself (less so in height, where
+    letters follow each other), cut at the image's edges and at least one pixel wide and high."""
+    px, py = box["width"] * width * pad, box["height"] * height * pad * PAD_HEIGHT
+    x, y = F.greatest(F.lit(0), round_half_up(box["x"] * width - px)), F.greatest(F.lit(0), round_half_up(box["y"] * height - py))
+    right, bottom = F.least(width, round_half_up((box["x"] + box["width"]) * width + px)), F.least(height, round_half_up((box["y"] + box["height"]) * height + py))
+    return F.struct(x.alias("x"), y.alias("y"), F.greatest(F.lit(1), right - x).alias("width"), F.greatest(F.lit(1), bottom - y).alias("height"))
+
+
+def crop(pixels: Column, width: Column, rect: Column) -> Column:
+    """The pixels of a rectangle (see box_to_rect), in rows."""
+    rows = F.transform(F.sequence(F.lit(0), rect["height"] - 1), lambda i: F.slice(pixels, (rect["y"] + i) * width + rect["x"] + 1, rect["width"]))
+    return F.flatten(rows)
+
+
+def crops(frames: DataFrame, boxes: DataFrame, frame: str, pixels: str, width: str, height: str, box: str) -> DataFrame:
+    """boxes with crop_width, crop_height and crop: one row per box whose frame is there, cut by a join on the frame.
+
+    The frames' pixels move once per box of theirs; a null or empty box gives none.
+    """
+    d = boxes.filter(F.col(box).isNotNull() & (F.col(f"{box}.width") > 0) & (F.col(f"{box}.height") > 0)).join(frames.select(frame, pixels, width, height), frame)
+    d = d.withColumn("__rect", box_to_rect(F.col(box), F.col(width), F.col(height))).withColumn("crop", crop(F.col(pixels), F.col(width), F.col("__rect")))
+    return d.select(*boxes.columns, F.col("__rect.width").alias("crop_width"), F.col("__rect.height").alias("crop_height"), "crop")
+
+
+def column_mean(df: DataFrame, key: str, pixels: str, width: int) -> DataFrame:
+    """key, x, mean of each column."""
+    p = df.select(key, F.posexplode(pixels).alias("i", "v"))
+    return p.groupBy(key, (F.col("i") % width).alias("x")).agg(F.avg("v").alias("mean"))
+
+
+def groove_density(df: DataFrame, key: str, pixels: str, width: int, reach: float, depth: int = GROOVE_DEPTH) -> DataFrame:
+    """key, x, density: the share of rows in which a pixel is darker, by the depth or more, than both of those `reach` to
+    its left and right; 0 for columns that lack either neighbour."""
+    p = df.select(key, F.posexplode(pixels).alias("i", "v")).select(key, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).alias("y"), "v")
+    w, n = Window.partitionBy(key, "y").orderBy("x"), max(1, math.floor(reach + 0.5))
+    left, right = F.lag("v", n).over(w), F.lead("v", n).over(w)
+    dark = F.coalesce((left - F.col("v") >= depth) & (right - F.col("v") >= depth), F.lit(False))
+    return p.withColumn("__d", dark.cast("double")).groupBy(key, "x").agg(F.avg("__d").alias("density"))
+
+
+def sharpest(df: DataFrame, key: str, sharp: str, order: str) -> DataFrame:
+    """The sharpest frame of each burst, the first of equal ones; a null sharpness is below any other."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(sharp), order)
+    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, order: str, name: str = "index", parts: int = 64) -> DataFrame:
-    """df with name: 1, 2, ... in the order of a numeric column (nulls last, ties in any order).
+    """df with name: 1, 2, ... in the order of a numeric column (nulls last, ties by a hash of the row, so that runs agree).
 
     Rows are dealt into ranges cut at approximate quantiles; each range is numbered on its own and starts where the
     counts of the ranges before it end. What the driver gets is one cut and one count per range.
@@ -23,5 +23,6 @@ def numbered(df: DataFrame, order: str, name: str = "index", parts: int = 64) ->
         total += counts[b]
     if not counts:
         return d.withColumn(name, F.lit(0).cast("bigint")).drop("__b")
-    number = F.row_number().over(Window.partitionBy("__b").orderBy(F.asc_nulls_last(order)))
+    plain = [c for c, t in df.dtypes if "map<" not in t]
+    number = F.row_number().over(Window.partitionBy("__b").orderBy(F.asc_nulls_last(order), F.xxhash64(*plain)))
     return d.withColumn(name, (number + F.create_map(*starts)[F.col("__b")]).cast("bigint")).drop("__b")

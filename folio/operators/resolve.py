@@ -202,18 +202,26 @@ def enrich(entries: DataFrame, known: DataFrame, fields=("coverUrl", "publisher"
     return d.drop(*[f"__{f}" for f in fields])
 
 
-def relaxed_search(queries: DataFrame, records: DataFrame, limit: int = 10) -> DataFrame:
-    """The tightest search that finds anything, per query: title and author, title, or any field.
+def relaxed_search(queries: DataFrame, records: DataFrame, limit: int = 10, common: int = 1000) -> DataFrame:
+    """The tightest search that finds anything, per query: title and author, title, or any word.
 
-    queries: query_id, title_key, author_key, words (keys of the title's words). records: record_id, title_key, author_key,
-    words. A title search wants all of the query's words in the record's title, found over a word index; at most `limit`
-    records are returned, in the records' order. Adds step (1 tightest) and rank.
+    queries: query_id (unique), title_key, author_key, words (keys of the title's words). records: record_id, title_key,
+    author_key, words. A title search wants all of the query's words in the record's title; at most `limit` records are
+    returned, in the records' order. Adds step (1 tightest) and rank. Only queries without a hit go on to the broad step,
+    which needs no more than the first records of each word, so no word pairs all rows.
     """
-    q = queries.withColumn("__n", F.size(F.array_distinct("words"))).withColumn("__w", F.explode(F.array_distinct("words")))
-    r = records.select("record_id", F.col("author_key").alias("r_author"), F.explode(F.array_distinct("words")).alias("__w"))
-    hits = q.join(r, "__w").groupBy("query_id", "record_id", "author_key", "r_author", "__n").agg(F.count("*").alias("__c"))
-    all_words = F.col("__c") == F.col("__n")
-    step = F.when(all_words & (F.col("author_key") != "") & (F.col("author_key") == F.col("r_author")), 1).when(all_words, 2).otherwise(3)
-    hits = hits.select("query_id", "record_id", step.alias("step"))
-    least = hits.withColumn("__m", F.min("step").over(Window.partitionBy("query_id"))).filter("step = __m").drop("__m")
-    return top_per(least, ["query_id"], [F.col("record_id")], limit)
+    from .search import AUTHOR_MARK, WordIndex
+
+    words = F.array_distinct("words")
+    author = F.when(F.col("author_key") != "", F.array(F.concat(F.lit(AUTHOR_MARK), F.col("author_key")))).otherwise(F.array().cast("array<string>"))
+    r = records.select(F.lit("").alias("source"), "record_id", F.col("record_id").alias("ordinal"), F.lit("title").alias("field"), words.alias("title_words"), F.array_union(words, author).alias("words"))
+    q = queries.withColumn("__w", words).filter(F.size("__w") > 0)
+    step = lambda n, w: F.struct(F.lit(n).alias("step"), F.array_sort(w).alias("words"))
+    steps = F.array_compact(F.array(F.when(F.size(author) > 0, step(1, F.array_union("__w", author))), step(2, F.col("__w"))))
+    asked = q.select("query_id", F.explode(steps).alias("s")).select("query_id", "s.*", F.lit("").alias("source"), F.lit("title").alias("field"))
+    tight = asked.join(WordIndex(r, common, limit).find(asked), ["source", "field", "words"])
+    tight = tight.withColumn("__m", F.min("step").over(Window.partitionBy("query_id"))).filter("step = __m").select("query_id", "record_id", "step")
+    left = q.join(tight.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("__w").alias("word"))
+    first = top_per(r.select("record_id", F.explode("title_words").alias("word")), ["word"], [F.col("record_id")], limit).drop("rank")
+    broad = left.join(first, "word").select("query_id", "record_id").distinct().withColumn("step", F.lit(3))
+    return top_per(tight.unionByName(broad), ["query_id"], [F.col("record_id")], limit)

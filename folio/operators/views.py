@@ -109,3 +109,19 @@ def percent(score: Column) -> Column:
 
 def error_text(c: Column, most: int = 200) -> Column:
     return F.substring(c, 1, most)
+
+
+def spine_results(entries: DataFrame, session: Column) -> DataFrame:
+    """The entries that a session read from spines, with title (null while there is none) and state for its feed.
+
+    Needs id, status, input_kind, session, resolved_title and extracted_title.
+    """
+    own = entries.filter((F.col("input_kind") == "spine") & (F.col("session") == session))
+    some = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    state = F.when(F.col("status") == "confirmed", "found").when(F.col("status") == "notFound", "missing").when(F.col("status") == "unverified", "looking").otherwise("review")
+    return own.withColumn("title", F.coalesce(some("resolved_title"), some("extracted_title"))).withColumn("state", state)
+
+
+def with_photo(entries: DataFrame, photos: DataFrame, key: str = "photo_id") -> DataFrame:
+    """entries with the photo's columns, null without one: a missing photo is nobody's concern. Photos have unique keys."""
+    return entries.join(photos, key, "left")

@@ -11,7 +11,8 @@ from ..functions.text import tidy
 OPENBD = "summary struct<isbn:string,title:string,volume:string,series:string,publisher:string,pubdate:string,cover:string,author:string>, onix struct<CollateralDetail:struct<TextContent:array<struct<Text:string>>>>"
 VOLUME = "volumeInfo struct<title:string,subtitle:string,authors:array<string>,publisher:string,publishedDate:string,description:string,industryIdentifiers:array<struct<type:string,identifier:string>>,imageLinks:struct<thumbnail:string>,infoLink:string>"
 VISION = "spines array<struct<box_2d:array<double>,raw_visible_text:string,title:string,authors:array<string>,publisher:string,confidence:double>>"
-ROLE_TAIL = "[／/]\\s*(?:著|編|訳|監修|画|作|絵|原作|校訂).*$"
+# Words that tell a role, and the range of a box.
+ROLE_TAIL = f"[／/][{ids.SPACE}]*(?:著|編|訳|監修|画|作|絵|原作|校訂).*$"
 BOX_RANGE = 1000.0
 
 
