@@ -54,7 +54,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return filter_urls(_table(spark, sf_dir, "pages"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

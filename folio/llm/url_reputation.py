@@ -1,11 +1,13 @@
 """URL filters by empirical-Bayes host reputation.
 
-Every labelled page is a good or bad outcome of its host. A host's rate of bad outcomes has a beta prior whose mean is
-its registered domain's posterior mean; the domain's prior comes from its suffix, and the suffix's from all labelled
-pages. How much a prior counts (its strength in pages) is fitted per level by the method of moments on the spread of
-the children's rates. A host is blocked where the lower bound of its posterior exceeds the allowed bad rate.
-Explicit rules go first: a rule fits its host and all subdomains where the url's path starts with the rule's, and the
-longest fitting rule decides.
+Every page with an outcome is a good or bad trial of its host. Outcomes are given (labels of pages), or they are what is
+known of the page's own url: the verdict of the explicit rule that fits it, else bad where the url holds one of a list
+of seed words as a whole word, else good. A host's rate of bad outcomes has a beta prior whose mean is its registered
+domain's posterior mean without the host's own pages; likewise the domain's prior comes from its suffix without the
+domain, and the suffix's from all other pages. How much a prior counts (its strength in pages) is fitted per level by
+the method of moments on the spread of the children's rates. A host is blocked where the lower bound of its posterior
+exceeds the allowed bad rate. Explicit rules go first: a rule fits its host and all subdomains where the url's path
+starts with the rule's, and the longest fitting rule decides.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .common import materialize
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Whole words of a host or path by which a page is taken for a bad one, where no rule knows better.
+SEEDS = tuple("adult bet bets betting bingo casino escort gambling jackpot malware phishing pills poker porn scam slots spam torrent viagra warez xxx".split())
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: Suffixes of two labels under which names are registered; a full list can be passed instead.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "co.jp", "ne.jp", "or.jp", "com.au", "com.br", "co.nz", "co.in", "co.kr", "com.cn")
@@ -51,11 +55,20 @@ def _levels(host, suffixes) -> tuple[F.Column, F.Column]:
     return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame | float) -> DataFrame:
+def url_outcome(host, path, rules=RULES, seeds=SEEDS) -> F.Column:
+    """1 for a bad page, 0 for a good one, null without a host: the fitting rule's verdict, else whether a seed word occurs."""
+    rule = rule_of(host, path, rules)
+    blocked = rule.isin([r for r, what in rules if what == "block"]) if rules else F.lit(False)
+    seeded = F.lower(F.concat(host, path)).rlike(r"(^|[^a-z0-9])(" + "|".join(seeds) + r")($|[^a-z0-9])") if seeds else F.lit(False)
+    return F.when(host != "", F.when(rule.isNotNull(), blocked).otherwise(seeded).cast("long"))
+
+
+def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame | tuple[float, float]) -> DataFrame:
     """level (key, parent, n, bad) with mean, a, b: the beta posterior under the parent's mean as prior mean.
 
-    The strength m of the prior is p(1-p)/v - 1 for mean p and variance v of the rates between the level's members,
-    v being the weighted spread of the rates less what chance alone gives.
+    The parent's a and b go without the member's own pages. The strength m of the prior is p(1-p)/v - 1 for mean p and
+    variance v of the rates between the level's members, v being the weighted spread of the rates less what chance
+    alone gives.
     """
     rate = F.col("bad") / F.greatest(F.col("n"), F.lit(1))
     fit = level.filter("n > 0").agg(
@@ -68,31 +81,39 @@ def _posterior(level: DataFrame, key: str, parent: str | None, above: DataFrame
     strength = F.when(between <= 1e-9, STRONGEST).otherwise(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), p * (1 - p) / between - 1)))
     m = fit.select(F.coalesce(strength, F.lit(WEAKEST)).alias("m")).first().m
     if parent is None:
-        joined = level.withColumn("prior", F.lit(above))
+        joined = level.withColumn("pa", F.lit(above[0])).withColumn("pb", F.lit(above[1]))
     else:
-        joined = level.join(above.select(F.col(parent), F.col("mean").alias("prior")), parent, "left")
+        joined = level.join(above.select(F.col(parent), F.col("a").alias("pa"), F.col("b").alias("pb")), parent, "left")
+    prior = (F.col("pa") - F.col("bad")) / (F.col("pa") + F.col("pb") - F.col("n"))
+    joined = joined.withColumn("prior", prior)
     a = F.col("bad") + m * F.col("prior")
     b = F.col("n") - F.col("bad") + m * (1 - F.col("prior"))
-    return joined.withColumn("a", a).withColumn("b", b).withColumn("mean", a / (a + b)).drop("prior")
+    return joined.withColumn("a", a).withColumn("b", b).withColumn("mean", a / (a + b)).drop("prior", "pa", "pb")
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", public_suffixes=SUFFIXES) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame | None = None, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", public_suffixes=SUFFIXES, rules=RULES, seeds=SEEDS) -> DataFrame:
     """One row per host: host, pages, labelled, bad, bad_rate (posterior mean), lower, upper.
 
-    A page's outcome is bad where label_col is 0; the labels' ids must be those of the pages. (The given tables have no
-    outcomes of pages: the registered query passes the labels of documents, which say nothing about the pages.) Hosts without labelled pages get
-    their domain's rate. lower and upper are the posterior's bounds at z standard deviations.
+    A page's outcome is bad where label_col is 0, if labels are given (their ids must be those of the pages; of repeated
+    ones the worst counts); without labels it is the url's own. Hosts without outcomes get their domain's rate; pages
+    without a host have no outcome of their url. lower and upper are the posterior's bounds at z standard deviations.
     """
-    outcome = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("long").alias("__id")).agg((F.min(label_col) == 0).cast("long").alias("__bad"))
-    p = pages.select(F.col(id_col).cast("long").alias("__id"), host_of(F.col(url_col)).alias("host"))
-    hosts = p.join(outcome, "__id", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
+    url = F.col(url_col)
+    p = pages.select(F.col(id_col).cast("long").alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    if labels is None:
+        judged = p.select("host", url_outcome(F.col("host"), F.col("path"), rules, seeds).alias("__bad"))
+    else:
+        outcome = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("long").alias("__id")).agg((F.min(label_col) == 0).cast("long").alias("__bad"))
+        judged = p.join(outcome, "__id", "left")
+    hosts = judged.groupBy("host").agg(F.count("*").alias("pages"), F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
     domain, suffix = _levels(F.col("host"), public_suffixes)
     hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     every = suffixes.agg(*sums).first()
-    mid = _posterior(suffixes, "suffix", None, ((every.bad or 0) + 1.0) / (max(every.n or 0, 1) + 2.0))
+    n, bad = every.n or 0, every.bad or 0
+    mid = _posterior(suffixes, "suffix", None, (bad + 1.0, n - bad + 1.0))
     low = _posterior(domains, "domain", "suffix", mid)
     found = _posterior(hosts, "host", "domain", low)
     sd = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) ** 2 * (F.col("a") + F.col("b") + 1)))
@@ -102,14 +123,14 @@ def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.64, id_col
     )
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, allowed_bad: float = 0.3, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, allowed_bad: float = 0.3, z: float = 1.64, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", seeds=SEEDS) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict (allow or block), bad_rate, lower.
 
     A null url or one without :// has an empty host and path and no rule; its verdict is the empty host's. Rows with a
     null or repeated id are judged like any other. Other columns are ignored. Empty tables give an empty result; without
-    labels nothing is blocked but by rule.
+    a bad outcome nothing is blocked but by rule. Outcomes are labels where given, else the urls' own.
     """
-    judged = host_reputation(pages, labels, z, id_col, url_col, label_id, label_col).select("host", "bad_rate", "lower")
+    judged = host_reputation(pages, labels, z, id_col, url_col, label_id, label_col, rules=rules, seeds=seeds).select("host", "bad_rate", "lower")
     p = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     p = p.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.when(F.col("lower") > allowed_bad, "block").otherwise("allow")

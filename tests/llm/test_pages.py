@@ -86,6 +86,68 @@ def test_importance_is_that_of_a_plain_merged_tree(spark):
         html_extraction.MOST_NODES = was
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>The long body of the story is here.</p></article>"
+STORY = "Title of it\nThe long body of the story is here."
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="story share"><p>Body about shares.</p></div>', "Body about shares."), (f"<form>{ARTICLE}</form>", STORY), ("<form id=f><p>only the body</p></form>", "only the body"),
+    ("<article><header><h1>Title</h1></header><p>Body text</p></article>", "Title\nBody text"), ("<header><h1>Site</h1></header><p>Body text</p>", "Body text"),
+    ('<div class="cookie-banner">We use cookies</div><div class="site-nav">home</div><p>Body</p><div class="comments-list"><p>reader</p></div>', "Body"),
+    ('<div class="col-with-sidebar"><p>x</p></div><div id="form_group"><p>perhaps</p></div>', "x\nperhaps"), ('<article><form><p>A comment, please</p></form><p>The body of the story</p></article>', "The body of the story"),
+])
+def test_names_are_priors(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_branches_are_cut_as_in_a_plain_tree(spark):
+    """Importances, branch means and cuts beside plain recursion over the nodes, on pages with menus that repeat or don't."""
+    import random
+
+    rng, pages = random.Random(5), []
+    for i in range(60):
+        words = lambda n: " ".join(rng.choices(["ka", "lo", "mi", "ter"], k=n)) + f" {i}"  # noqa: B023,E731
+        menu = rng.choice([words(3), "same menu", "other menu"])
+        body = f"<div class=card_group><p>{words(4) if i % 5 == 0 else 'a frequent card'}</p></div><div class=form_extra><p>{'terms' if i % 4 else words(3)}</p></div><p>{words(12)}</p>"
+        pages.append((i, f"http://h{i % 3}.example.com/{i}", f"<body><nav>{menu}</nav><div><span>Welcome</span></div>{f'<article><h2>Head</h2>{body}<p>See more</p></article>' if i % 2 else body}<footer>foot</footer></body>"))
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    tree: dict = {}
+    for r in html_extraction.style_tree(d.selectExpr("split(url, '/')[2] AS host", "html")).collect():
+        tree.setdefault(r.host, {})[r.path] = r.importance
+    by_entropy = 0
+    for r in html_extraction.extract_text(d).collect():
+        page = pages[r.page_id][2]
+        own = tree[r.url.split("/")[2]]
+        nodes, blocks = html_extraction.read_page(page)
+
+        def within(k, e):
+            return k == e or k != 0 and within(nodes[k].up, e)
+
+        def branch(e):
+            inside = [(len(t), 1.0 if nodes[b].mark and nodes[b].name in html_extraction.HEADINGS else own.get(nodes[b].path, 1.0)) for at, b, t in blocks if within(at, e)]
+            return sum(n * x for n, x in inside) / sum(n for n, _ in inside) if inside else 1.0
+
+        def combined(e):
+            return branch(e) if e == 0 else branch(e) * combined(nodes[e].up) ** 0.2
+
+        def gone(e):
+            return nodes[e].prior * branch(e) < 0.3 if e == 0 else gone(nodes[e].up) or nodes[e].prior < 1 and nodes[e].prior * branch(e) < 0.3
+
+        left = [b for b in blocks if not gone(b[0])]
+        marked = [b for b in left if nodes[b[0]].mark]
+        marked = marked if 2 * sum(len(b[2]) for b in marked) >= sum(len(b[2]) for b in left) else []
+        kept = [t for _, b, t in marked or left if nodes[b].mark and nodes[b].name == "h2" or combined(b) >= (0.1 if nodes[b].mark else 0.3)]
+        assert r.text == "\n".join(kept), page
+        by_entropy += r.text != html_extraction.main_text(page)
+    assert by_entropy > 20
+
+
+def test_copies_of_an_article_do_not_wear_it_out(spark):
+    rows = [(i, "http://h.example.com/", f"<body><p>menu {i}</p>{ARTICLE}</body>") for i in range(40)] + [(7, "http://h.example.com/", None)]
+    got = [r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == [""] + [STORY] * 40
+
+
 def test_layouts_tell_long_lists_apart():
     one, two = (html_extraction.blocks_of("<div>" + "<p>a</p>" * 70 + f"<{x}>a</{x}></div>")[1] for x in ("h2", "h3"))
     assert one[-2] != two[-2]
@@ -120,3 +182,60 @@ def test_reputation_shrinks_and_blocks(spark):
     assert hosts["none.one.net"].labelled == 0 and 0 < hosts["none.one.net"].bad_rate < 1
     verdicts = {r.host: r.verdict for r in url_reputation.filter_urls(p, q).collect()}
     assert verdicts["bad.one.net"] == "block" and verdicts["good.one.net"] == verdicts["none.one.net"] == "allow"
+
+
+def test_reputation_is_that_of_plain_arithmetic(spark):
+    """Rules and seed words as outcomes; every posterior beside a plain one, own pages left out of each prior."""
+    from collections import defaultdict
+
+    urls = [f"http://{h}/{p}/{k}" for h, n in (("casino-win.a.com", 9), ("ok.a.com", 12), ("shop.b.com", 5), ("x.b.net", 30), ("free-bets.c.net", 1), ("y.co.uk", 4)) for k in range(n) for p in ("de", "en")[k % 3 == 0 :]] + [None, "nothing"]
+    pages = clashing(spark.createDataFrame([(i % 7 or None, u) for i, u in enumerate(urls)], "page_id long, url string"))
+    bad, n = defaultdict(int), defaultdict(int)
+    for u in urls:
+        host, path = (u.split("/", 3)[2], "/" + u.split("/", 3)[3]) if u and "://" in u else ("", "")
+        n[host], bad[host] = n[host] + (host != ""), bad[host] + ((path.startswith("/de/") if host.endswith(".com") and path.startswith("/de/") else "casino" in host or "bets" in host) if host else 0)
+    suffix_of = lambda d: "co.uk" if d.endswith("co.uk") else d.split(".")[-1]
+    domain_of = lambda h: h if h.endswith("co.uk") else ".".join(h.split(".")[-2:])
+
+    def sums(up, keys):
+        out = defaultdict(lambda: [0, 0])
+        for k in keys:
+            out[up(k)][0] += keys[k][0]
+            out[up(k)][1] += keys[k][1]
+        return out
+
+    hosts = {h: [n[h], bad[h]] for h in n}
+    domains = sums(domain_of, hosts)
+    suffixes = sums(suffix_of, domains)
+
+    def strength(level):
+        v = [x for x in level.values() if x[0]]
+        sn, sb = sum(x[0] for x in v), sum(x[1] for x in v)
+        p = (sb + 1) / (sn + 2)
+        between = (sum(x[1] ** 2 / x[0] for x in v) - sn * p * p - len(v) * p * (1 - p)) / max(sn - sum(x[0] ** 2 for x in v) / sn, 1e-9)
+        return 1000.0 if between <= 1e-9 else min(1000.0, max(1.0, p * (1 - p) / between - 1))
+
+    def posterior(level, above):
+        m, out = strength(level), {}
+        for k, (count, wrong) in level.items():
+            pa, pb = above(k)
+            prior = (pa - wrong) / (pa + pb - count)
+            out[k] = (wrong + m * prior, count - wrong + m * (1 - prior))
+        return out
+
+    everything = (sum(bad.values()) + 1.0, sum(n.values()) - sum(bad.values()) + 1.0)
+    mid = posterior(suffixes, lambda k: everything)
+    low = posterior(domains, lambda k: mid[suffix_of(k)])
+    found = posterior(hosts, lambda k: low[domain_of(k)])
+    got = {r.host: r for r in url_reputation.host_reputation(pages).collect()}
+    assert set(got) == set(found)
+    for h, (a, b) in found.items():
+        sd = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert abs(got[h].bad_rate - a / (a + b)) < 1e-9 and abs(got[h].lower - max(0, a / (a + b) - 1.64 * sd)) < 1e-9, h
+    rows = url_reputation.filter_urls(pages).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        if r.rule is None:
+            assert (r.verdict == "block") == (got[r.host].lower > 0.3)
+    assert {r.verdict for r in rows if r.host == "casino-win.a.com"} == {"block"}
+    assert url_reputation.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
