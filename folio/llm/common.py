@@ -6,6 +6,7 @@ bytes other than space, tab, line feed, vertical tab, form feed and carriage ret
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -146,3 +147,27 @@ def trim_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def trimmed(task):
+    """A task over batches that gives its worker's memory back when it ends; workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            trim_memory()
+
+    return run
+
+
+def trimmed_group(task):
+    """The same for a task over one group or batch."""
+
+    @functools.wraps(task)
+    def run(pdf):
+        out = task(pdf)
+        trim_memory()
+        return out
+
+    return run

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, mix64, release, shingle_set, shuffle_partitions
+from .common import WordHashes, connected_components, materialize, mix64, release, shingle_set, shuffle_partitions, trimmed, trimmed_group
 
 #: Jaccard threshold as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 4, 5
@@ -316,9 +316,9 @@ def _near(batches):
 def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose whole shingle sets reach the threshold. Pairs whose bitmaps rule a link out go first."""
     small = sets.select("key", "n", "bits")
-    near = near.join(small.toDF("a", "n_a", "bits_a"), "a").join(small.toDF("b", "n_b", "bits_b"), "b").mapInPandas(_near, "a long, b long")
+    near = near.join(small.toDF("a", "n_a", "bits_a"), "a").join(small.toDF("b", "n_b", "bits_b"), "b").mapInPandas(trimmed(_near), "a long, b long")
     whole = sets.select("key", "shingles")
-    return materialize(near.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").mapInPandas(_verified, "a long, b long"))
+    return materialize(near.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").mapInPandas(trimmed(_verified), "a long, b long"))
 
 
 def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +329,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if last is None:
         return np.zeros(1, np.uint64), np.zeros(1)
     sample = texts.filter("text is not null").filter(h <= last).dropDuplicates(["text"])
-    counts = sample.mapInPandas(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = sample.mapInPandas(trimmed(_counted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.filter("n >= 3").orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
     if top.empty:
         return np.zeros(1, np.uint64), np.zeros(1)
@@ -381,17 +381,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    summary = F.pandas_udf(_summary, "n long, key long")
+    summary = F.pandas_udf(trimmed_group(_summary), "n long, key long")
     info = materialize(texts.select("id", summary("text").alias("s")).select("id", "s.*"))
     live = info.filter("n > 0 and id is not null")
     # Signatures take about 3 bytes a shingle, so that many go into one bucket as fill bucket_bytes.
     buckets = max(shuffle_partitions(spark), int((live.agg(F.sum("n").alias("n")).first().n or 0) * 3 // bucket_bytes) + 1)
     hot, share = _frequent(texts)
-    dealt = texts.filter("id is not null and text is not null").mapInPandas(_dealt(buckets, hot, share), "bucket long, sig binary, local binary, ids binary, low binary, sizes binary")
-    hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_collisions, "a long, b long, members binary"))
+    dealt = texts.filter("id is not null and text is not null").mapInPandas(trimmed(_dealt(buckets, hot, share)), "bucket long, sig binary, local binary, ids binary, low binary, sizes binary")
+    hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(trimmed_group(_collisions), "a long, b long, members binary"))
 
     tried = materialize(hits.filter("members is null").select("a", "b").distinct())
-    groups = materialize(hits.filter("members is not null").select("members").distinct().mapInPandas(_unpacked, "sig long, id long"))
+    groups = materialize(hits.filter("members is not null").select("members").distinct().mapInPandas(trimmed(_unpacked), "sig long, id long"))
     release(hits)
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("key")).union(groups.select("id")).distinct())
     least = materialize(live.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")))
@@ -399,14 +399,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Few ids go to the texts; where there are many, the texts come to the ids.
     few = one.count() <= MOST_BROADCAST
     some = texts.join(F.broadcast(one) if few else one, "id", "left_semi")
-    sets = some.mapInPandas(_shingled, "key long, n long, bits binary, shingles binary").dropDuplicates(["key"])
+    sets = some.mapInPandas(trimmed(_shingled), "key long, n long, bits binary, shingles binary").dropDuplicates(["key"])
     sets = materialize(sets.join(F.broadcast(wanted) if few else wanted, "key", "left_semi"))
 
     same = materialize(_joined_keys(live))
     links = _links(tried, sets)
     part = connected_components(links.union(same))
     for most in (CLOSEST, None):
-        new = _cells(groups, part, sets, buckets).groupBy("bucket").applyInPandas(_across(most), "a long, b long").distinct()
+        new = _cells(groups, part, sets, buckets).groupBy("bucket").applyInPandas(trimmed_group(_across(most)), "a long, b long").distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"))
         fresh = new.filter("a >= 0 or b >= 0 or a != b")
         if not fresh.isEmpty():
