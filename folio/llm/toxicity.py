@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
 Fitting takes a bounded sample of labelled rows (`most_toxic`, `most_clean`): they fill the index with all their words.
-Document frequencies are counted over all documents. A term weighs its inverse document frequency times its relevance,
-which is its squared correlation with the label (small for words of few examples) and a floor, so no term is left out. Words that no example has can't be shared
-with one and don't count in a document's norm. Examples are laid out in blocks of 128 of the same kind; for each term
-and block the index keeps the largest weight. Documents are looked up some at a time: the two blocks of highest bound
-give a k-th best similarity, and of the others only those whose bound reaches it are looked at, so the k nearest are
-exact. Terms that many examples hold have their postings stored as rows of a matrix, the others as lists.
-
-Votes are weighted by the squared cosine and by how thinly a class was sampled, drawn towards the base rate, and
-calibrated by isotonic regression on leave-one-out votes of the examples.
+Document frequencies of all words are counted over all documents, and every word of a document counts in its norm. What
+no example has is known by 63-bit hashes: it can't be shared, so it changes no order of examples; its part of the norm
+is joined in afterwards from the table of counts, which stays distributed.
+
+Examples are laid out in blocks of 128 of the same kind and label; for each term and block the index keeps the largest
+weight. Documents are looked up some at a time: for each label the two blocks of highest bound give a k-th best
+similarity, and of the others only those whose bound reaches it are looked at, so the k nearest of each label are exact.
+Terms that many examples hold have their postings stored as rows of a matrix, the others as lists.
+
+A neighbour votes with its cosine, each shared term's part of it weighted by the term's relevance (its squared
+correlation with the label among the examples, and a floor), and by how thinly its class was sampled. Votes are drawn
+towards the base rate and calibrated by isotonic regression on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ SLACK = 1e-4
 TOGETHER = 64
 #: Relevance of a term that tells nothing about the label; a perfect one has 1 more.
 LEAST_RELEVANCE = 0.005
-_RESULT = "score double, neighbors array<struct<example: bigint, similarity: double, toxic: int>>"
+_FOUND = "toxic_votes double, votes double, inner double, example array<bigint>, similarity array<double>, toxic array<int>, word array<bigint>, tf array<int>"
 
 
 def word_of(token: str) -> str:
@@ -48,9 +51,17 @@ def word_of(token: str) -> str:
     return token[start:end]
 
 
+def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, how often it occurs there), by text and term."""
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
+    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.append(True, term[1:] != term[:-1])[: len(term)])
+    return doc[first], term[first], np.diff(np.append(first, len(doc)))
+
+
 class Terms(dict):
-    """token -> its word's 64-bit hash, or that word's number in the sorted hashes of a vocabulary (-1 for others);
-    remembered up to a bound. Tokens without a letter or digit are no words (0, or -1)."""
+    """token -> its word's 64-bit hash, or that word's number in the sorted hashes of a vocabulary (below -1 for others:
+    63 bits of the hash); remembered up to a bound. Tokens without a letter or digit are no words (0, or -1)."""
 
     def __init__(self, vocabulary: np.ndarray | None = None, limit: int = 300_000):
         super().__init__()
@@ -63,15 +74,15 @@ class Terms(dict):
             at = self.vocabulary.searchsorted(hashes)
             there = (at < len(self.vocabulary)) & (hashes != 0)
             there[there] = self.vocabulary[at[there]] == hashes[there]
-            hashes = np.where(there, at, -1)
+            others = np.minimum(np.invert((hashes >> np.uint64(1)).view(np.int64)), -2)
+            hashes = np.where(there, at, np.where(hashes == 0, -1, others))
         self.update(zip(tokens, hashes.tolist()))
 
-    def of(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position of the text, word's number or hash, how often it occurs), by text and word; other tokens left out."""
+    def _tokens(self, texts) -> tuple[np.ndarray, np.ndarray]:
         tokens = [(t or "").lower().split() for t in texts]
         doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         flat = list(chain.from_iterable(tokens))
-        unknown, kind = (1, np.uint64) if self.vocabulary is None else (-2, np.int64)
+        unknown, kind = (1, np.uint64) if self.vocabulary is None else (-(1 << 63), np.int64)
         term = np.fromiter(map(self.get, flat, repeat(unknown)), kind, len(flat))
         if len(gaps := np.flatnonzero(term == kind(unknown))):
             missing = [flat[i] for i in gaps.tolist()]
@@ -80,14 +91,21 @@ class Terms(dict):
                 self.clear()
             self._learn(list(new))
             term[gaps] = np.fromiter(map(self.__getitem__, missing), kind, len(missing))
-        if self.vocabulary is None:
-            doc, term = doc[term != 0], term[term != 0]
-            order = np.lexsort((term, doc))
-            doc, term = doc[order], term[order]
-            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.append(True, term[1:] != term[:-1])[: len(term)])
-            return doc[first], term[first], np.diff(np.append(first, len(doc)))
-        both, n = np.unique(doc[term >= 0] << 32 | term[term >= 0], return_counts=True)
-        return both >> 32, both & 0xFFFFFFFF, n
+        return doc, term
+
+    def split(self, texts) -> tuple[tuple, tuple]:
+        """(position of the text, word's number, how often it occurs), and the same of the words outside the vocabulary."""
+        doc, term = self._tokens(texts)
+        known, other = term >= 0, term < -1
+        both, n = np.unique(doc[known] << 32 | term[known], return_counts=True)
+        return (both >> 32, both & 0xFFFFFFFF, n), _counted(doc[other], term[other])
+
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position of the text, word's number or hash, how often it occurs), by text and word; other tokens left out."""
+        if self.vocabulary is not None:
+            return self.split(texts)[0]
+        doc, term = self._tokens(texts)
+        return _counted(doc[term != 0], term[term != 0])
 
 
 def _groups(texts):
@@ -110,12 +128,19 @@ def _selection(batches):
 
 
 def _frequencies(vocabulary):
+    """(term, documents with it): -1 counts the documents; words outside the vocabulary come batch by batch."""
+
     def run(batches):
         cache, n, total = Terms(vocabulary.value), 0, np.zeros(len(vocabulary.value), np.int64)
         for pdf in batches:
             n += len(pdf)
+            others = [np.empty(0, np.int64)]
             for part in _groups(list(pdf["text"])):
-                np.add.at(total, cache.of(part)[1], 1)
+                known, other = cache.split(part)
+                np.add.at(total, known[1], 1)
+                others.append(other[1])
+            words, count = np.unique(np.concatenate(others), return_counts=True)
+            yield pd.DataFrame({"term": words, "n": count})
         del cache
         trim_memory()
         some = np.flatnonzero(total)
@@ -171,8 +196,16 @@ class ToxicityModel:
     toxic: np.ndarray
     weight: np.ndarray
     base: float
+    relevance: np.ndarray
     k: int = 15
-    shrink: float = 0.05
+    shrink: float = 0.01
+    documents: int = 0
+    slot: np.ndarray = field(default=None, repr=False)  # by example: its place in the blocks
+    example: np.ndarray = field(default=None, repr=False)  # by place: its example, or -1
+    clean_blocks: int = 0
+    own_ptr: np.ndarray = field(default=None, repr=False)  # by example: where its terms begin
+    own_term: np.ndarray = field(default=None, repr=False)
+    own_val: np.ndarray = field(default=None, repr=False)
     column: np.ndarray = field(default=None, repr=False)  # by term: its row of `rows`, or -1
     rows: np.ndarray = field(default=None, repr=False)
     row_max: np.ndarray = field(default=None, repr=False)
@@ -184,36 +217,56 @@ class ToxicityModel:
     cell_at: np.ndarray = field(default=None, repr=False)
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
+    def weighed(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return (1 + np.log(tf)) * self.idf[term]
+
     def vectors(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, weight): the texts' vectors, each of length 1."""
-        w = (1 + np.log(tf)) * self.idf[term]
+        """(text, term, weight): the texts' vectors over the terms of the examples, each of length 1."""
+        w = self.weighed(term, tf)
         norm = np.sqrt(np.bincount(doc, w * w))
         return doc, term, w / np.maximum(norm, 1e-300)[doc] if len(doc) else w
 
     def build(self, own: np.ndarray, term: np.ndarray, val: np.ndarray) -> None:
-        """Postings by term, then by example; a cell is what a term has in one block, cell_ptr[t] its first one."""
-        blocks, n_terms = len(self.ids) // BLOCK + 1, len(self.idf)
+        """Postings by term, then by place; a cell is what a term has in one block, cell_ptr[t] its first one. No block
+        holds examples of both labels."""
+        clean, toxic = np.flatnonzero(self.toxic == 0), np.flatnonzero(self.toxic != 0)
+        self.clean_blocks = -(-len(clean) // BLOCK)
+        blocks, n_terms = self.clean_blocks - (-len(toxic) // BLOCK), len(self.idf)
+        self.slot = np.zeros(len(self.ids), np.int32)
+        self.slot[clean] = np.arange(len(clean))
+        self.slot[toxic] = self.clean_blocks * BLOCK + np.arange(len(toxic))
+        self.example = np.full(blocks * BLOCK, -1, np.int32)
+        self.example[self.slot] = np.arange(len(self.ids))
+        order = np.argsort(own, kind="stable")
+        self.own_ptr = np.searchsorted(own[order], np.arange(len(self.ids) + 1))
+        self.own_term, self.own_val = term[order].astype(np.int32), val[order]
+        own = self.slot[own]
         many = np.flatnonzero(np.bincount(term, minlength=n_terms) > max(COMMON * len(self.ids), BLOCK // 8))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[many] = np.arange(len(many))
         row = self.column[term]
         self.rows = np.zeros((blocks * BLOCK, len(many)), np.float32)
         self.rows[own[row >= 0], row[row >= 0]] = val[row >= 0]
-        self.row_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, -1).max(axis=1).T)
+        self.row_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, len(many)).max(axis=1).T)
         term, val, own = term[row < 0], val[row < 0], own[row < 0]
         order = np.lexsort((own, term))
-        term, self.ords, self.vals = term[order], own[order], val[order]
-        cell = term * blocks + self.ords // BLOCK
+        term, self.ords, self.vals = term[order], own[order], val[order].astype(np.float32)
+        cell = term * max(blocks, 1) + self.ords // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_ptr = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
-        self.cell_block = (cell[first] % blocks).astype(np.int32)
+        self.cell_block = (cell[first] % max(blocks, 1)).astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.vals, first) if len(first) else np.empty(0)
         self.cell_at = np.append(first, len(term)).astype(np.int32)
 
-    def nearest(self, docs: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of some texts, given as their vectors, the k examples of largest positive cosine, ties by position; exact."""
+    def nearest(self, docs: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray, skip: list[int] | None = None) -> list[tuple]:
+        """For each of some texts, given as their vectors, the k examples of each label of largest positive cosine, largest
+        first, ties by position; exact. (cosines, their parts weighted by relevance, positions)."""
         blocks = self.row_max.shape[1]
+        if not blocks:
+            return [(np.empty(0), np.empty(0), np.empty(0, np.int64))] * docs
         width = blocks * BLOCK
+        labels = [(a, b) for a, b in ((0, self.clean_blocks), (self.clean_blocks, blocks)) if a < b]
+        cuts, all_terms, all_w = np.searchsorted(doc, np.arange(docs + 1)), term, w
         col = self.column[term]
         dense = np.zeros((docs, len(self.row_max)), np.float32)
         dense[doc[col >= 0], col[col >= 0]] = w[col >= 0]
@@ -236,50 +289,79 @@ class ToxicityModel:
             post = _ranges(self.cell_at[c], n)
             rest[:] += np.bincount(np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post] * np.repeat(w[on], n), docs * width)
 
-        first = np.zeros((docs, blocks), bool)
-        best = np.argsort(-bound, axis=1, kind="stable")[:, :2]
-        np.put_along_axis(first, best, True, axis=1)
+        def summed() -> np.ndarray:
+            total = s + rest.reshape(docs, width)
+            if skip is not None:
+                total[np.arange(docs), self.slot[skip]] = 0
+            return total
+
+        first, least = np.zeros((docs, blocks), bool), np.zeros((docs, blocks))
+        best = [a + np.argsort(-bound[:, a:b], axis=1, kind="stable")[:, :2] for a, b in labels]
+        for top in best:
+            np.put_along_axis(first, top, True, axis=1)
         look(first)
-        total = s + rest.reshape(docs, width)
-        if skip is not None:
-            total[np.arange(docs), skip] = 0
-        seen = total.reshape(docs, blocks, BLOCK)[np.arange(docs)[:, None], best].reshape(docs, -1)
-        k = min(self.k, seen.shape[1])
-        least = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k] - SLACK
-        look((bound > 0) & (bound >= least[:, None]) & ~first)
-        total = s + rest.reshape(docs, width)
-        if skip is not None:
-            total[np.arange(docs), skip] = 0
-        out = []
-        for x, more, q, low in zip(total, rest.reshape(docs, width), dense.astype(float), least):
-            o = np.flatnonzero(x > max(low, 0.0))
-            if len(o) > k:
-                o = o[x[o] >= np.partition(x[o], -k)[-k] - SLACK]
+        total = summed().reshape(docs, blocks, BLOCK)
+        for (a, b), top in zip(labels, best):
+            seen = total[np.arange(docs)[:, None], top].reshape(docs, -1)
+            k = min(self.k, seen.shape[1])
+            least[:, a:b] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k, None] - SLACK
+        look((bound > 0) & (bound >= least) & ~first)
+        total = summed()
+        out, q = [], np.zeros(len(self.idf))
+        for d in range(docs):
+            terms = all_terms[cuts[d] : cuts[d + 1]]
+            q[terms] = all_w[cuts[d] : cuts[d + 1]]
+            near = []
+            for a, b in labels:
+                x = total[d, a * BLOCK : b * BLOCK]
+                o = np.flatnonzero(x > max(least[d, a], 0.0))
+                if len(o) > self.k:
+                    o = o[x[o] >= np.partition(x[o], -self.k)[-self.k] - SLACK]
+                near.append(self.example[a * BLOCK + o])
             # What may be among the nearest is added up anew in double precision.
-            exact = (self.rows[o].astype(float) @ q + more[o]).round(9)
-            by = np.lexsort((o, -exact))[:k]
+            p = np.concatenate(near)
+            n = self.own_ptr[p + 1] - self.own_ptr[p]
+            on = _ranges(self.own_ptr[p], n)
+            part, row = self.own_val[on] * q[self.own_term[on]], np.repeat(np.arange(len(p)), n)
+            exact = np.bincount(row, part, len(p)).round(9)
+            by = np.lexsort((p, -exact))
             by = by[exact[by] > 0]
-            out.append((exact[by], o[by]))
+            of = self.toxic[p[by]] != 0
+            by = by[np.where(of, np.cumsum(of), np.cumsum(~of)) <= self.k]
+            telling = np.bincount(row, part * self.relevance[self.own_term[on]], len(p))
+            out.append((exact[by], telling[by], p[by]))
+            q[terms] = 0
         return out
 
-    def vote(self, s: np.ndarray, o: np.ndarray) -> float:
-        v = s * s * self.weight[o]
-        return float(((v * self.toxic[o]).sum() + self.shrink * self.base) / (v.sum() + self.shrink))
+    def votes(self, telling: np.ndarray, o: np.ndarray) -> tuple[float, float]:
+        """Sums of the votes: of the toxic neighbours, of all."""
+        v = telling * self.weight[o]
+        return float((v * self.toxic[o]).sum()), float(v.sum())
 
-    def calibrate(self, raw: np.ndarray) -> None:
-        """raw: the leave-one-out votes of the examples."""
-        if len(raw) and 0 < self.toxic.sum() < len(raw):
+    def calibrate(self, toxic_votes: np.ndarray, votes: np.ndarray) -> None:
+        """From the leave-one-out votes of the examples."""
+        if len(votes) and 0 < self.toxic.sum() < len(votes):
+            raw = (toxic_votes + self.shrink * self.base) / (votes + self.shrink)
             self.knots = isotonic(raw, self.toxic.astype(float), self.weight)
         else:
             self.knots = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
 
-    def scored(self, texts: list[str], cache: Terms) -> list[tuple]:
-        """(score, neighbors) of each text."""
+    def score(self, toxic_votes, votes, share):
+        """Calibrated score of votes; share: what of the text's length lies in the terms of the examples."""
+        raw = (share * toxic_votes + self.shrink * self.base) / (share * votes + self.shrink)
+        return np.clip(np.interp(raw, *self.knots), 0.0, 1.0)
+
+    def found(self, texts: list[str], cache: Terms) -> list[tuple]:
+        """For each text: sums of votes, its squared length over the terms of the examples, the neighbours, and, where
+        it has any, its words that no example holds with their counts."""
         out = []
         for part in _groups(texts):
-            for s, o in self.nearest(len(part), *self.vectors(*cache.of(part))):
-                p = float(np.clip(np.interp(self.vote(s, o), *self.knots), 0.0, 1.0))
-                out.append((p, [{"example": i, "similarity": x, "toxic": y} for i, x, y in zip(self.ids[o].tolist(), s.tolist(), self.toxic[o].tolist())]))
+            (doc, term, tf), (at, word, n) = cache.split(part)
+            inner = np.bincount(doc, self.weighed(term, tf) ** 2, len(part))
+            cuts = np.searchsorted(at, np.arange(len(part) + 1))
+            for i, (s, telling, o) in enumerate(self.nearest(len(part), *self.vectors(doc, term, tf))):
+                end = cuts[i + 1] if len(o) else cuts[i]
+                out.append((*self.votes(telling, o), inner[i], self.ids[o], s, self.toxic[o], word[cuts[i] : end], n[cuts[i] : end]))
         return out
 
 
@@ -302,30 +384,59 @@ def _layout(own: np.ndarray, term: np.ndarray, w: np.ndarray, toxic: np.ndarray,
     return np.lexsort((np.arange(len(x)), of, toxic))
 
 
-def _scorer(spark, model: ToxicityModel, vocabulary):
-    """text -> struct(score, neighbors); equal texts of a batch are looked up once."""
+def _finder(spark, model: ToxicityModel, vocabulary):
+    """text -> what `found` tells; equal texts of a batch are looked up once."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_RESULT)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(_FOUND)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache = Terms(vocabulary.value)
         for texts in batches:
             of: dict = {}
             at = [of.setdefault(t or "", len(of)) for t in texts]
-            found = shared.value.scored(list(of), cache)
-            yield pd.DataFrame([found[i] for i in at], columns=["score", "neighbors"])
+            found = shared.value.found(list(of), cache)
+            yield pd.DataFrame([found[i] for i in at], columns=[c.split()[0] for c in _FOUND.split(", ")])
         del cache
         trim_memory()
 
-    return score
+    return find
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, columns: list, **fit) -> DataFrame:
+    """columns, score and neighbors of each document. The neighbours are found where the texts lie and written; the words
+    that no example holds are joined to their counts, and their part of the norm comes back by row number."""
+    model, vocabulary, others = fit_toxicity(docs, labels, id_col, text_col, **fit)
+    find = _finder(docs.sparkSession, model, vocabulary)
+    looked = materialize(docs.select(*columns, find(F.col(text_col)).alias("r")).select("*", F.monotonically_increasing_id().alias("row")))
+    documents = float(model.documents)
+    idf = F.log((1 + documents) / (1 + F.col("n"))) + 1
+    outside = (
+        looked.select("row", F.explode(F.arrays_zip("r.word", "r.tf")).alias("x")).select("row", F.col("x.word").alias("term"), F.col("x.tf").alias("tf"))
+        .join(others, "term").groupBy("row").agg(F.sum(((1 + F.log("tf")) * idf) ** 2).alias("outer"))
+    )
+    total = F.col("r.inner") + F.coalesce("outer", F.lit(0.0))
+    share = F.when(F.col("outer").isNull(), 1.0).otherwise(F.sqrt(F.col("r.inner") / total))
+
+    @F.pandas_udf("double")
+    def score(toxic_votes: pd.Series, votes: pd.Series, share: pd.Series) -> pd.Series:
+        return pd.Series(calibration.score(toxic_votes.to_numpy(), votes.to_numpy(), share.to_numpy()))
+
+    calibration = ToxicityModel(*[np.empty(0)] * 4, model.base, np.empty(0), shrink=model.shrink, knots=model.knots)
+    neighbors = F.transform(
+        F.arrays_zip("r.example", "r.similarity", "r.toxic"),
+        lambda x: F.struct(x["example"].alias("example"), (x["similarity"] * F.col("share")).alias("similarity"), x["toxic"].alias("toxic")),
+    )
+    whole = looked.join(outside, "row", "left").withColumn("share", share)
+    names = [c for c in looked.columns if c not in ("r", "row")]
+    return whole.select(*names, score("r.toxic_votes", "r.votes", "share").alias("score"), neighbors.alias("neighbors"))
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     most_toxic: int = 3000, most_clean: int = 6000,
 ):
-    """(model, vocabulary as a broadcast) from at most most_toxic + most_clean labelled documents and the word counts of
-    all documents. What is broadcast is bounded by the words of the examples.
+    """(model, vocabulary as a broadcast, table of the other words' counts) from at most most_toxic + most_clean labelled
+    documents and the word counts of all documents. What is broadcast is bounded by the words of the examples.
 
     Without labelled rows, or with one class only, every document scores the base rate (0 without labels).
     """
@@ -348,16 +459,17 @@ def fit_toxicity(
     vocabulary = spark.sparkContext.broadcast(words[order])
     relevance = LEAST_RELEVANCE + terms["chi2"].to_numpy()[order] / max(n1 + n0, 1)
     del terms, words, order
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = materialize(docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    counted = counts.filter("term >= -1").toArrow()
     df = np.zeros(len(relevance) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     del counted
-    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     rows = examples.mapInPandas(_vectors(vocabulary), "id long, y int, terms array<int>, tf array<int>").toArrow().sort_by("id")
     y, ids = rows["y"].to_numpy().astype(np.int64), rows["id"].to_numpy()
     share = {k: all_sizes.get(k, 0) / max(sizes.get(k, 0), 1) for k in (0, 1)}
     labelled = all_sizes.get(0, 0) + all_sizes.get(1, 0)
-    model = ToxicityModel(idf, ids, y, np.ones(len(ids)), all_sizes.get(1, 0) / labelled if labelled else 0.0)
+    model = ToxicityModel(idf, ids, y, np.ones(len(ids)), all_sizes.get(1, 0) / labelled if labelled else 0.0, relevance, documents=int(df[-1]))
     lists = [rows[c].combine_chunks() for c in ("terms", "tf")]
     own = np.repeat(np.arange(len(ids)), np.diff(lists[0].offsets.to_numpy()))
     own, term, w = model.vectors(own, *(x.values.to_numpy() for x in lists))
@@ -377,14 +489,14 @@ def fit_toxicity(
             for k in range(0, len(at), TOGETHER):
                 part = list(pdf["text"].iloc[k : k + TOGETHER])
                 found = m.nearest(len(part), *m.vectors(*cache.of(part)), at[k : k + TOGETHER])
-                raw += [m.vote(*x) for x in found]
-            yield pd.DataFrame({"i": at, "vote": raw})
+                raw += [m.votes(telling, o) for _, telling, o in found]
+            yield pd.DataFrame({"i": at, "toxic": [x for x, _ in raw], "n": [x for _, x in raw]})
 
-    raw = examples.mapInPandas(votes, "i long, vote double").toArrow().sort_by("i")
-    model.calibrate(raw["vote"].to_numpy())
+    raw = examples.mapInPandas(votes, "i long, toxic double, n double").toArrow().sort_by("i")
+    model.calibrate(raw["toxic"].to_numpy(), raw["n"].to_numpy())
     shared.destroy()
     release(sample, examples)
-    return model, vocabulary
+    return model, vocabulary, counts.filter("term < -1")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
@@ -393,12 +505,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Null and empty texts have no words: they get the calibrated score of a document without neighbours. Rows with
     a null id or a repeated id are scored like any other. Other columns are ignored, whatever their names.
     """
-    udf = _scorer(docs.sparkSession, *fit_toxicity(docs, labels, id_col, text_col, **fit))
-    scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), udf(F.col(text_col)).alias("r"))
-    return scored.select(id_col, "held_out", "r.score", (F.col("r.score") >= 0.5).cast("int").alias("predicted"), "r.neighbors")
+    scored = _scored(docs, labels, id_col, text_col, [F.col(id_col).alias("id"), held_out(id_col).alias("held_out")], **fit)
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbors")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
-    """docs without the rows that score threshold or more; all columns stay."""
-    udf = _scorer(docs.sparkSession, *fit_toxicity(docs, labels, id_col, text_col, **fit))
-    return docs.filter(udf(F.col(text_col)).getField("score") < threshold)
+    """docs without the rows that score threshold or more; all columns stay. Equal texts score alike, so the rejected
+    ones are known by 128 bits of hash of their text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    scored = _scored(docs, labels, id_col, text_col, [k.alias(f"key{i}") for i, k in enumerate(keys)], **fit)
+    rejected = scored.filter(F.col("score") >= threshold).select("key0", "key1").distinct()
+    own = F.coalesce(docs[text_col], F.lit(""))
+    return docs.join(rejected, (F.xxhash64(own) == rejected["key0"]) & (F.xxhash64(F.lit(1), own) == rejected["key1"]), "left_anti")

@@ -181,7 +181,7 @@ def test_toxicity_finds_held_out_documents(spark):
 def test_index_gives_the_exact_nearest():
     rng = np.random.default_rng(1)
     terms, n = 40, 700
-    model = toxicity.ToxicityModel(np.linspace(1, 4, terms), np.arange(n), rng.integers(0, 2, n), np.ones(n), 0.3, k=10)
+    model = toxicity.ToxicityModel(np.linspace(1, 4, terms), np.arange(n), rng.integers(0, 2, n), np.ones(n), 0.3, rng.random(terms), k=10)
     vectors = []
     for _ in range(n):
         t = np.sort(rng.choice(terms, rng.integers(0, 6), replace=False, p=np.r_[np.full(4, 0.15), np.full(36, 0.4 / 36)]))
@@ -194,11 +194,14 @@ def test_index_gives_the_exact_nearest():
         dense[i, t] = w
     assert 0 < len(model.row_max) < terms
     at = list(range(0, n, 7))
-    for i, (s, o) in zip(at, model.nearest(len(at), *flat(at), at)):
+    for i, (s, telling, o) in zip(at, model.nearest(len(at), *flat(at), at)):
         cos = (dense @ dense[i]).round(9)
         cos[i] = -1
-        order = [j for j in np.lexsort((np.arange(n), -cos)) if cos[j] > 0][:10]
+        ranked = [j for j in np.lexsort((np.arange(n), -cos)) if cos[j] > 0]
+        of = [[j for j in ranked if model.toxic[j] == y][:10] for y in (0, 1)]
+        order = [j for j in ranked if j in of[0] or j in of[1]]
         assert list(o) == order and np.allclose(s, cos[order])
+        assert np.allclose(telling, dense[order] @ (dense[i] * model.relevance))
 
 
 def test_toxicity_indexes_all_terms_of_the_examples(spark):
@@ -212,6 +215,33 @@ def test_toxicity_indexes_all_terms_of_the_examples(spark):
     assert got[3002].neighbors[0].example == 3001
 
 
+def test_cosines_are_those_of_whole_texts(spark):
+    """Plain TF-IDF over all words, those that no example has included, a very long text and repeated rows among them."""
+    docs, labels = labelled(spark, 200)
+    extra = [(500, " ".join(f"new{i % 900}" for i in range(5000)) + " gromp", "en", "s", 1), (501, "gromp new1 new1", "en", "s", 1), (501, "gromp new1 new1", "en", "s", 1), (502, "new2 unheard", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    rows = docs.collect()
+    counts = [Counter(x for x in map(toxicity.word_of, (r.text or "").lower().split()) if x) for r in rows]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: np.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
+    vectors = [{w: (1 + np.log(n)) * idf[w] for w, n in c.items()} for c in counts]
+    length = [np.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    cosine = lambda a, b: sum(x * vectors[b].get(w, 0.0) for w, x in vectors[a].items()) / (length[a] * length[b])
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    place = {r.doc_id: i for i, r in enumerate(rows)}
+    want = {}
+    for i, r in enumerate(rows):
+        near = sorted((-round(cosine(i, place[e]), 7), e) for e in y if length[i])
+        want[r.doc_id, r.text] = [[-c for c, e in near if y[e] == t and c < 0][:15] for t in (0, 1)]
+    got = toxicity.score_toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len({r.doc_id for r in got}) > 200
+    for r in got:
+        for t in (0, 1):
+            assert np.allclose([n.similarity for n in r.neighbors if n.toxic == t], want[r.doc_id, r.text][t], atol=2e-7)
+    one = {r.doc_id: r for r in got}
+    assert 0 < max(n.similarity for n in one[500].neighbors) < 0.1 and not one[502].neighbors
+
+
 def test_toxicity_without_labels(spark, empty):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
