@@ -409,10 +409,10 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, colu
     find = _finder(docs.sparkSession, model, vocabulary)
     looked = materialize(docs.select(*columns, find(F.col(text_col)).alias("r")).select("*", F.monotonically_increasing_id().alias("row")))
     documents = float(model.documents)
-    idf = F.log((1 + documents) / (1 + F.col("n"))) + 1
+    idf = F.log((1 + documents) / (1 + F.coalesce("n", F.lit(1)))) + 1
     outside = (
         looked.select("row", F.explode(F.arrays_zip("r.word", "r.tf")).alias("x")).select("row", F.col("x.word").alias("term"), F.col("x.tf").alias("tf"))
-        .join(others, "term").groupBy("row").agg(F.sum(((1 + F.log("tf")) * idf) ** 2).alias("outer"))
+        .join(others, "term", "left").groupBy("row").agg(F.sum(((1 + F.log("tf")) * idf) ** 2).alias("outer"))
     )
     total = F.col("r.inner") + F.coalesce("outer", F.lit(0.0))
     share = F.when(F.col("outer").isNull(), 1.0).otherwise(F.sqrt(F.col("r.inner") / total))
@@ -435,7 +435,7 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     most_toxic: int = 3000, most_clean: int = 6000,
 ):
-    """(model, vocabulary as a broadcast, table of the other words' counts) from at most most_toxic + most_clean labelled
+    """(model, vocabulary as a broadcast, counts of the other words that several documents hold) from at most most_toxic + most_clean labelled
     documents and the word counts of all documents. What is broadcast is bounded by the words of the examples.
 
     Without labelled rows, or with one class only, every document scores the base rate (0 without labels).
@@ -459,7 +459,7 @@ def fit_toxicity(
     vocabulary = spark.sparkContext.broadcast(words[order])
     relevance = LEAST_RELEVANCE + terms["chi2"].to_numpy()[order] / max(n1 + n0, 1)
     del terms, words, order
-    counts = materialize(docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    counts = materialize(docs.select(F.col(text_col).alias("text")).mapInPandas(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("term >= -1 or n > 1"))
     counted = counts.filter("term >= -1").toArrow()
     df = np.zeros(len(relevance) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
