@@ -203,10 +203,8 @@ class ToxicityModel:
     slot: np.ndarray = field(default=None, repr=False)  # by example: its place in the blocks
     example: np.ndarray = field(default=None, repr=False)  # by place: its example, or -1
     clean_blocks: int = 0
-    own_ptr: np.ndarray = field(default=None, repr=False)  # by example: where its terms begin
-    own_term: np.ndarray = field(default=None, repr=False)
-    own_val: np.ndarray = field(default=None, repr=False)
     column: np.ndarray = field(default=None, repr=False)  # by term: its row of `rows`, or -1
+    row_relevance: np.ndarray = field(default=None, repr=False)
     rows: np.ndarray = field(default=None, repr=False)
     row_max: np.ndarray = field(default=None, repr=False)
     ords: np.ndarray = field(default=None, repr=False)
@@ -237,20 +235,18 @@ class ToxicityModel:
         self.slot[toxic] = self.clean_blocks * BLOCK + np.arange(len(toxic))
         self.example = np.full(blocks * BLOCK, -1, np.int32)
         self.example[self.slot] = np.arange(len(self.ids))
-        order = np.argsort(own, kind="stable")
-        self.own_ptr = np.searchsorted(own[order], np.arange(len(self.ids) + 1))
-        self.own_term, self.own_val = term[order].astype(np.int32), val[order]
         own = self.slot[own]
         many = np.flatnonzero(np.bincount(term, minlength=n_terms) > max(COMMON * len(self.ids), BLOCK // 8))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[many] = np.arange(len(many))
+        self.row_relevance = self.relevance[many]
         row = self.column[term]
         self.rows = np.zeros((blocks * BLOCK, len(many)), np.float32)
         self.rows[own[row >= 0], row[row >= 0]] = val[row >= 0]
         self.row_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, len(many)).max(axis=1).T)
         term, val, own = term[row < 0], val[row < 0], own[row < 0]
         order = np.lexsort((own, term))
-        term, self.ords, self.vals = term[order], own[order], val[order].astype(np.float32)
+        term, self.ords, self.vals = term[order], own[order], val[order]
         cell = term * max(blocks, 1) + self.ords // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_ptr = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
@@ -266,20 +262,20 @@ class ToxicityModel:
             return [(np.empty(0), np.empty(0), np.empty(0, np.int64))] * docs
         width = blocks * BLOCK
         labels = [(a, b) for a, b in ((0, self.clean_blocks), (self.clean_blocks, blocks)) if a < b]
-        cuts, all_terms, all_w = np.searchsorted(doc, np.arange(docs + 1)), term, w
         col = self.column[term]
         dense = np.zeros((docs, len(self.row_max)), np.float32)
         dense[doc[col >= 0], col[col >= 0]] = w[col >= 0]
         doc, term, w = doc[col < 0], term[col < 0], w[col < 0]
         n = self.cell_ptr[term + 1] - self.cell_ptr[term]
         cells = _ranges(self.cell_ptr[term], n)
-        doc, w = np.repeat(doc, n), np.repeat(w, n)
+        doc, telling, w = np.repeat(doc, n), np.repeat(w * self.relevance[term], n), np.repeat(w, n)
         at = doc * blocks + self.cell_block[cells]
         bound = dense @ self.row_max + np.bincount(at, self.cell_max[cells] * w, docs * blocks).reshape(docs, blocks)
-        s, rest = np.zeros((docs, width), np.float32), np.zeros(docs * width)
+        s, rest, told = np.zeros((docs, width), np.float32), np.zeros(docs * width), np.zeros(docs * width)
 
         def look(live: np.ndarray) -> None:
-            """Add up the cosines of the examples in the live blocks: of the common terms in s, of the others in rest."""
+            """Add up the cosines of the examples in the live blocks: of the common terms in s, of the others in rest
+            (weighted by relevance: in told)."""
             for b in np.flatnonzero(live.any(axis=0)):
                 of = np.flatnonzero(live[:, b])
                 s[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
@@ -287,7 +283,9 @@ class ToxicityModel:
             c = cells[on]
             n = self.cell_at[c + 1] - self.cell_at[c]
             post = _ranges(self.cell_at[c], n)
-            rest[:] += np.bincount(np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post] * np.repeat(w[on], n), docs * width)
+            to, val = np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post]
+            rest[:] += np.bincount(to, val * np.repeat(w[on], n), docs * width)
+            told[:] += np.bincount(to, val * np.repeat(telling[on], n), docs * width)
 
         def summed() -> np.ndarray:
             total = s + rest.reshape(docs, width)
@@ -307,30 +305,24 @@ class ToxicityModel:
             least[:, a:b] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k, None] - SLACK
         look((bound > 0) & (bound >= least) & ~first)
         total = summed()
-        out, q = [], np.zeros(len(self.idf))
+        out = []
         for d in range(docs):
-            terms = all_terms[cuts[d] : cuts[d + 1]]
-            q[terms] = all_w[cuts[d] : cuts[d + 1]]
             near = []
             for a, b in labels:
                 x = total[d, a * BLOCK : b * BLOCK]
                 o = np.flatnonzero(x > max(least[d, a], 0.0))
                 if len(o) > self.k:
                     o = o[x[o] >= np.partition(x[o], -self.k)[-self.k] - SLACK]
-                near.append(self.example[a * BLOCK + o])
+                near.append(a * BLOCK + o)
             # What may be among the nearest is added up anew in double precision.
-            p = np.concatenate(near)
-            n = self.own_ptr[p + 1] - self.own_ptr[p]
-            on = _ranges(self.own_ptr[p], n)
-            part, row = self.own_val[on] * q[self.own_term[on]], np.repeat(np.arange(len(p)), n)
-            exact = np.bincount(row, part, len(p)).round(9)
+            o, q = np.concatenate(near), dense[d].astype(float)
+            p, common = self.example[o], self.rows[o].astype(float) @ np.stack([q, q * self.row_relevance], axis=1)
+            exact = (common[:, 0] + rest[d * width + o]).round(9)
             by = np.lexsort((p, -exact))
             by = by[exact[by] > 0]
             of = self.toxic[p[by]] != 0
             by = by[np.where(of, np.cumsum(of), np.cumsum(~of)) <= self.k]
-            telling = np.bincount(row, part * self.relevance[self.own_term[on]], len(p))
-            out.append((exact[by], telling[by], p[by]))
-            q[terms] = 0
+            out.append((exact[by], common[by, 1] + told[d * width + o[by]], p[by]))
         return out
 
     def votes(self, telling: np.ndarray, o: np.ndarray) -> tuple[float, float]:
