@@ -282,7 +282,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans: one row per input row.
+    """id_col, n_email, n_ip, n_card, n_phone (of the base rules' spans), base_sha256, spans (all): one row per input row.
 
     A null text counts as empty and has no spans; base_sha256 is then the hash of the empty string. Null and repeated
     ids are rows like any other, other columns are ignored. Where there is nothing to learn from, base spans stand alone.
@@ -290,7 +290,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     model = fit_proposals(docs, id_col, text_col, **(PATIENCE | fit))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select("id", F.struct(base_spans(F.col("text")).alias("base"), find_spans(F.col("text"), model).alias("all")).alias("s"))
-    counts = [_count(F.col("s.all"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(F.col("s.base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return d.select(F.col("id").alias(id_col), *counts, F.sha2(spelled(F.col("s.base")).cast("binary"), 256).alias("base_sha256"), spelled(F.col("s.all")).alias("spans"))
 
 

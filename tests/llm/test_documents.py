@@ -336,6 +336,15 @@ def test_trees_add_what_a_base_rule_dropped(spark):
     assert all(set(r.spans.split(",")) - {""} == set(base(t).split(",")) - {""} for (i, t), r in ((x, got[x[0]]) for x in rows[:-1]))
 
 
+def test_counts_are_the_base_rules(spark, monkeypatch):
+    # A model that takes every proposal adds spans of each kind; the counts stay those of the base rules.
+    monkeypatch.setattr(pii, "fit_proposals", lambda *_, **__: (lambda f: F.lit(1.0), dict.fromkeys(range(4), 0.0)))
+    t = "a@b.com ka c (at) d.org ter +1 (578) 555-6437 4111111111111111 lo 988 555 2485 mi 4111 1111 1111 1112"
+    r = pii.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    want = Counter(s.split(":")[0] for s in base(t).split(","))
+    assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want[k] for k in KINDS] == [1, 0, 0, 0] and r.spans.count(",") >= 3
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "write a@b.com or 1.2.3.4.", 99), (2, None, 7), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(d).collect()}
