@@ -15,12 +15,13 @@ only, and repeated groups are turned into plain character classes beforehand).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -42,7 +43,9 @@ PROPOSE_NUMBERS = (
 )
 CONTEXT = 24
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-PATIENCE = dict(sample_docs=20_000, sample_spans=20_000, trees=12, depth=3, precision=0.95)
+#: Distinct formats that one task of a fit gets.
+FORMATS = 200_000
+PATIENCE = dict(trees=12, depth=3, precision=0.95)
 
 
 def _let(value: Column, body) -> Column:
@@ -192,37 +195,41 @@ def _tree_column(node, f: Column) -> Column:
     return F.when(f[split.featureIndex()] <= float(split.threshold()), low).otherwise(high)
 
 
-def fit_proposals(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_spans: int, trees: int, depth: int, precision: float):
+def _telling(text: Column) -> Column:
+    """Whether anything can be proposed in a text."""
+    return text.rlike("[0-9@]") | text.rlike(r"(?i)[(\[]at[)\]]")
+
+
+def fit_proposals(docs: DataFrame, text_col: str, trees: int, depth: int, precision: float):
     """(margin of a feature array as a function of columns, threshold by kind), or None where there is nothing to learn.
 
-    Fitted on at most sample_docs distinct documents (lowest hash of text first) and sample_spans of their proposals, which
-    the base rules label; the same ones however the documents are dealt.
+    Fitted on all proposals of all documents, which the base rules label; those of equal texts count once. Like ones
+    become one row with their number as its weight, so what is fitted grows with the distinct formats only.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     text = F.col("text")
-    some = docs.select(F.col(text_col).alias("text")).filter(text.rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    # Only hashes are ordered; the texts up to the last one are taken where they lie, equal ones once.
-    last = some.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first().h
-    if last is None:
-        return None
-    spans = some.filter(F.col("h") <= last).dropDuplicates(["h"]).select("h", F.posexplode(proposals(text)).alias("at", "p"), base_spans(text).alias("base"))
+    some = docs.select(F.col(text_col).alias("text")).filter(_telling(text))
+    spans = some.select(F.xxhash64("text").alias("h"), F.posexplode(proposals(text)).alias("at", "p"), base_spans(text).alias("base"))
     hit = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["start"] < F.col("p.end")) & (F.col("p.start") < b["end"]))
-    spans = materialize(spans.select("p.kind", "p.f", hit.cast("double").alias("label"), "h", "at"))
-    rows = materialize(spans.orderBy("h", "at").limit(sample_spans))
-    release(spans)
-    sizes = {(r.label, r.t): r.n for r in rows.groupBy("label", (F.pmod("h", F.lit(3)) > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    once = spans.select("p.kind", "p.f", hit.cast("double").alias("label"), "h", "at").distinct()
+    rows = materialize(once.groupBy("kind", "f", "label", (F.pmod("h", F.lit(3)) > 0).alias("t")).agg(F.count("*").cast("double").alias("n")))
+    sizes = {(r.label, r.t): r.n for r in rows.groupBy("label", "t").agg(F.sum("n").alias("n")).collect()}
     if min(sizes.get((y, t), 0) for y in (0.0, 1.0) for t in (True, False)) < 5:
         return None
-    train = rows.filter(F.pmod("h", F.lit(3)) > 0).select(array_to_vector(F.col("f")).alias("features"), "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(train)
+    formats = rows.filter("t").count()
+    # In a fixed order, so that sums round alike in every run.
+    train = rows.filter("t").coalesce(1 + formats // FORMATS).sortWithinPartitions("f", "kind", "label").select(array_to_vector(F.col("f")).alias("features"), "label", "n")
+    # Where rows outnumber the square of the bins (and 10,000), the trees' split points would come from a sample.
+    bins = max(32, math.isqrt(formats) + 1)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=bins, weightCol="n").fit(train)
     parts = list(zip(model.treeWeights, model._java_obj.trees()))
 
     def margin(f: Column) -> Column:
         return reduce(lambda a, b: a + b, [_tree_column(tree.rootNode(), f) * float(w) for w, tree in parts])
 
-    held = rows.filter(F.pmod("h", F.lit(3)) == 0).select("kind", F.round(margin(F.col("f")), 6).alias("m"), "label").groupBy("kind", "m").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy("kind", F.desc("m")).collect()
+    held = rows.filter("not t").select("kind", F.round(margin(F.col("f")), 6).alias("m"), "label", "n").groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).orderBy("kind", F.desc("m")).collect()
     thresholds: dict[int, float] = {}
     for kind in range(4):
         hits = n = 0
@@ -287,7 +294,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A null text counts as empty and has no spans; base_sha256 is then the hash of the empty string. Null and repeated
     ids are rows like any other, other columns are ignored. Where there is nothing to learn from, base spans stand alone.
     """
-    model = fit_proposals(docs, id_col, text_col, **(PATIENCE | fit))
+    model = fit_proposals(docs, text_col, **(PATIENCE | fit))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select("id", F.struct(base_spans(F.col("text")).alias("base"), find_spans(F.col("text"), model).alias("all")).alias("s"))
     counts = [_count(F.col("s.base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -299,9 +306,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     Null texts stay null; all columns keep their names, types and order.
     """
-    model = fit_proposals(docs, id_col, text_col, **(PATIENCE | fit))
+    model = fit_proposals(docs, text_col, **(PATIENCE | fit))
     text = F.col(text_col)
-    new = F.when(text.rlike("[0-9@]") | text.rlike(r"(?i)[(\[]at[)\]]"), _let(find_spans(text, model), lambda s: redacted(text, s))).otherwise(text)
+    new = F.when(_telling(text), _let(find_spans(text, model), lambda s: redacted(text, s))).otherwise(text)
     out = docs.withColumn(text_col, new)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(text.isNull(), F.col(length_col)).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folio.llm import decontamination, fingerprints, ngram_jaccard, packing, pii, quality, sharding, toxicity
@@ -345,6 +346,22 @@ def test_counts_are_the_base_rules(spark, monkeypatch):
     assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want[k] for k in KINDS] == [1, 0, 0, 0] and r.spans.count(",") >= 3
 
 
+def test_trees_learn_from_every_document(spark):
+    # Cards lie only in texts of high hashes, behind more than 20,000 phone numbers in texts of low ones.
+    rng, low, high = random.Random(5), [], []
+    for i in range(1200):
+        numbers = [f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}" for _ in range(60)]
+        phones, card = " ter ".join(numbers), f"{i} ka 4111111111111111 mi {rng.randrange(10**13, 10**14)}x"
+        h, g = (xxhash.xxh64_intdigest(t.encode(), seed=42) for t in (phones, card))  # as F.xxhash64
+        low += [phones] if h >> 63 else []
+        high += [] if g >> 63 else [card]
+    rows = [*enumerate(low[:450]), *enumerate(high[:400], 1000), (9999, "ka +1 (578) 555-6437 4111111111111111 lo")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert d.filter("doc_id < 1000").select(F.max(F.xxhash64("text"))).first()[0] < 0 and len(low) >= 450
+    got = {r.doc_id: r for r in pii.find_pii(d).collect()}
+    assert "card:21:37" in got[9999].spans and "phone:" in got[9999].spans
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "write a@b.com or 1.2.3.4.", 99), (2, None, 7), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(d).collect()}
