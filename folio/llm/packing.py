@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import count
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,11 @@ class WordIds:
 
     Holds for tokenizers that lower-case, drop white space and have no token over a space or line feed (`splits`): a
     text's ids are then those of its parts between them, and each distinct part is encoded once. Words of letters are
-    encoded many at a time, told apart by the tokens that end a word; a comma or full stop after a word is a token of
-    its own. With any other tokenizer whole texts are encoded.
+    encoded many at a time, told apart by the tokens that end a word; ASCII marks after a word are tokens of
+    their own. With any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.limit, self.tok = limit, Tokenizer.from_file(path)
@@ -48,7 +49,6 @@ class WordIds:
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._one(m) for m in ",."} if self.splits else {}
 
     @staticmethod
     def _drops_spaces(made_of: dict) -> bool:
@@ -80,20 +80,20 @@ class WordIds:
         if len(known) > self.limit:
             self.older, self.words = known, {}
             known = self.words
-        new = []
-        for w in words:
-            if w not in known:
-                if w in self.older:
-                    known[w] = self.older[w]
-                else:
-                    new.append(w)
-        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
-        plain = list({w for w in new if w.isalpha()} | {w[:-1] for w in marked if w[:-1] not in known})
+        new = words.difference(known)
+        if self.older:
+            kept = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+            known.update(kept)
+            new.difference_update(kept)
+        marked = [(w, core) for w in new if (core := w.rstrip(punctuation)) is not w and core.isalpha()]
+        plain = list({w for w in new if w.isalpha()} | {core for _, core in marked if core not in known})
         chunks = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
         for part, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
             self._letters(part, np.array(e.ids, "<u4"))
-        for w in marked:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        for w, core in marked:
+            if (marks := w[len(core) :]) not in known:
+                known[marks] = self._one(marks)
+            known[w] = known[core] + known[marks]
         rest = [w for w in new if w not in known]
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
@@ -111,7 +111,7 @@ class WordIds:
             if self.splits:
                 # Special strings are matched as they are written, and a final sigma is lower-cased by its neighbours.
                 parts = [(t if "<|" in t or "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts[at:end]]
-                self.learn({w for words in parts for w in words})
+                self.learn(set().union(*parts))
                 for words in parts:
                     yield b"".join(map(self.words.__getitem__, words))
             else:

@@ -488,6 +488,31 @@ def test_large_urns_have_the_right_mean_and_spread():
 # --- packing
 
 
+def test_marks_after_words_need_no_encoding_of_their_own():
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, 0
+
+        def encode(self, text, **how):
+            self.texts += 1
+            return self.tok.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.tok.encode_batch_fast(texts, **how)
+
+    cores = [*{w for w in words(random.Random(8), 400)}, "éß", "ñandú", "don", "ΟΔΟΣ", "ﬁn", "x1", "it's", "e\u0301"]
+    marked = [w + m for w in cores for m in ("", ".", ",", "%%%", "!!", "'", "''s", ".***", "<|", "$\u0301", "…")]
+    made = packing.WordIds(TOKENIZER)
+    plain, made.tok = made.tok, Counting(made.tok)
+    whole = plain.encode(" ".join(marked), add_special_tokens=False).ids
+    assert np.frombuffer(next(made.all_ids([" ".join(marked)])), "<u4").tolist() == whole
+    one = packing.WordIds(TOKENIZER)
+    one.tok = Counting(plain)
+    list(one.all_ids([" ".join(w + m for w in cores[:-5] for m in ("", "%%%", "!!", "'", ".***"))]))
+    assert one.tok.texts < 20
+
+
 def test_packing_is_a_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
