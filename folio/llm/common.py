@@ -83,8 +83,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"factor", seed=i) | 1) for i in range(SHINGLE_WORDS)]
-_LENGTHS = [np.uint64(xxhash.xxh64_intdigest(b"length", seed=i)) for i in range(SHINGLE_WORDS + 1)]
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", seed=i) | 1 for i in range(SHINGLE_WORDS)], np.uint64)
+_LENGTHS = np.array([xxhash.xxh64_intdigest(b"length", seed=i) for i in range(SHINGLE_WORDS + 1)], np.uint64)
 
 
 def shingle_set(text: bytes | None, cache: WordHashes) -> np.ndarray:
@@ -102,16 +102,67 @@ def shingle_set(text: bytes | None, cache: WordHashes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\v\f\r")] = True
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of texts that are hashed together (one longer text counts alone); words above so many bytes are hashed one by one.
+TOGETHER_BYTES, LONG_WORD = 250_000, 64
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of data, which begins and ends with white space: eight bytes of all words at a time."""
+    padded = data + bytes(8)
+    blank = _SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix64(size.astype(np.uint64) * _FACTORS[0] ^ (eight[start] & _FIRST_BYTES[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        h[at] = mix64(h[at] ^ (eight[start[at] + done] & _FIRST_BYTES[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return start, h
+
+
+def shingle_sets(texts) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles, as in shingle_set but of other word hashes; many texts at a time."""
+    texts, out, at = [t or b"" for t in texts], [], 0
+    while at < len(texts):
+        end, held = at + 1, len(texts[at])
+        while end < len(texts) and held + len(texts[end]) <= TOGETHER_BYTES:
+            held += len(texts[end])
+            end += 1
+        start, h = _word_hashes(b"\n".join([b"", *texts[at:end], b""]).lower())
+        first = np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for t in texts[at:end])])).tolist()
+        whole = np.full(max(0, len(h) - SHINGLE_WORDS + 1), _LENGTHS[SHINGLE_WORDS], np.uint64)
+        for k in range(SHINGLE_WORDS):
+            whole += h[k : k + len(whole)] * _FACTORS[k]
+        whole = mix64(whole)
+        for lo, hi in zip(first, first[1:]):
+            if hi - lo >= SHINGLE_WORDS:
+                x = whole[lo : hi - SHINGLE_WORDS + 1]
+                x = np.sort(x)
+                out.append(x[np.append(True, x[1:] != x[:-1])])
+            elif hi > lo:
+                out.append(mix64(_LENGTHS[hi - lo : hi - lo + 1] + (h[lo:hi] * _FACTORS[: hi - lo]).sum(dtype=np.uint64)))
+            else:
+                out.append(np.empty(0, np.uint64))
+        at = end
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable over the undirected edges.
 
     Alternating large-star and small-star steps; each step is two aggregations and joins, its result is written to
-    the scratch folder, and the loop ends when the edge set no longer changes. Only nodes that have edges appear.
+    the scratch folder, and the loop ends when every node hangs on one root only. Only nodes that have edges appear.
     """
     e = materialize(
         edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
-    mark = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
@@ -126,10 +177,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         last, e = e, materialize(small)
         release(last)
-        seen = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (seen.n, seen.x) == mark:
-            break
-        mark = (seen.n, seen.x)
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x"))
+        if ends.groupBy("x.node").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("least")).filter("ups > least").isEmpty():
+            break  # a node has one edge up, or it is a root and has none
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

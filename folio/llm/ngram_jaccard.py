@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, mix64, release, shingle_set, shuffle_partitions, trimmed, trimmed_group
+from .common import connected_components, materialize, mix64, release, shingle_sets, shuffle_partitions, trimmed, trimmed_group
 
 #: Jaccard threshold as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 4, 5
@@ -35,6 +35,10 @@ SMALL_GROUP = 4
 BLOCK_ROWS = 1024
 SAMPLE_SETS, MOST_FREQUENT = 4000, 16_384
 CLOSEST = 4
+#: One in so many large groups is looked through first; what they link needn't be looked at in the others.
+EARLY_GROUPS = 8
+SIZE_STEPS = 1600
+MOST_APART = int(np.log2(DEN / NUM) * SIZE_STEPS) + 1
 #: Ids that are broadcast at most (8 bytes each); a share of the rows that makes a class hot, as its inverse.
 MOST_BROADCAST, HOT_CLASSES = 2_000_000, 500
 BATCH_DOCS = 1000
@@ -132,23 +136,20 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def _summary(texts: pd.Series) -> pd.DataFrame:
-    cache = WordHashes()
-    sets = [shingle_set(t, cache) for t in texts]
+    sets = shingle_sets(texts)
     return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int64), "key": np.array([set_key(s) for s in sets], np.int64)})
 
 
 def _counted(batches):
     """(shingle, sets of the sample with it), summed over the batch."""
-    cache = WordHashes()
     for pdf in batches:
-        values, counts = np.unique(np.concatenate([shingle_set(t, cache) for t in pdf["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(pdf["text"])]), return_counts=True)
         yield pd.DataFrame({"shingle": values.view(np.int64), "n": counts})
 
 
 def _shingled(batches):
-    cache = WordHashes()
     for pdf in batches:
-        sets = [shingle_set(t, cache) for t in pdf["text"]]
+        sets = shingle_sets(pdf["text"])
         yield pd.DataFrame({"key": np.array([set_key(x) for x in sets], np.int64), "n": np.array([len(x) for x in sets], np.int64), "bits": [parity_bits(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
 
@@ -156,27 +157,25 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
     """One row per batch and bucket: the signatures of the batch that fall to the bucket, packed."""
 
     def run(batches):
-        cache = WordHashes()
         seen: set[int] = set()
 
-        def packed(ids, low, sets):
+        def packed(ids, sets):
             at = [np.minimum(np.searchsorted(hot, s), len(hot) - 1) for s in sets]
             sig, own = signatures(sets, [np.where(hot[i] == s, hot_share[i], 0.0) for i, s in zip(at, sets)])
             bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, own, bucket = sig[order].astype(np.uint32), own[order], bucket[order]
-            ids, low, sizes = np.array(ids, np.int64), np.array(low, np.int64), np.array([len(s) for s in sets], np.int32)
+            ids, sizes = np.array(ids, np.int64), size_code(np.array([len(s) for s in sets]))
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
                 docs, local = np.unique(own[lo:hi], return_inverse=True)
-                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), ids[docs].tobytes(), low[docs].tobytes(), sizes[docs].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "sig", "local", "ids", "low", "sizes"])
+                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), ids[docs].tobytes(), sizes[docs].tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "sig", "local", "ids", "sizes"])
 
-        ids, low, sets, held = [], [], [], 0
+        ids, sets, held = [], [], 0
         for pdf in batches:
-            for row, text in zip(pdf["id"], pdf["text"]):
-                s = shingle_set(text, cache)
+            for s in shingle_sets(pdf["text"]):
                 if len(s) < NUM:
                     continue  # such a small set links with equal sets only
                 i = set_key(s)
@@ -184,40 +183,56 @@ def _dealt(buckets: int, hot: np.ndarray, hot_share: np.ndarray):
                     continue  # a copy in this task; copies are one class already
                 if len(seen) < 500_000:
                     seen.add(i)
-                ids.append(i), low.append(row), sets.append(s)
+                ids.append(i), sets.append(s)
                 held += len(s)
                 if len(ids) >= BATCH_DOCS or held > 500_000:
-                    yield packed(ids, low, sets)
-                    ids, low, sets, held = [], [], [], 0
+                    yield packed(ids, sets)
+                    ids, sets, held = [], [], 0
         if ids:
-            yield packed(ids, low, sets)
+            yield packed(ids, sets)
 
     return run
 
 
+def size_code(n: np.ndarray) -> np.ndarray:
+    """A set's size on a logarithmic scale; codes of sets that may link differ by MOST_APART at most."""
+    return (np.log2(n) * SIZE_STEPS).astype(np.uint16)
+
+
 def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one bucket: all pairs of small groups, a star and the members of larger ones (once per set of members)."""
-    base, sig, idx, ids, low, sizes = 0, [], [], [], [], []
-    for s, l, d, w, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["low"], pdf["sizes"]):
+    base, sig, idx, ids, sizes = 0, [], [], [], []
+    for s, l, d, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["sizes"]):
         d = np.frombuffer(d, np.int64)
         sig.append(np.frombuffer(s, np.uint32))
-        idx.append(np.frombuffer(l, np.uint16).astype(np.int64) + base)
-        ids.append(d), low.append(np.frombuffer(w, np.int64)), sizes.append(np.frombuffer(n, np.int32))
+        idx.append(np.frombuffer(l, np.uint16).astype(np.int32) + np.int32(base))
+        ids.append(d), sizes.append(np.frombuffer(n, np.uint16))
         base += len(d)
-    ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
-    # Members are ranked by their document's id: the first of a group, its star's centre, is the likeliest original.
-    first_id = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(first_id, rank, np.concatenate(low))
-    order = np.lexsort((ids, first_id))
-    ids, rank = ids[order], np.argsort(order)[rank]
+    # Most signatures occur once; they go before anything else is done.
+    both = np.concatenate(sig).astype(np.uint64) << np.uint64(32) | np.concatenate(idx).astype(np.uint64)
+    both.sort()
+    same = both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32)
+    both = both[np.append(False, same) | np.append(same, False)]
+    del sig, idx, same
+    place = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ids, rank = np.unique(np.concatenate(ids)[place], return_inverse=True)
     size = np.zeros(len(ids), np.int64)
-    size[rank] = np.concatenate(sizes)
-    both = np.unique(np.concatenate(sig).astype(np.uint64) << np.uint64(32) | rank[np.concatenate(idx)].astype(np.uint64))
-    s, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del both
-    start = np.flatnonzero(np.diff(s, prepend=-1))
-    length = np.diff(np.append(start, len(s)))
-    group = np.repeat(np.arange(len(start)), length)
+    size[rank] = np.concatenate(sizes)[place]
+    both = np.unique(both >> np.uint64(32) << np.uint64(32) | rank.astype(np.uint64))
+
+    def grouped():
+        s, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start = np.flatnonzero(np.diff(s, prepend=-1))
+        length = np.diff(np.append(start, len(s)))
+        return s, doc, start, length, np.repeat(np.arange(len(start)), length)
+
+    # Members are ranked by how many others they meet in the bucket: the first of a group, its star's centre, is likely
+    # the text that its others were made from, wherever that one stands in the table.
+    s, doc, start, length, group = grouped()
+    order = np.lexsort((ids, -np.bincount(doc, length[group] - 1, len(ids))))
+    ids, size = ids[order], size[order]
+    both = np.sort(both >> np.uint64(32) << np.uint64(32) | np.argsort(order)[doc].astype(np.uint64))
+    s, doc, start, length, group = grouped()
     g = length[group]
     pairs = []
     for d in range(1, SMALL_GROUP):
@@ -228,12 +243,13 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     pairs.append((pivot << 32 | doc[big])[pivot != doc[big]])
     p = np.unique(np.concatenate(pairs))
     a, b = p >> 32, p & 0xFFFFFFFF
-    ok = NUM * np.maximum(size[a], size[b]) <= DEN * np.minimum(size[a], size[b])
+    ok = np.abs(size[a] - size[b]) <= MOST_APART
     a, b = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
     # Large groups, packed; of groups with the same members one is enough.
     first = start[length > SMALL_GROUP]
     groups = {np.sort(ids[doc[lo:hi]]).tobytes() for lo, hi in zip(first, first + length[length > SMALL_GROUP])}
-    return pd.DataFrame({"a": [*a.tolist(), *[0] * len(groups)], "b": [*b.tolist(), *[0] * len(groups)], "members": [*[None] * len(a), *groups]})
+    none = np.zeros(len(groups), np.int64)
+    return pd.DataFrame({"a": np.concatenate([a, none]), "b": np.concatenate([b, none]), "members": [*[None] * len(a), *groups]})
 
 
 def _unpacked(batches):
@@ -257,10 +273,10 @@ def _pairs(side: np.ndarray, split: bool, ok) -> tuple[np.ndarray, np.ndarray]:
 
 def _across(most: int | None):
     """Pairs of members in different components whose sizes and bitmaps allow a link: all, or for each member of a cell
-    the `most` closest; in that case a row (-1, -1) says that there are more."""
+    the `most` closest; a row (group, -1), its larger number first, says that a group has more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, more = [], False
+        found, more = [], set()
         for _, g in pdf.groupby("cell", sort=False):
             ids, n, comp, own = (g[c].to_numpy() for c in ("id", "n", "component", "own"))
             bits = [np.frombuffer(x, np.uint64) for x in g["bits"]]
@@ -279,10 +295,11 @@ def _across(most: int | None):
                     by = np.argsort(end, kind="stable")
                     first = np.searchsorted(end[by], end[by])
                     keep[by[np.arange(len(by)) - first < most]] = True
-                more = more or not keep.all()
+                if not keep.all():
+                    more.add(int(g["sig"].iloc[0]))
                 i, j = i[keep], j[keep]
             found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-        out = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found, *([np.full((1, 2), -1)] if more else [])]), axis=0)
+        out = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found, *(np.array([[x, -1]]) for x in more)]), axis=0)
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -317,7 +334,11 @@ def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose whole shingle sets reach the threshold. Pairs whose bitmaps rule a link out go first."""
     small = sets.select("key", "n", "bits")
     near = near.join(small.toDF("a", "n_a", "bits_a"), "a").join(small.toDF("b", "n_b", "bits_b"), "b").mapInPandas(trimmed(_near), "a long, b long")
-    whole = sets.select("key", "shingles")
+    near = materialize(near)
+    # Whole sets move only where a pair is left that asks for them.
+    asked = materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    few = asked.count() <= MOST_BROADCAST
+    whole = sets.select("key", "shingles").join(F.broadcast(asked) if few else asked, "key", "left_semi")
     return materialize(near.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").mapInPandas(trimmed(_verified), "a long, b long"))
 
 
@@ -346,7 +367,7 @@ def _cells(groups: DataFrame, part: DataFrame, sets: DataFrame, buckets: int) ->
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     g = g.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cell = F.xxhash64("sig", F.least("own", "with"), F.greatest("own", "with"))
-    g = g.select("id", "component", "n", "bits", "own", (F.col("own") != F.col("with")).alias("split"), cell.alias("cell"))
+    g = g.select("sig", "id", "component", "n", "bits", "own", (F.col("own") != F.col("with")).alias("split"), cell.alias("cell"))
     return g.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets)))
 
 
@@ -387,7 +408,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Signatures take about 3 bytes a shingle, so that many go into one bucket as fill bucket_bytes.
     buckets = max(shuffle_partitions(spark), int((live.agg(F.sum("n").alias("n")).first().n or 0) * 3 // bucket_bytes) + 1)
     hot, share = _frequent(texts)
-    dealt = texts.filter("id is not null and text is not null").mapInPandas(trimmed(_dealt(buckets, hot, share)), "bucket long, sig binary, local binary, ids binary, low binary, sizes binary")
+    dealt = texts.filter("id is not null and text is not null").mapInPandas(trimmed(_dealt(buckets, hot, share)), "bucket long, sig binary, local binary, ids binary, sizes binary")
     hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(trimmed_group(_collisions), "a long, b long, members binary"))
 
     tried = materialize(hits.filter("members is null").select("a", "b").distinct())
@@ -405,15 +426,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = materialize(_joined_keys(live))
     links = _links(tried, sets)
     part = connected_components(links.union(same))
-    for most in (CLOSEST, None):
-        new = _cells(groups, part, sets, buckets).groupBy("bucket").applyInPandas(trimmed_group(_across(most)), "a long, b long").distinct()
+    for every, most in ((EARLY_GROUPS, CLOSEST), (1, CLOSEST), (1, None)):
+        if most is None:
+            groups = groups.join(new.filter("a > b").select(F.col("a").alias("sig")), "sig", "left_semi")
+        new = _cells(groups.filter(F.col("sig") % every == 0), part, sets, buckets).groupBy("bucket").applyInPandas(trimmed_group(_across(most)), "a long, b long").distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"))
-        fresh = new.filter("a >= 0 or b >= 0 or a != b")
+        fresh = new.filter("a < b")
         if not fresh.isEmpty():
             tried = tried.union(fresh)
             links = links.union(_links(fresh, sets))
             part = connected_components(links.union(same))
-        if new.filter("a = -1 and b = -1").isEmpty():
+        if every == 1 and new.filter("a > b").isEmpty():
             break
 
     least = least.join(part.toDF("key", "component"), "key", "left")

@@ -5,13 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from folio.llm import decontamination, fingerprints, ngram_jaccard, packing, pii, quality, sharding, toxicity
-from folio.llm.common import WordHashes, connected_components, shingle_set
+from folio.llm.common import WordHashes, connected_components, shingle_set, shingle_sets
 from tests.llm.fixtures import DOCS, clashing, documents, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -98,6 +99,42 @@ def test_every_pair_above_the_threshold_shares_a_signature():
                 assert shared, (n, len(x), len(y), common)
 
 
+def test_shingle_sets_of_many_texts_tell_apart_what_plain_sets_do():
+    rng = random.Random(12)
+    rows = ["", " ", "A", "a b\tC  d", "a b c d", "\x00 \x1c b c d e", "\x00\x00 \x1c b c d e", "x" * 70 + " b c d e", "x" * 71 + " b c d e", "12345678 b c d e", "123456789 b c d e"]
+    rows += [" ".join(rng.choice(["a", "bb", "x" * 17, "y" * 90, "\u00e4\u00df"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    want, got = plain_sets(dict(enumerate(rows))), shingle_sets([r.encode() for r in rows])
+    assert [len(x) for x in got] == [len(want[i]) for i in range(len(rows))]
+    hashes = {x: set() for x in set().union(*want.values())}
+    for i, x in enumerate(got):
+        for shingle in want[i]:
+            hashes[shingle].add(frozenset(x.tolist())) if len(want[i]) == 1 else None
+    assert all(len(x) <= 1 for x in hashes.values())
+    of = {}
+    assert all(of.setdefault(frozenset(want[i]), x.tobytes()) == x.tobytes() for i, x in enumerate(got)) and len(set(of.values())) == len(of)
+    assert shingle_sets([]) == [] and len(shingle_sets([None])[0]) == 0
+
+
+def test_the_star_of_a_large_group_stands_on_its_original_wherever_it_lies():
+    """The original has the largest hash: a star on it links all copies, a star on any other text leaves pairs to be tried."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(len(base), 24, False)), rng.integers(0, 1 << 63, 24).astype(np.uint64)])) for _ in range(40)] + [base]
+    sig, own = ngram_jaccard.signatures(sets, [np.zeros(len(x)) for x in sets])
+    row = {"sig": sig.astype(np.uint32).tobytes(), "local": own.astype(np.uint16).tobytes(), "ids": np.arange(41).tobytes(), "sizes": ngram_jaccard.size_code(np.array([len(x) for x in sets])).tobytes()}
+    found = ngram_jaccard._collisions(pd.DataFrame([row]))
+    pairs = found[found["members"].isna()]
+    assert set(zip(pairs["a"], pairs["b"])) >= {(i, 40) for i in range(40)}
+    assert len(found[found["members"].notna()]) > 1
+
+
+def test_size_codes_of_sets_that_may_link_are_near():
+    n = np.concatenate([np.arange(4, 3000), [10**6, 10**9]])
+    most = n * 5 // 4
+    code = [ngram_jaccard.size_code(x).astype(int) for x in (n, most)]
+    assert (code[1] - code[0] <= ngram_jaccard.MOST_APART).all()
+
+
 def test_a_set_of_four_links_with_one_of_five_that_holds_it(spark):
     rng = random.Random(6)
     rows, w = {}, [[f"w{rng.randrange(10**7)}" for _ in range(10)] for _ in range(6)]
