@@ -82,19 +82,27 @@ class WordIds:
             known = self.words
         new = words.difference(known)
         if self.older:
-            kept = {w: ids for w in new if (ids := self.older.get(w)) is not None}
-            known.update(kept)
+            kept = self.older.keys() & new
+            known.update(zip(kept, map(self.older.__getitem__, kept)))
             new.difference_update(kept)
-        marked = [(w, core) for w in new if (core := w.rstrip(punctuation)) is not w and core.isalpha()]
-        plain = list({w for w in new if w.isalpha()} | {core for _, core in marked if core not in known})
+        plain, marked, rest = set(), {}, []
+        for w in new:
+            if w.isalpha():
+                plain.add(w)
+            elif (core := w.rstrip(punctuation)) is not w and core.isalpha():
+                marked[w] = core
+                if core not in known:
+                    plain.add(core)
+            else:
+                rest.append(w)
+        plain = list(plain)
         chunks = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
         for part, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
             self._letters(part, np.array(e.ids, "<u4"))
-        for w, core in marked:
+        for w, core in marked.items():
             if (marks := w[len(core) :]) not in known:
                 known[marks] = self._one(marks)
             known[w] = known[core] + known[marks]
-        rest = [w for w in new if w not in known]
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
