@@ -15,7 +15,7 @@ most false ones; the others are verified on the whole shingle sets.
 Equal sets are one class from the start, known by a 64-bit hash of the set: among N distinct sets about N^2 / 2^65 pairs
 are taken for equal by chance (0.03 among 10^9). Classes, not ids, are linked; an id that occurs with several texts links
 their classes. Small collision groups give all their pairs; of large ones, first a star is
-verified, then for each member the closest ones of other components, then every pair that still lies in different
+verified, whose centre is the member that meets most others over all buckets, then for each member the closest ones of other components, then every pair that still lies in different
 components. So no link between components is lost while a large group of near copies isn't expanded into all its pairs.
 """
 
@@ -199,8 +199,9 @@ def size_code(n: np.ndarray) -> np.ndarray:
     return (np.log2(n) * SIZE_STEPS).astype(np.uint16)
 
 
-def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one bucket: all pairs of small groups, a star and the members of larger ones (once per set of members)."""
+def _collisions(pdf: pd.DataFrame, stars: bool = True) -> pd.DataFrame:
+    """Candidates of one bucket: all pairs of small groups, the members and their sizes of larger ones (once per set of
+    members), and stars of these, as far as one bucket tells the centre; the join over many buckets has _starred do it."""
     base, sig, idx, ids, sizes = 0, [], [], [], []
     for s, l, d, n in zip(pdf["sig"], pdf["local"], pdf["ids"], pdf["sizes"]):
         d = np.frombuffer(d, np.int64)
@@ -239,25 +240,42 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
         k = np.flatnonzero((g[:-d] <= SMALL_GROUP) & (s[:-d] == s[d:])) if len(s) > d else np.empty(0, np.int64)
         pairs.append(doc[k] << 32 | doc[k + d])
     big = np.flatnonzero(g > SMALL_GROUP)
-    pivot = doc[start[group[big]]]
-    pairs.append((pivot << 32 | doc[big])[pivot != doc[big]])
+    if stars:
+        pivot = doc[start[group[big]]]
+        pairs.append((pivot << 32 | doc[big])[pivot != doc[big]])
     p = np.unique(np.concatenate(pairs))
     a, b = p >> 32, p & 0xFFFFFFFF
     ok = np.abs(size[a] - size[b]) <= MOST_APART
     a, b = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
     # Large groups, packed; of groups with the same members one is enough.
     first = start[length > SMALL_GROUP]
-    groups = {np.sort(ids[doc[lo:hi]]).tobytes() for lo, hi in zip(first, first + length[length > SMALL_GROUP])}
+    groups = {}
+    for lo, hi in zip(first, first + length[length > SMALL_GROUP]):
+        at = doc[lo:hi][np.argsort(ids[doc[lo:hi]])]
+        groups[ids[at].tobytes()] = size[at].astype(np.uint16).tobytes()
     none = np.zeros(len(groups), np.int64)
-    return pd.DataFrame({"a": np.concatenate([a, none]), "b": np.concatenate([b, none]), "members": [*[None] * len(a), *groups]})
+    # A large group's number, in place of a pair, is a hash of its members.
+    number = np.array([xxhash.xxh64_intdigest(m) >> 1 for m in groups], np.int64)
+    return pd.DataFrame({"a": np.concatenate([a, number]), "b": np.concatenate([b, none]), "members": [*[None] * len(a), *groups], "sizes": [*[None] * len(a), *groups.values()]})
 
 
 def _unpacked(batches):
-    """(group, id) of each member; the group's number is a hash of its members."""
+    """(group, id, how many others it meets there) of each member."""
     for pdf in batches:
         lists = [np.frombuffer(m, np.int64) for m in pdf["members"]]
-        group = np.array([xxhash.xxh64_intdigest(m) >> 1 for m in pdf["members"]], np.int64)
-        yield pd.DataFrame({"sig": np.repeat(group, [len(x) for x in lists]), "id": np.concatenate([np.empty(0, np.int64), *lists])})
+        g = np.array([len(x) for x in lists], np.int64)
+        yield pd.DataFrame({"sig": np.repeat(pdf["sig"].to_numpy(), g), "id": np.concatenate([np.empty(0, np.int64), *lists]), "meets": np.repeat(g - 1, g)})
+
+
+def _starred(batches):
+    """(member, centre, centre's rank) of each group, as far as their sizes allow a link."""
+    for pdf in batches:
+        parts, centres, ranks = [np.empty(0, np.int64)], pdf["centre"].to_numpy(), pdf["rank"].to_numpy()
+        for m, n, centre in zip(pdf["members"], pdf["sizes"], centres):
+            m, n = np.frombuffer(m, np.int64), np.frombuffer(n, np.uint16).astype(np.int64)
+            parts.append(m[(np.abs(n - n[m == centre][0]) <= MOST_APART) & (m != centre)])
+        g = [len(x) for x in parts[1:]]
+        yield pd.DataFrame({"id": np.concatenate(parts), "centre": np.repeat(centres, g), "rank": np.repeat(ranks, g)})
 
 
 def _pairs(side: np.ndarray, split: bool, ok) -> tuple[np.ndarray, np.ndarray]:
@@ -409,11 +427,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(shuffle_partitions(spark), int((live.agg(F.sum("n").alias("n")).first().n or 0) * 3 // bucket_bytes) + 1)
     hot, share = _frequent(texts)
     dealt = texts.filter("id is not null and text is not null").mapInPandas(trimmed(_dealt(buckets, hot, share)), "bucket long, sig binary, local binary, ids binary, sizes binary")
-    hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(trimmed_group(_collisions), "a long, b long, members binary"))
-
-    tried = materialize(hits.filter("members is null").select("a", "b").distinct())
-    groups = materialize(hits.filter("members is not null").select("members").distinct().mapInPandas(trimmed(_unpacked), "sig long, id long"))
-    release(hits)
+    collisions = trimmed_group(lambda pdf: _collisions(pdf, stars=False))
+    hits = materialize(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(collisions, "a long, b long, members binary, sizes binary"))
+
+    packed = materialize(hits.filter("members is not null").select(F.col("a").alias("sig"), "members", "sizes").dropDuplicates(["sig"]))
+    groups = materialize(packed.mapInPandas(trimmed(_unpacked), "sig long, id long, meets long"))
+    # Members are ranked over all buckets, so a text that others were made from is the centre of each group that holds it.
+    # A member is first compared with the centre that it meets most often; the rounds below look through all groups.
+    meets = groups.groupBy("id").agg((-F.sum("meets")).alias("rank"))
+    centre = groups.select("sig", "id").join(meets, "id").groupBy("sig").agg(F.min(F.struct("rank", "id")).alias("c")).select("sig", F.col("c.id").alias("centre"), "c.rank")
+    met = packed.join(centre, "sig").mapInPandas(trimmed(_starred), "id long, centre long, rank long").groupBy("id", "centre", "rank").agg((-F.count("*")).alias("times"))
+    stars = met.groupBy("id").agg(F.min(F.struct("times", "rank", "centre")).alias("c")).select(F.least("id", "c.centre").alias("a"), F.greatest("id", "c.centre").alias("b"))
+    tried = materialize(hits.filter("members is null").select("a", "b").union(stars).distinct())
+    groups = groups.select("sig", "id")
+    release(hits, packed)
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("key")).union(groups.select("id")).distinct())
     least = materialize(live.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")))
     one = least.join(wanted, "key", "left_semi").select(F.col("low").alias("id")).distinct()

@@ -128,6 +128,23 @@ def test_the_star_of_a_large_group_stands_on_its_original_wherever_it_lies():
     assert len(found[found["members"].notna()]) > 1
 
 
+def test_stars_of_all_buckets_stand_on_one_original(spark, monkeypatch):
+    """Copies that the original links, not each other, in many buckets: a few pairs a copy are compared, not one a bucket."""
+    rng, tried, links = random.Random(8), [], ngram_jaccard._links
+    monkeypatch.setattr(ngram_jaccard, "_links", lambda near, sets: (tried.append(near.count()), links(near, sets))[1])
+    base = words(rng, 300)
+    rows = {200: " ".join(base)}
+    for i in range(200):
+        w = list(base)
+        for k in rng.sample(range(60), 5):
+            w[5 * k] = f"w{rng.randrange(10**6)}"
+        rows[i] = " ".join(w)
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard_join(d, bucket_bytes=3000).collect()}
+    assert got == components(plain_sets(rows)) and set(got.values()) == {0}
+    assert sum(tried) <= 4 * len(rows), tried
+
+
 def test_size_codes_of_sets_that_may_link_are_near():
     n = np.concatenate([np.arange(4, 3000), [10**6, 10**9]])
     most = n * 5 // 4
