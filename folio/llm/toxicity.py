@@ -36,6 +36,8 @@ COMMON = 0.05
 SLACK = 1e-4
 #: Documents that are looked up together.
 TOGETHER = 64
+#: Of these, texts whose postings are added up together.
+FEW = 8
 #: Relevance of a term that tells nothing about the label; a perfect one has 1 more.
 LEAST_RELEVANCE = 0.005
 _FOUND = "toxic_votes double, votes double, inner double, example array<bigint>, similarity array<double>, toxic array<int>, word array<bigint>, tf array<int>"
@@ -68,8 +70,10 @@ class Terms(dict):
         self.vocabulary, self.limit = vocabulary, limit
 
     def _learn(self, tokens: list[str]) -> None:
-        words = np.array([t if t.isalnum() else word_of(t) for t in tokens], object)
-        hashes = np.where(words != "", pd.util.hash_array(words, categorize=False), np.uint64(0))
+        bare = [t.rstrip(".,!?;:") for t in tokens]
+        words = [b if b.isalnum() else word_of(t) for b, t in zip(bare, tokens)]
+        hashes = pd.util.hash_array(np.array(words, object), categorize=False)
+        hashes[[i for i, x in enumerate(words) if not x]] = 0
         if self.vocabulary is not None:
             at = self.vocabulary.searchsorted(hashes)
             there = (at < len(self.vocabulary)) & (hashes != 0)
@@ -186,7 +190,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ... (n of them), one range after the other."""
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 @dataclass
@@ -267,62 +273,84 @@ class ToxicityModel:
         dense[doc[col >= 0], col[col >= 0]] = w[col >= 0]
         doc, term, w = doc[col < 0], term[col < 0], w[col < 0]
         n = self.cell_ptr[term + 1] - self.cell_ptr[term]
-        cells = _ranges(self.cell_ptr[term], n)
-        doc, telling, w = np.repeat(doc, n), np.repeat(w * self.relevance[term], n), np.repeat(w, n)
-        at = doc * blocks + self.cell_block[cells]
-        bound = dense @ self.row_max + np.bincount(at, self.cell_max[cells] * w, docs * blocks).reshape(docs, blocks)
-        s, rest, told = np.zeros((docs, width), np.float32), np.zeros(docs * width), np.zeros(docs * width)
+        cells, of = _ranges(self.cell_ptr[term], n), np.repeat(np.arange(len(doc)), n)
+        at = doc[of] * blocks + self.cell_block[cells]
+        bound = dense @ self.row_max + np.bincount(at, self.cell_max[cells] * w[of], docs * blocks).reshape(docs, blocks)
+        s, rest, done = np.zeros((docs, width), np.float32), np.zeros((docs, width)), np.zeros(blocks, bool)
+        parts = []
 
         def look(live: np.ndarray) -> None:
-            """Add up the cosines of the examples in the live blocks: of the common terms in s, of the others in rest
-            (weighted by relevance: in told)."""
-            for b in np.flatnonzero(live.any(axis=0)):
-                of = np.flatnonzero(live[:, b])
-                s[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
+            """Add up the cosines of the examples in the live blocks: of the common terms in s (for all texts), of the
+            others in rest. Live cells of a term that lie side by side are one run of postings; a few texts at a time, so
+            that what is being added up stays in the processor's cache."""
+            for b in np.flatnonzero(live.any(axis=0) & ~done):
+                s[:, b * BLOCK : (b + 1) * BLOCK] = dense @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
+                done[b] = True
             on = np.flatnonzero(live.reshape(-1)[at])
-            c = cells[on]
-            n = self.cell_at[c + 1] - self.cell_at[c]
-            post = _ranges(self.cell_at[c], n)
-            to, val = np.repeat(doc[on] * width, n) + self.ords[post], self.vals[post]
-            rest[:] += np.bincount(to, val * np.repeat(w[on], n), docs * width)
-            told[:] += np.bincount(to, val * np.repeat(telling[on], n), docs * width)
-
-        def summed() -> np.ndarray:
-            total = s + rest.reshape(docs, width)
-            if skip is not None:
-                total[np.arange(docs), self.slot[skip]] = 0
-            return total
+            c, o = cells[on], of[on]
+            head = np.flatnonzero((np.diff(c, prepend=-2) != 1) | (np.diff(o, prepend=-1) != 0))
+            start, end, o = self.cell_at[c[head]], self.cell_at[c[np.append(head, len(c))[1:] - 1] + 1], o[head]
+            n = (end - start).astype(np.int64)
+            cuts = np.searchsorted(doc[o], np.arange(0, docs + FEW, FEW))
+            for d, lo, hi in zip(range(0, docs, FEW), cuts, cuts[1:]):
+                post = _ranges(start[lo:hi], n[lo:hi])
+                to = np.repeat((doc[o[lo:hi]] - d) * width, n[lo:hi])
+                to += self.ords.take(post, mode="clip")  # all are in range; this leaves out the test
+                val = self.vals.take(post, mode="clip")
+                val *= np.repeat(w[o[lo:hi]], n[lo:hi])
+                some = rest[d : d + FEW].reshape(-1)
+                some += np.bincount(to, val, len(some))
+                parts.append((d, to, val, o[lo:hi], np.cumsum(n[lo:hi])))
 
         first, least = np.zeros((docs, blocks), bool), np.zeros((docs, blocks))
         best = [a + np.argsort(-bound[:, a:b], axis=1, kind="stable")[:, :2] for a, b in labels]
         for top in best:
             np.put_along_axis(first, top, True, axis=1)
         look(first)
-        total = summed().reshape(docs, blocks, BLOCK)
+        own = np.arange(docs)
         for (a, b), top in zip(labels, best):
-            seen = total[np.arange(docs)[:, None], top].reshape(docs, -1)
+            seen = s.reshape(docs, blocks, BLOCK)[own[:, None], top] + rest.reshape(docs, blocks, BLOCK)[own[:, None], top]
+            if skip is not None:
+                place = self.slot[skip]
+                hit, col = np.nonzero(top == (place // BLOCK)[:, None])
+                seen[hit, col, place[hit] % BLOCK] = 0
+            seen = seen.reshape(docs, -1)
             k = min(self.k, seen.shape[1])
             least[:, a:b] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k, None] - SLACK
         look((bound > 0) & (bound >= least) & ~first)
-        total = summed()
-        out = []
+        total = s + rest.astype(np.float32)
+        if skip is not None:
+            total[own, self.slot[skip]] = 0
+        near = []
         for d in range(docs):
-            near = []
             for a, b in labels:
                 x = total[d, a * BLOCK : b * BLOCK]
                 o = np.flatnonzero(x > max(least[d, a], 0.0))
                 if len(o) > self.k:
                     o = o[x[o] >= np.partition(x[o], -self.k)[-self.k] - SLACK]
                 near.append(a * BLOCK + o)
-            # What may be among the nearest is added up anew in double precision.
-            o, q = np.concatenate(near), dense[d].astype(float)
+        # What may be among the nearest is added up anew in double precision; only there are the shared terms' parts
+        # weighted by relevance.
+        ends = np.cumsum([0, *map(len, near)])[:: len(labels)]
+        near = np.concatenate(near)
+        key = np.repeat(own, np.diff(ends)) * width + near
+        number, told = np.full(docs * width, -1, np.int32), np.zeros(len(key))
+        number[key] = np.arange(len(key))
+        for d, to, val, o, end in parts:
+            i = number[d * width : (d + FEW) * width].take(to, mode="clip")
+            hit = np.flatnonzero(i >= 0)
+            told += np.bincount(i[hit], val[hit] * self.relevance[term[o]].take(np.searchsorted(end, hit, "right")), len(key))
+        rest, out = rest.reshape(-1)[key], []
+        for d in range(docs):
+            of = slice(ends[d], ends[d + 1])
+            o, q = near[of], dense[d].astype(float)
             p, common = self.example[o], self.rows[o].astype(float) @ np.stack([q, q * self.row_relevance], axis=1)
-            exact = (common[:, 0] + rest[d * width + o]).round(9)
+            exact = (common[:, 0] + rest[of]).round(9)
             by = np.lexsort((p, -exact))
             by = by[exact[by] > 0]
-            of = self.toxic[p[by]] != 0
-            by = by[np.where(of, np.cumsum(of), np.cumsum(~of)) <= self.k]
-            out.append((exact[by], common[by, 1] + told[d * width + o[by]], p[by]))
+            toxic = self.toxic[p[by]] != 0
+            by = by[np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) <= self.k]
+            out.append((exact[by], common[by, 1] + told[of][by], p[by]))
         return out
 
     def votes(self, telling: np.ndarray, o: np.ndarray) -> tuple[float, float]:

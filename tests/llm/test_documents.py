@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -259,6 +260,28 @@ def test_index_gives_the_exact_nearest():
         assert np.allclose(telling, dense[order] @ (dense[i] * model.relevance))
 
 
+def test_lookups_add_up_few_texts_at_a_time():
+    """What 64 texts need beside the cells grows with two numbers a posting, and the neighbours stay those of plain products."""
+    rng, terms, n, docs = np.random.default_rng(2), 1000, 2048, 64
+    model = toxicity.ToxicityModel(np.ones(terms), np.arange(n), rng.integers(0, 2, n), np.ones(n), 0.3, rng.random(terms))
+    drawn = lambda rows, most: (np.repeat(np.arange(rows), most), np.concatenate([np.sort(rng.choice(terms, most, replace=False)) for _ in range(rows)]))
+    (own, t), (doc, q) = drawn(n, 45), drawn(docs, 300)
+    w, x = rng.random(len(t)), rng.random(len(q))
+    model.build(own.astype(np.int32), t, w)
+    postings = int(np.bincount(t, minlength=terms)[q].sum())
+    tracemalloc.start()
+    found = model.nearest(docs, doc, q, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    examples, texts = np.zeros((n, terms)), np.zeros((docs, terms))
+    examples[own, t], texts[doc, q] = w, x
+    for d, (s, telling, o) in enumerate(found):
+        cos = (examples @ texts[d]).round(9)
+        want = sorted(i for y in (0, 1) for i in sorted(np.flatnonzero(model.toxic == y), key=lambda i: (-cos[i], i))[:15])  # noqa: B023
+        assert sorted(o) == want and np.allclose(s, cos[o]) and np.allclose(telling, examples[o] @ (texts[d] * model.relevance))
+    assert len(model.row_max) < terms / 2 and most < 30 * postings, (most, postings, most / postings)
+
+
 def test_toxicity_indexes_all_terms_of_the_examples(spark):
     """Documents without a telling word have neighbours too, and a toxic word in one example finds that example."""
     docs, labels = labelled(spark)
