@@ -455,7 +455,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part = connected_components(links.union(same))
     for every, most in ((EARLY_GROUPS, CLOSEST), (1, CLOSEST), (1, None)):
         if most is None:
-            groups = groups.join(new.filter("a > b").select(F.col("a").alias("sig")), "sig", "left_semi")
+            groups = materialize(groups.join(new.filter("a > b").select(F.col("a").alias("sig")), "sig", "left_semi"))  # read twice
         new = _cells(groups.filter(F.col("sig") % every == 0), part, sets, buckets).groupBy("bucket").applyInPandas(trimmed_group(_across(most)), "a long, b long").distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"))
         fresh = new.filter("a < b")
