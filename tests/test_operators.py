@@ -57,6 +57,15 @@ def test_gap_chunks_split_segments(spark):
     assert [r.chunk for r in got] == [0, 0, 0, 0, 1, 1, 2, 2]
 
 
+def test_gap_chunks_keep_words_alike_together(spark):
+    """Rows equal in head and order follow each other as they did when gaps were taken; words without a head end it."""
+    rows = [(k, i, None if i == 9 else 100 * i, 30) for k in range(40) for i in range(10) for _ in range(5)]
+    d = spark.createDataFrame(rows, "k int, i int, head long, size long").repartition(7)
+    d = d.withColumn("head", F.when((F.col("i") == 5) | (F.col("i") == 8), F.col("head") + 400 + 300 * F.col("i")).when(F.col("i") > 5, F.col("head") + 1900).otherwise(F.col("head")))
+    got = mentions.gap_chunks(d, "k", "i", "head", "size").select("k", "i", "chunk").distinct().collect()
+    assert sorted(map(tuple, got)) == [(k, i, (i >= 5) + (i >= 8)) for k in range(40) for i in range(10)]
+
+
 def test_large_groups_are_streamed_and_counted(spark):
     """No operator takes a whole group at once, and the folds carry their state over batches of two rows."""
     from folio.sources import recognition
