@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_units(ts: Column, ms: int) -> Column:
+    """Whole units of so many milliseconds since 1970, towards it on both sides, as the SQL's // has them."""
+    return F.call_function("div", F.unix_millis(ts.cast("timestamp")), F.lit(ms))
+
+
 def book_isbn(key: Column) -> Column:
     body = F.concat(F.lit("978"), F.lpad(key.cast("string"), 9, "0"))
     return F.concat(body, ids.check_digit_13(body))
@@ -537,7 +542,7 @@ m AS (SELECT user_id, list_sort(list(CAST(gap AS DOUBLE)) FILTER (WHERE gap > 0)
 l AS (SELECT g.*, greatest(2.0 * coalesce(gs[len(gs) // 2 + 1], 0), 0.35 * 30) AS lim FROM g JOIN m USING (user_id))
 SELECT user_id, event_id, CAST(sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY head, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk FROM l""")
 def gap_chunks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).alias("head"), F.lit(30).cast("bigint").alias("size"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", whole_units(F.col("ts"), 60_000).alias("head"), F.lit(30).cast("bigint").alias("size"))
     return mentions.gap_chunks(e, "user_id", "event_id", "head", "size").select("user_id", "event_id", "chunk")
 
 

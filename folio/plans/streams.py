@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import capture
 from . import oracle as o
-from .catalogue import query, table
+from .catalogue import query, table, whole_units
 
 #: An hour of the table counts as a second; a value is a gray level and a number of bits.
 FRAMES_SQL = """(SELECT CAST(user_id AS VARCHAR) AS session, event_id AS frame, epoch_ms(ts) // 3600000 * 1000 AS t, event_type <> 'view' AS usable, value % 1 AS sharp, event_id % 10 = 0 AS busy,
@@ -18,7 +18,7 @@ def _frames(spark, sf_dir) -> DataFrame:
     level = F.floor("value").cast("int")
     nibble = lambda j: F.substring(F.lit("08cef"), F.least(F.lit(4), F.greatest(F.lit(0), level % 65 - 4 * j)) + 1, F.lit(1))
     return table(spark, sf_dir, "events").select(
-        "user_id", F.col("event_id").alias("frame"), (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000) * 1000).alias("at"), (F.col("event_type") != "view").alias("usable"),
+        "user_id", F.col("event_id").alias("frame"), (whole_units(F.col("ts"), 3_600_000) * 1000).alias("at"), (F.col("event_type") != "view").alias("usable"),
         (F.col("value") % 1).alias("sharp"), (F.col("event_id") % 10 == 0).alias("busy"), F.unhex(F.lpad(F.hex((level % 256).cast("bigint")), 2, "0")).alias("gray"), F.concat(*[nibble(j) for j in range(16)]).alias("hash"),
     )
 

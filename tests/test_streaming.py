@@ -141,3 +141,20 @@ def test_near_capture_stream_equals_the_loop_over_restarts(spark, tmp_path):
 def test_difference_of_frames():
     assert capture.difference(b"\0\xff", b"\xff\0") == 1.0 and capture.difference(b"", b"") == 0.0 and capture.difference(b"a", b"ab") == 1.0
     assert capture.Gate(captured=b"\0", captured_at=0).frame(9_999, True, 1.0, b"\0") == "wait"
+
+
+@pytest.mark.parametrize("name", ["capture_gate", "near_captures", "gap_chunks"])
+def test_events_before_1970_and_repeated_ones_agree_with_the_sql(spark, tmp_path, name):
+    """Events on both sides of 1970, each of them twice under one number."""
+    import duckdb
+
+    import __spark_entry__
+
+    c = duckdb.connect()
+    c.execute(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '1969-12-31 20:00:00' + i * INTERVAL 17 MINUTE + i * INTERVAL 7 SECOND AS ts, i % 3 AS user_id, CASE WHEN i % 5 = 0 THEN 'view' ELSE 'click' END AS event_type, (i * 37 % 400) / 8.0 AS value
+        FROM range(200) r(i), range(2) ORDER BY i) TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, __spark_entry__.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
