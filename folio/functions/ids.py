@@ -53,11 +53,19 @@ def to_isbn13(c: Column) -> Column:
 
 
 def extract_isbn13(text: Column) -> Column:
-    """The first valid ISBN in a text once white space and dashes are gone: 13 digits before 10."""
-    s = strip_isbn(text)
-    long = F.filter(F.regexp_extract_all(s, F.lit("(97[89][0-9]{10})"), 1), is_isbn13)
-    short = F.filter(F.regexp_extract_all(s, F.lit("([0-9]{9}[0-9X])"), 1), is_isbn10)
-    return F.coalesce(F.get(long, F.lit(0)), isbn10_to_13(F.get(short, F.lit(0))))
+    """The first valid ISBN in a text once white space and dashes are gone: 13 digits before 10.
+
+    The stripped text and each code found are bound once (a lambda's variable), then only digits are added up.
+    """
+
+    def first(s):
+        codes = lambda pattern: F.regexp_extract_all(s, F.lit(pattern), 1)
+        long = F.filter(codes("(97[89][0-9]{10})"), lambda c: F.substring(c, 13, 1) == check_digit_13(c))
+        short = F.filter(codes("([0-9]{9}[0-9X])"), lambda c: F.substring(c, 10, 1) == check_digit_10(c))
+        bodies = F.transform(F.slice(short, 1, 1), lambda c: F.concat(F.lit("978"), F.substring(c, 1, 9)))
+        return F.coalesce(F.get(long, F.lit(0)), F.get(F.transform(bodies, lambda b: F.concat(b, check_digit_13(b))), F.lit(0)))
+
+    return F.transform(F.array(strip_isbn(text)), first)[0]
 
 
 def is_isbn_barcode(c: Column) -> Column:
